@@ -1 +1,110 @@
-"""Registered queries."""
+"""Registered queries for survey 2.F (leakage-safe features)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shiftcast.operators import features as FT
+from shiftcast.plans.sqlpanels import P1, P1K, with_panels
+from shiftcast.registry import register
+from shiftcast.sources.tables import panel_p1
+
+K = ["event_type"]
+TS = "timestamp_hour"
+
+
+def _r6(cols):
+    return [F.round(c, 6).alias(c) for c in cols]
+
+
+@register("row_lags", sql=with_panels("""
+SELECT event_type, timestamp_hour, orders_count,
+  lag(orders_count, 1) OVER w AS orders_count_lag_1,
+  lag(orders_count, 2) OVER w AS orders_count_lag_2,
+  lag(orders_count, 3) OVER w AS orders_count_lag_3
+FROM p WINDOW w AS (PARTITION BY event_type ORDER BY timestamp_hour)""", p=P1K))
+def q_row_lags(spark, sf):
+    out = FT.row_lags(panel_p1(spark, sf, keyed=True), "orders_count", (1, 2, 3), K)
+    return out.select(*K, TS, "orders_count", "orders_count_lag_1", "orders_count_lag_2", "orders_count_lag_3")
+
+
+_CLOCK_SQL = """
+SELECT p.event_type, p.timestamp_hour, p.orders_count,
+  a.orders_count AS orders_count_lag_24h, b.orders_count AS orders_count_lag_48h,
+  c.orders_count AS orders_count_lag_168h, d.orders_count AS orders_count_lag_336h
+FROM p
+LEFT JOIN p a ON a.event_type = p.event_type AND a.timestamp_hour = p.timestamp_hour - INTERVAL 24 HOUR
+LEFT JOIN p b ON b.event_type = p.event_type AND b.timestamp_hour = p.timestamp_hour - INTERVAL 48 HOUR
+LEFT JOIN p c ON c.event_type = p.event_type AND c.timestamp_hour = p.timestamp_hour - INTERVAL 168 HOUR
+LEFT JOIN p d ON d.event_type = p.event_type AND d.timestamp_hour = p.timestamp_hour - INTERVAL 336 HOUR"""
+
+
+@register("clock_lags", sql=with_panels(_CLOCK_SQL, p=P1K))
+def q_clock_lags(spark, sf):
+    out = FT.clock_lags(panel_p1(spark, sf, keyed=True), "orders_count", (24, 48, 168, 336), K)
+    return out.select(*K, TS, "orders_count", "orders_count_lag_24h", "orders_count_lag_48h",
+                      "orders_count_lag_168h", "orders_count_lag_336h")
+
+
+@register("same_slot_4w", sql=with_panels("""
+SELECT p.event_type, p.timestamp_hour,
+  round(list_avg(list_filter([w1.food_tickets_count, w2.food_tickets_count, w3.food_tickets_count,
+                              w4.food_tickets_count], lambda x: x IS NOT NULL)), 6) AS food_tickets_count_same_slot_4w_avg
+FROM p
+LEFT JOIN p w1 ON w1.event_type = p.event_type AND w1.timestamp_hour = p.timestamp_hour - INTERVAL 7 DAY
+LEFT JOIN p w2 ON w2.event_type = p.event_type AND w2.timestamp_hour = p.timestamp_hour - INTERVAL 14 DAY
+LEFT JOIN p w3 ON w3.event_type = p.event_type AND w3.timestamp_hour = p.timestamp_hour - INTERVAL 21 DAY
+LEFT JOIN p w4 ON w4.event_type = p.event_type AND w4.timestamp_hour = p.timestamp_hour - INTERVAL 28 DAY""",
+                                            p=P1K))
+def q_same_slot_4w(spark, sf):
+    out = FT.same_slot_mean(panel_p1(spark, sf, keyed=True), "food_tickets_count", 4, K)
+    return out.select(*K, TS, F.round("food_tickets_count_same_slot_4w_avg", 6)
+                      .alias("food_tickets_count_same_slot_4w_avg"))
+
+
+def _roll_sql(value: str, keyed: bool) -> str:
+    part = "PARTITION BY event_type " if keyed else ""
+    parts = []
+    for name, (w, how) in FT.ROLLING.items():
+        fn = {"mean": "avg", "std": "stddev_samp", "max": "max"}[how]
+        frame = f"OVER ({part}ORDER BY timestamp_hour ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
+        parts.append(f"round(CASE WHEN count({value}) {frame} >= {max(1, w // 4)} "
+                     f"THEN {fn}({value}) {frame} END, 6) AS {value}_{name}")
+    return ",\n  ".join(parts)
+
+
+_ROLL_COLS = [f"orders_count_{n}" for n in FT.ROLLING]
+
+
+@register("rolling_stats", sql=with_panels(f"""
+SELECT event_type, timestamp_hour, {_roll_sql('orders_count', True)} FROM p""", p=P1K))
+def q_rolling_stats(spark, sf):
+    out = FT.rolling_stats(panel_p1(spark, sf, keyed=True), "orders_count", FT.ROLLING, K)
+    return out.select(*K, TS, *_r6(_ROLL_COLS))
+
+
+def _all_lag_roll_sql(value: str) -> str:
+    return f"""
+  lag({value}, 1) OVER w AS {value}_lag_1, lag({value}, 2) OVER w AS {value}_lag_2,
+  lag({value}, 3) OVER w AS {value}_lag_3,
+  max({value}) OVER (ORDER BY timestamp_hour RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND INTERVAL 24 HOURS PRECEDING) AS {value}_lag_24h,
+  max({value}) OVER (ORDER BY timestamp_hour RANGE BETWEEN INTERVAL 48 HOURS PRECEDING AND INTERVAL 48 HOURS PRECEDING) AS {value}_lag_48h,
+  max({value}) OVER (ORDER BY timestamp_hour RANGE BETWEEN INTERVAL 168 HOURS PRECEDING AND INTERVAL 168 HOURS PRECEDING) AS {value}_lag_168h,
+  max({value}) OVER (ORDER BY timestamp_hour RANGE BETWEEN INTERVAL 336 HOURS PRECEDING AND INTERVAL 336 HOURS PRECEDING) AS {value}_lag_336h,
+  {_roll_sql(value, False)}"""
+
+
+@register("warmup_drop", sql=with_panels(f"""
+SELECT timestamp_hour, orders_count, orders_count_lag_336h, orders_count_roll_mean_168, orders_count_roll_std_24
+FROM (SELECT timestamp_hour, orders_count, {_all_lag_roll_sql('orders_count')}
+      FROM p WINDOW w AS (ORDER BY timestamp_hour)) f
+WHERE orders_count_lag_1 IS NOT NULL AND orders_count_lag_2 IS NOT NULL AND orders_count_lag_3 IS NOT NULL
+  AND orders_count_lag_24h IS NOT NULL AND orders_count_lag_48h IS NOT NULL
+  AND orders_count_lag_168h IS NOT NULL AND orders_count_lag_336h IS NOT NULL
+  AND {' AND '.join(f'{c} IS NOT NULL' for c in _ROLL_COLS)}""", p=P1))
+def q_warmup_drop(spark, sf):
+    p = panel_p1(spark, sf).select(TS, "orders_count")
+    f = FT.add_rolling_features(FT.add_lag_features(p, "orders_count"), "orders_count")
+    kept = FT.warmup_drop(f)
+    return kept.select(TS, "orders_count", "orders_count_lag_336h",
+                       *_r6(["orders_count_roll_mean_168", "orders_count_roll_std_24"]))
