@@ -44,7 +44,9 @@ GROUP BY 1, 2
 """
 
 
-def with_panels(body: str, **panels: str) -> str:
-    """``WITH name AS (panel), … body``."""
-    ctes = ",\n".join(f"{k} AS ({v.strip()})" for k, v in panels.items())
-    return f"WITH {ctes}\n{body.strip()}"
+def with_panels(body: str, ctes: str = "", **panels: str) -> str:
+    """``WITH name AS (panel), …, <ctes> body``."""
+    parts = [f"{k} AS ({v.strip()})" for k, v in panels.items()]
+    if ctes.strip():
+        parts.append(ctes.strip())
+    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
