@@ -30,20 +30,20 @@ def fold_cutoffs(panel: DataFrame, keys: Sequence[str] = (), ts: str = "timestam
     """
     keys = list(keys)
     b = panel.groupBy(*keys).agg(F.min(ts).alias("_t0"), F.max(ts).alias("_t1"))
-    first = F.timestampadd("MICROSECOND", F.lit(int(min_train_weeks * WEEK_US)), F.col("_t0"))
-    last = F.timestampadd("MICROSECOND", F.lit(-int(test_weeks * WEEK_US)), F.col("_t1"))
+    first = F.timestamp_add("MICROSECOND", F.lit(int(min_train_weeks * WEEK_US)), F.col("_t0"))
+    last = F.timestamp_add("MICROSECOND", F.lit(-int(test_weeks * WEEK_US)), F.col("_t1"))
     b = b.select(*keys, first.alias("_first"), last.alias("_last"))
     b = b.filter(F.col("_first") <= F.col("_last")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
     if mode == "step":
         off = F.col("fold").cast("long") * int(test_weeks * WEEK_US)
-        b = b.filter(F.timestampadd("MICROSECOND", off, F.col("_first")) <= F.col("_last"))
+        b = b.filter(F.timestamp_add("MICROSECOND", off, F.col("_first")) <= F.col("_last"))
     else:
-        span = F.timestampdiff("MICROSECOND", F.col("_first"), F.col("_last"))
+        span = F.timestamp_diff("MICROSECOND", F.col("_first"), F.col("_last"))
         off = (F.floor(F.col("fold") * span.cast("double") / max(n_splits - 1, 1)).cast("long")
                if n_splits > 1 else F.lit(0).cast("long"))
-    cutoff = F.timestampadd("MICROSECOND", off, F.col("_first"))
+    cutoff = F.timestamp_add("MICROSECOND", off, F.col("_first"))
     return b.select(*keys, "fold", cutoff.alias("cutoff"),
-                    F.timestampadd("MICROSECOND", F.lit(int(test_weeks * WEEK_US)), cutoff).alias("test_end"))
+                    F.timestamp_add("MICROSECOND", F.lit(int(test_weeks * WEEK_US)), cutoff).alias("test_end"))
 
 
 def fold_rows(panel: DataFrame, cutoffs: DataFrame, role: str, keys: Sequence[str] = (),
@@ -183,7 +183,7 @@ def next_day_stub(history: DataFrame, keys: Sequence[str] = (), ts: str = "times
         *[F.max_by(c, F.col(ts)).alias(c) for c in carry])
     day = F.date_add(F.to_date("_last"), 1).cast("timestamp_ntz")
     stub = last.withColumn("_h", F.explode(F.array(*[F.lit(h) for h in hours])))
-    stub = stub.withColumn(ts, F.timestampadd("HOUR", F.col("_h"), day))
+    stub = stub.withColumn(ts, F.timestamp_add("HOUR", F.col("_h"), day))
     out = stub.select(*keys, ts, *[F.lit(None).cast(dict(history.dtypes).get(t, "double")).alias(t)
                                    for t in targets if t in history.columns], *carry)
     return out
@@ -207,3 +207,13 @@ def next_day_baseline(history: DataFrame, value: str, keys: Sequence[str] = (),
     target_rows = feats.join(stub.select(*keys, ts), [*keys, ts], "left_semi")
     pred = baseline_predict(target_rows, slots, lag, keys, ts, group=(), out="baseline_pred")
     return pred.select(*keys, ts, "baseline_pred", S.segment(F.hour(ts), "label").alias("shift"))
+
+
+def asymmetric_loss(preds: DataFrame, y: str, pred: str = "pred", group: Sequence[str] = ("fold",),
+                    under_weight: float = 2.0) -> DataFrame:
+    """Mean asymmetric squared loss (under-prediction × ``under_weight``) and
+    the share of under-predicted rows."""
+    r = F.col(y).cast("double") - F.col(pred).cast("double")
+    loss = F.when(r > 0, under_weight * r * r).otherwise(r * r)
+    return preds.groupBy(*group).agg(F.avg(loss).alias("asym_loss"),
+                                     F.avg((r > 0).cast("double")).alias("under_share"))
