@@ -18,11 +18,14 @@ def _year_spine(spark, sf):
     return C.date_spine(bounds, whole_years=True)
 
 
-_SPINE_SQL = """
+_YEAR_SPINE_SQL = """
 b AS (SELECT min(d) AS s, max(d) AS e FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders
                                              UNION ALL SELECT CAST(ts AS DATE) FROM events)),
 spine AS (SELECT CAST(unnest(generate_series(make_date(year(s), 1, 1), make_date(year(e), 12, 31),
-                                             INTERVAL 1 DAY)) AS DATE) AS date FROM b),
+                                             INTERVAL 1 DAY)) AS DATE) AS date FROM b)"""
+
+# Calendar parts of every spine date, with Easter Sunday (integer computus).
+_EASTER_SQL = """
 e1 AS (SELECT date, year(date) AS y FROM spine),
 e2 AS (SELECT *, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM e1),
 e3 AS (SELECT *, b // 4 AS d, b % 4 AS e, (b + 8) // 25 AS f, c // 4 AS i, c % 4 AS k FROM e2),
@@ -33,8 +36,44 @@ cal AS (SELECT date, y, month(date) AS mo, day(date) AS dom, isodow(date) - 1 AS
                make_date(y, CAST((h + l - 7 * m + 114) // 31 AS INTEGER),
                          CAST((h + l - 7 * m + 114) % 31 + 1 AS INTEGER)) AS easter,
                month(date) * 100 + day(date) AS md
-        FROM e6)
-"""
+        FROM e6)"""
+
+_SPINE_SQL = _YEAR_SPINE_SQL + ",\n" + _EASTER_SQL.strip()
+
+_HOLIDAY_CASE = """CASE
+    WHEN mo = 1 AND dom = 1 THEN 'New Year''s Day'
+    WHEN y >= 2023 AND mo = 2 AND (
+         (isodow(make_date(y, 2, 1)) = 5 AND dom = 1)
+      OR (isodow(make_date(y, 2, 1)) <> 5 AND wd = 0 AND dom <= 7)) THEN 'Saint Brigid''s Day'
+    WHEN mo = 3 AND dom = 17 THEN 'Saint Patrick''s Day'
+    WHEN date = easter + 1 THEN 'Easter Monday'
+    WHEN mo = 5 AND wd = 0 AND dom <= 7 THEN 'May Day'
+    WHEN mo = 6 AND wd = 0 AND dom <= 7 THEN 'June Bank Holiday'
+    WHEN mo = 8 AND wd = 0 AND dom <= 7 THEN 'August Bank Holiday'
+    WHEN mo = 10 AND wd = 0 AND dom >= 25 THEN 'October Bank Holiday'
+    WHEN mo = 12 AND dom = 25 THEN 'Christmas Day'
+    WHEN mo = 12 AND dom = 26 THEN 'Saint Stephen''s Day' END"""
+
+_SCHOOL = ("md BETWEEN 625 AND 831 OR md BETWEEN 1223 AND 1231 OR md BETWEEN 101 AND 106 "
+           "OR md BETWEEN 1026 AND 1101 OR md BETWEEN 216 AND 220 OR date BETWEEN easter - 2 AND easter + 11")
+_COLLEGE = "md BETWEEN 907 AND 1212 OR md BETWEEN 115 AND 428 OR md BETWEEN 501 AND 529"
+_ANNUAL = """
+  CAST(mo = 3 AND dom BETWEEN 13 AND 17 AS INTEGER) AS st_patricks_week_flag,
+  CAST(mo = 6 AND dom = 16 AS INTEGER) AS bloomsday_flag,
+  CAST(mo = 6 AND dom BETWEEN 11 AND 16 AS INTEGER) AS bloomsday_week_flag,
+  CAST((mo = 6 AND dom >= 20) OR mo IN (7, 8) AS INTEGER) AS summer_tourism_flag,
+  CAST((mo = 11 AND dom >= 20) OR (mo = 12 AND dom <= 23) AS INTEGER) AS christmas_market_flag,
+  CAST(mo = 12 AND dom = 31 AS INTEGER) AS new_years_eve_flag,
+  CAST(mo = 1 AND dom = 1 AS INTEGER) AS new_years_day_flag"""
+
+# Every calendar column of a ``spine`` CTE, as CTE ``calcols``.
+CAL_COLUMNS_SQL = _EASTER_SQL.strip() + f""",
+calcols AS (SELECT date, CAST(({_HOLIDAY_CASE}) IS NOT NULL AS INTEGER) AS bank_holiday_flag,
+  CAST({_SCHOOL} AS INTEGER) AS school_holiday_flag, CAST({_COLLEGE} AS INTEGER) AS college_term_flag,
+  CAST(dom >= 25 OR dom <= 5 AS INTEGER) AS payday_period_flag,
+  CAST(CASE WHEN dom >= 25 THEN dom - 25 ELSE dom - 5 END AS INTEGER) AS days_from_payday,
+  {_ANNUAL.strip()}
+  FROM cal)"""
 
 
 @register("cal_payday", sql=f"""
