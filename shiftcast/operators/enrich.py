@@ -209,9 +209,23 @@ def merge_hourly(df: DataFrame, footfall: DataFrame | None = None, weather: Data
 
 
 def coerce_zero_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Numeric coercion with 0 for NULL / unparsable, for the columns present."""
-    return df.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
-                           for c in cols if c in df.columns})
+    """Numeric coercion with 0 for NULL / unparsable, for the columns present.
+
+    Numeric columns keep their type; text columns are parsed as double.
+    """
+    numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    types = dict(df.dtypes)
+    out = {}
+    for c in cols:
+        if c not in types:
+            continue
+        if types[c] in numeric or types[c].startswith("decimal"):
+            out[c] = F.coalesce(F.col(c), F.lit(0).cast(types[c]))
+        elif types[c] == "boolean":
+            out[c] = F.coalesce(F.col(c).cast("int"), F.lit(0))
+        else:
+            out[c] = F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+    return df.withColumns(out)
 
 
 def zscore(df: DataFrame, c: str, out: str, keys: Sequence[str] = (), digits: int | None = None) -> DataFrame:

@@ -108,3 +108,138 @@ def q_warmup_drop(spark, sf):
     kept = FT.warmup_drop(f)
     return kept.select(TS, "orders_count", "orders_count_lag_336h",
                        *_r6(["orders_count_roll_mean_168", "orders_count_roll_std_24"]))
+
+
+def p3_feature_table(spark, sf, drop_na: bool = False):
+    """F7 on the keyed bench panel (supplier × ship day).  The daily series are
+    sparse, so the warm-up drop would remove almost every row: it is off here
+    and exercised on the hourly panel by ``warmup_drop``."""
+    from shiftcast.plans.enrich_queries import enrichment_table
+    from shiftcast.plans.feature_table import build_feature_table
+    from shiftcast.sources import standins as ST
+    from shiftcast.sources.tables import panel_p3
+
+    return build_feature_table(panel_p3(spark, sf), keys=["l_suppkey"], enrichment=enrichment_table(spark, sf),
+                               failte=ST.failte_daily(spark, sf), footfall=ST.footfall_hourly(spark, sf),
+                               weather=ST.weather_by_ts(spark, sf), drop_na=drop_na)
+
+
+def _feature_table_sql() -> str:
+    from shiftcast.plans import sqlstandins as SQ
+    from shiftcast.plans.calendar_queries import CAL_COLUMNS_SQL
+    from shiftcast.plans.enrich_queries import ENRICH_SQL
+    from shiftcast.plans.sqlpanels import P3
+
+    ff_cols = ["suffolk_nassau_footfall", "suffolk_counter_is_live", "nearby_footfall_avg", "nearby_footfall_sum",
+               "city_footfall_zscore", "suffolk_footfall_lag_1h", "suffolk_footfall_lag_24h",
+               "suffolk_footfall_lag_168h", "suffolk_footfall_roll_24h", "suffolk_is_busy_flag"]
+    enr_int = ["school_holiday_flag", "college_term_flag", "payday_period_flag", "days_from_payday",
+               "st_patricks_week_flag", "bloomsday_flag", "bloomsday_week_flag", "summer_tourism_flag",
+               "christmas_market_flag", "new_years_eve_flag", "new_years_day_flag", "cruise_ship_flag",
+               "ships_in_port_count", "cruise_passenger_estimate", "aviva_event_flag", "croke_park_event_flag",
+               "nearby_venue_event_flag", "city_event_flag", "event_impact_score", "major_sports_event_flag"]
+    offs = (24, 48, 168, 336, 504, 672)
+    base_cols = ",\n    ".join(
+        [f"coalesce(e.{c}, 0) AS {c}" for c in enr_int]
+        + ["coalesce(e.airport_arrivals, 0) AS airport_arrivals",
+           "coalesce(e.airport_arrivals_lag1, 0) AS airport_arrivals_lag1", "e.event_names",
+           "CAST(coalesce(fl.failte_event_count, 0) AS INTEGER) AS failte_event_count",
+           "CAST(coalesce(fl.failte_free_event_count, 0) AS INTEGER) AS failte_free_event_count",
+           "CAST(coalesce(fl.failte_festival_count, 0) AS INTEGER) AS failte_festival_count"]
+        + [f"coalesce(CAST(ff.{c} AS DOUBLE), 0.0) AS {c}" for c in ff_cols]
+        + ["coalesce(wx.temp_c, 0.0) AS temp_c", "coalesce(wx.rain_mm, 0.0) AS rain_mm",
+           "coalesce(wx.wind_speed_kmh, 0.0) AS wind_speed_kmh",
+           "coalesce(wx.weather_severity_flag, 0) AS weather_severity_flag",
+           "c.bank_holiday_flag",
+           "CAST(hour(p.timestamp_hour) AS INTEGER) AS hour", "CAST(isodow(p.timestamp_hour) - 1 AS INTEGER) AS weekday",
+           "CAST(month(p.timestamp_hour) AS INTEGER) AS month", "CAST(quarter(p.timestamp_hour) AS INTEGER) AS quarter",
+           "CAST(weekofyear(p.timestamp_hour) AS INTEGER) AS week_of_year"]
+        + [f"q{o}.orders_count AS o{o}, q{o}.food_tickets_count AS f{o}" for o in offs])
+    joins = "\n".join(
+        f"  LEFT JOIN p q{o} ON q{o}.l_suppkey = p.l_suppkey AND q{o}.timestamp_hour = p.timestamp_hour - INTERVAL {o} HOUR"
+        for o in offs)
+    win = "PARTITION BY l_suppkey ORDER BY timestamp_hour"
+
+    def per_target(t: str, pre: str) -> list[str]:
+        out = [f"lag({t}, {n}) OVER (w) AS {t}_lag_{n}" for n in (1, 2, 3)]
+        out += [f"{pre}{o} AS {t}_lag_{o}h" for o in (24, 48, 168, 336)]
+        lst = ", ".join(f"{pre}{o}" for o in (168, 336, 504, 672))
+        out.append(f"round(list_avg(list_filter([{lst}], lambda x: x IS NOT NULL)), 6) + 0.0 AS {t}_same_slot_4w_avg")
+        for name, (w, how) in FT.ROLLING.items():
+            fn = {"mean": "avg", "std": "stddev_samp", "max": "max"}[how]
+            frame = f"OVER ({win} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
+            expr = f"CASE WHEN count({t}) {frame} >= {max(1, w // 4)} THEN {fn}({t}) {frame} END"
+            out.append(f"{'round(' + expr + ', 6) + 0.0' if how != 'max' else expr} AS {t}_{name}")
+        return out
+
+    cyc = []
+    for part, period in (("hour", 24), ("weekday", 7), ("month", 12)):
+        cyc += [f"round(sin(2 * pi() * {part} / {period}), 6) + 0.0 AS {part}_sin",
+                f"round(cos(2 * pi() * {part} / {period}), 6) + 0.0 AS {part}_cos"]
+    final = ",\n  ".join(
+        ["l_suppkey", "timestamp_hour", "orders_count", "food_tickets_count", "sales_total",
+         "bank_holiday_flag", *enr_int, "airport_arrivals", "airport_arrivals_lag1", "event_names",
+         "failte_event_count", "failte_free_event_count", "failte_festival_count",
+         *[f"round({c}, 6) + 0.0 AS {c}" for c in ff_cols],
+         "round(temp_c, 6) + 0.0 AS temp_c", "round(rain_mm, 6) + 0.0 AS rain_mm",
+         "round(wind_speed_kmh, 6) + 0.0 AS wind_speed_kmh", "weather_severity_flag",
+         *per_target("orders_count", "o"), *per_target("food_tickets_count", "f"),
+         "hour", "weekday", "month", "quarter", "week_of_year",
+         "CAST(weekday IN (5, 6) AS INTEGER) AS is_weekend", "CAST(weekday IN (4, 5) AS INTEGER) AS is_friday_saturday",
+         *cyc,
+         "CAST(hour < 21 AS INTEGER) AS is_food_service", "CAST(hour < 15 AS INTEGER) AS is_breakfast_window",
+         "CAST(hour BETWEEN 12 AND 14 AS INTEGER) AS is_lunch_window",
+         "CAST(hour BETWEEN 17 AND 20 AS INTEGER) AS is_dinner_window",
+         "CAST(hour >= 21 AS INTEGER) AS is_after_food_close",
+         "CAST(CASE WHEN hour >= 21 THEN hour - 21 ELSE 0 END AS INTEGER) AS hours_since_food_close",
+         "CAST(hour >= 22 AS INTEGER) AS is_live_music_window",
+         "round(az, 6) + 0.0 AS airport_arrivals_zscore",
+         "CAST(weekday IN (5, 6) AS INTEGER) * CAST(hour >= 22 AS INTEGER) AS weekend_x_music",
+         "round(rain_mm * CAST(weekday IN (5, 6) AS INTEGER), 6) + 0.0 AS rain_x_weekend",
+         "bank_holiday_flag + major_sports_event_flag + city_event_flag + st_patricks_week_flag AS event_intensity",
+         "round(az + CAST(cruise_ship_flag AS DOUBLE), 6) + 0.0 AS tourism_pressure"])
+    return f"""
+WITH p AS ({P3.strip()}),
+enr AS ({ENRICH_SQL.strip()}),
+fl AS ({SQ.FAILTE_DAILY.strip()}),
+ff AS ({SQ.FOOTFALL.strip()}),
+wx AS (SELECT CAST(date AS TIMESTAMP) AS timestamp_hour, temp_c, rain_mm, wind_speed_kmh, weather_severity_flag
+       FROM ({SQ.WEATHER_DAILY.strip()}) w),
+spine AS (SELECT DISTINCT CAST(timestamp_hour AS DATE) AS date FROM p),
+{CAL_COLUMNS_SQL},
+base AS (
+  SELECT p.*,
+    {base_cols}
+  FROM p
+  LEFT JOIN enr e ON e.date = CAST(p.timestamp_hour AS DATE)
+  LEFT JOIN fl ON fl.date = CAST(p.timestamp_hour AS DATE)
+  LEFT JOIN ff ON ff.timestamp_hour = p.timestamp_hour
+  LEFT JOIN wx ON wx.timestamp_hour = p.timestamp_hour
+  LEFT JOIN calcols c ON c.date = CAST(p.timestamp_hour AS DATE)
+{joins}),
+z AS (SELECT *, CASE WHEN stddev_samp(airport_arrivals) OVER (PARTITION BY l_suppkey) > 0
+                     THEN (airport_arrivals - avg(airport_arrivals) OVER (PARTITION BY l_suppkey))
+                          / stddev_samp(airport_arrivals) OVER (PARTITION BY l_suppkey) END AS az FROM base)
+SELECT
+  {final}
+FROM z WINDOW w AS ({win})"""
+
+
+def _register_feature_table():
+    @register("feature_table", sql=_feature_table_sql())
+    def q_feature_table(spark, sf):
+        df = p3_feature_table(spark, sf)
+        dbl = [c for c, t in df.dtypes if t == "double" and c != "sales_total"]
+        return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in dbl})
+
+
+_register_feature_table()
+
+
+@register("interactions", sql=f"""
+SELECT l_suppkey, timestamp_hour, weekend_x_music, rain_x_weekend, event_intensity, tourism_pressure
+FROM ({_feature_table_sql()}) ft""")
+def q_interactions(spark, sf):
+    df = p3_feature_table(spark, sf)
+    return df.select("l_suppkey", TS, "weekend_x_music", F.round("rain_x_weekend", 6).alias("rain_x_weekend"),
+                     "event_intensity", (F.round("tourism_pressure", 6) + F.lit(0.0)).alias("tourism_pressure"))

@@ -85,3 +85,30 @@ SELECT date_trunc('hour', ts) AS timestamp_hour,
        count(*) FILTER (WHERE event_type = 'error') AS n_errors,
        round(avg(value), 4) AS temp_c, round(sum(value) / 2, 4) AS sales_total
 FROM events GROUP BY 1"""
+
+FOOTFALL = f"""
+WITH e1 AS ({SENSOR_E1}),
+st AS (SELECT count(s_rf) AS n_live,
+              median(CASE WHEN s_rf IS NOT NULL AND nearby_footfall_avg > 0 THEN s_rf / nearby_footfall_avg END) AS scale
+       FROM e1),
+f AS (SELECT *, coalesce(nearby_footfall_avg, 0) AS s,
+             (isodow(timestamp_hour) - 1) * 24 + hour(timestamp_hour) AS how FROM e1),
+zs AS (SELECT avg(s) AS mu, stddev_samp(s) AS sd FROM f),
+pq AS (SELECT how, quantile_cont(nearby_footfall_avg, 0.7) AS p FROM f GROUP BY 1)
+SELECT f.timestamp_hour,
+  CAST(trunc(coalesce(CASE WHEN n_live > 100
+                           THEN coalesce(CAST(s_rf AS DOUBLE), round_even(nearby_footfall_avg * scale, 0))
+                           ELSE nearby_footfall_avg END, 0)) AS BIGINT) AS suffolk_nassau_footfall,
+  CAST(s_rf IS NOT NULL AS INTEGER) AS suffolk_counter_is_live,
+  nearby_footfall_avg, nearby_footfall_sum,
+  CASE WHEN sd > 0 THEN round_even((s - mu) / sd, 3) END AS city_footfall_zscore,
+  CAST(round_even(coalesce(lag(s, 1) OVER w, 0), 0) AS BIGINT) AS suffolk_footfall_lag_1h,
+  CAST(round_even(coalesce(lag(s, 24) OVER w, 0), 0) AS BIGINT) AS suffolk_footfall_lag_24h,
+  CAST(round_even(coalesce(lag(s, 168) OVER w, 0), 0) AS BIGINT) AS suffolk_footfall_lag_168h,
+  CASE WHEN count(s) OVER w24 >= 4
+       THEN round_even(sum(CAST(round(s * 10) AS BIGINT)) OVER w24 / (count(s) OVER w24 * 10.0), 1) END
+    AS suffolk_footfall_roll_24h,
+  CAST(coalesce(nearby_footfall_avg > p, false) AS INTEGER) AS suffolk_is_busy_flag
+FROM f CROSS JOIN st CROSS JOIN zs LEFT JOIN pq USING (how)
+WINDOW w AS (ORDER BY f.timestamp_hour),
+       w24 AS (ORDER BY f.timestamp_hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)"""

@@ -111,3 +111,16 @@ def events_hourly(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if(F.col("event_type") == "error").alias("n_errors"),
         F.round(F.avg("value"), 4).alias("temp_c"),
         F.round(F.sum("value") / 2, 4).alias("sales_total"))
+
+
+def footfall_hourly(spark: SparkSession, sf: str) -> DataFrame:
+    """The sensor block of ``sensor_panel`` (one row per ship day)."""
+    from shiftcast.operators.footfall import footfall_features
+
+    return footfall_features(sensor_panel(spark, sf), PRIMARY_SENSOR, NEARBY_SENSORS)
+
+
+def weather_by_ts(spark: SparkSession, sf: str) -> DataFrame:
+    w = weather_daily(spark, sf)
+    return w.select(F.col("date").cast("timestamp_ntz").alias("timestamp_hour"), "temp_c", "rain_mm",
+                    "wind_speed_kmh", "weather_severity_flag")
