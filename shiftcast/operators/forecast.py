@@ -157,12 +157,19 @@ def improvement_pct(base_mae, model_mae) -> Column:
 
 
 def val_split(rows: DataFrame, group: Sequence[str] = ("fold",), ts: str = "timestamp_hour",
-              share: float = 0.2, minimum: int = 200, out: str = "is_val") -> DataFrame:
-    """Flag the last max(int(n × share), minimum) rows of each group (time order)."""
+              share: float = 0.2, minimum: int = 200, out: str = "is_val",
+              max_share: float | None = None) -> DataFrame:
+    """Flag the last max(int(n × share), minimum) rows of each group (time order).
+
+    ``max_share`` caps the validation tail (model fits pass 0.5 so that a
+    short fold keeps training rows; the reference would be left with none).
+    """
     w_all = Window.partitionBy(*group)
     w_ord = Window.partitionBy(*group).orderBy(F.col(ts).desc())
     n = F.count(F.lit(1)).over(w_all)
     size = F.greatest(F.floor(n * share).cast("long"), F.lit(minimum))
+    if max_share is not None:
+        size = F.least(size, F.floor(n * max_share).cast("long"))
     return rows.withColumn(out, F.row_number().over(w_ord) <= size)
 
 

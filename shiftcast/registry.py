@@ -32,7 +32,7 @@ def _load() -> None:
     # Import order = registration order.
     from shiftcast.plans import (  # noqa: F401
         panel_queries, calendar_queries, enrich_queries, feature_queries,
-        segment_queries, forecast_queries, diagnostic_queries, serving_queries,
+        segment_queries, forecast_queries, diagnostic_queries, serving_queries, model_queries,
     )
 
 

@@ -26,6 +26,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     spark = (
         builder
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.driver.memory", os.environ.get("SHIFTCAST_DRIVER_MEMORY", "8g"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
