@@ -35,10 +35,12 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], group: Sequence[str] = ()) -
     return wide.select(*group, F.inline(rows))
 
 
-def target_corr(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
-    """Correlation of each column with ``target`` (sorted by the caller)."""
-    m = corr_matrix(df, cols)
-    return m.filter(F.col("col_b") == target).select(F.col("col_a").alias("feature"), F.col("corr").alias(target))
+def target_corr(df: DataFrame, cols: Sequence[str], target: str, group: Sequence[str] = ()) -> DataFrame:
+    """Correlation of each column with ``target`` (one aggregate, one row per column)."""
+    aggs = [F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"_c{i}") for i, c in enumerate(cols)]
+    wide = df.groupBy(*group).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_c{i}").alias(target)) for i, c in enumerate(cols)])
+    return wide.select(*group, F.inline(rows))
 
 
 def quantiles(df: DataFrame, value: str, qs: Sequence[float], group: Sequence[str] = (),

@@ -194,17 +194,24 @@ def merge_daily_replace(df: DataFrame, daily: DataFrame, ts: str = "timestamp_ho
 
 
 def merge_hourly(df: DataFrame, footfall: DataFrame | None = None, weather: DataFrame | None = None,
-                 ts: str = "timestamp_hour") -> DataFrame:
+                 ts: str = "timestamp_hour", bound_rows: int | None = None) -> DataFrame:
     """Hourly joins: footfall columns (replacing equal names) are zero-filled;
-    weather replaces overlapping columns and keeps NULLs."""
+    weather replaces overlapping columns and keeps NULLs.
+
+    ``bound_rows`` is the caller's proven bound on the signal tables (one row
+    per hour or day of a known range); within it they are broadcast, beyond
+    it the planner and AQE choose.
+    """
     out = df
     if footfall is not None:
         ff_cols = [c for c in footfall.columns if c != ts]
-        out = out.drop(*[c for c in ff_cols if c in out.columns]).join(footfall, ts, "left")
+        out = join_dimension(out.drop(*[c for c in ff_cols if c in out.columns]), footfall, ts, "left",
+                             bound_rows=bound_rows)
         out = out.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in ff_cols})
     if weather is not None:
         wx = [c for c in weather.columns if c != ts]
-        out = out.drop(*[c for c in wx if c in out.columns]).join(weather, ts, "left")
+        out = join_dimension(out.drop(*[c for c in wx if c in out.columns]), weather, ts, "left",
+                             bound_rows=bound_rows)
     return out
 
 
@@ -231,14 +238,16 @@ def coerce_zero_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def zscore(df: DataFrame, c: str, out: str, keys: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """Whole-sample z-score per key, only where the sample std is > 0.
 
-    Mean and std come from a grouped aggregate joined back (no unpartitioned
-    window; for ``keys=()`` the one-row statistics table is broadcast).
+    Keyed: mean and std are whole-partition window aggregates, so they reuse
+    the hash partitioning on the keys that the per-key lag windows need (no
+    extra shuffle, no join).  Unkeyed: a one-row statistics aggregate is
+    broadcast back (no unpartitioned window over the data).
     """
     if keys:
-        stats = df.groupBy(*keys).agg(F.avg(c).alias("_mu"), F.stddev_samp(c).alias("_sd"))
-        j = df.join(stats, list(keys))
+        w = Window.partitionBy(*keys)
+        mu, sd = F.avg(c).over(w), F.stddev_samp(c).over(w)
+        j = df.withColumns({"_mu": mu, "_sd": sd})
     else:
-        # one statistics row (a proven bound): broadcast it on a constant key
         stats = df.groupBy(F.lit(0).alias("_all")).agg(F.avg(c).alias("_mu"), F.stddev_samp(c).alias("_sd"))
         j = df.withColumn("_all", F.lit(0)).join(F.broadcast(stats), "_all").drop("_all")
     z = F.when(F.col("_sd") > 0, (F.col(c) - F.col("_mu")) / F.col("_sd"))

@@ -115,13 +115,15 @@ def p3_feature_table(spark, sf, drop_na: bool = False):
     sparse, so the warm-up drop would remove almost every row: it is off here
     and exercised on the hourly panel by ``warmup_drop``."""
     from shiftcast.plans.enrich_queries import enrichment_table
+    from shiftcast.operators.enrich import MAX_DAYS
     from shiftcast.plans.feature_table import build_feature_table
     from shiftcast.sources import standins as ST
     from shiftcast.sources.tables import panel_p3
 
     return build_feature_table(panel_p3(spark, sf), keys=["l_suppkey"], enrichment=enrichment_table(spark, sf),
                                failte=ST.failte_daily(spark, sf), footfall=ST.footfall_hourly(spark, sf),
-                               weather=ST.weather_by_ts(spark, sf), drop_na=drop_na)
+                               weather=ST.weather_by_ts(spark, sf), drop_na=drop_na,
+                               signal_rows=MAX_DAYS)  # stand-ins hold one row per ship day
 
 
 def _feature_table_sql() -> str:

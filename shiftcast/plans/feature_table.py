@@ -44,7 +44,10 @@ def build_feature_table(panel: DataFrame, keys: Sequence[str] = (), ts: str = "t
                         targets: Sequence[str] = ("orders_count", "food_tickets_count"),
                         enrichment: DataFrame | None = None, failte: DataFrame | None = None,
                         footfall: DataFrame | None = None, weather: DataFrame | None = None,
-                        drop_na: bool = True, music_flag: str | None = "live_music_flag") -> DataFrame:
+                        drop_na: bool = True, music_flag: str | None = "live_music_flag",
+                        signal_rows: int | None = None) -> DataFrame:
+    """``signal_rows``: proven row bound of the footfall / weather tables
+    (one row per hour or day of their range); enables broadcasting them."""
     keys = list(keys)
     df = panel
     if enrichment is not None:
@@ -52,7 +55,7 @@ def build_feature_table(panel: DataFrame, keys: Sequence[str] = (), ts: str = "t
     if failte is not None:
         df = E.merge_daily_replace(df, failte, ts)
         df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in FAILTE_COLS if c in df.columns})
-    df = E.merge_hourly(df, footfall, weather, ts)
+    df = E.merge_hourly(df, footfall, weather, ts, bound_rows=signal_rows)
     for t in targets:
         if t in df.columns:
             df = FT.add_rolling_features(FT.add_lag_features(df, t, keys, ts), t, keys, ts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shiftcast.functions import calendar as CAL
@@ -96,13 +97,15 @@ def _rounded_ft(spark, sf):
     return queries()["feature_table"](spark, sf)
 
 
-def _importance(ft):
-    m = D.corr_matrix(ft, ["orders_count", *DRIVER_CANDIDATES])
-    imp = m.filter((F.col("col_a") == "orders_count") & (F.col("col_b") != "orders_count")).select(
-        F.col("col_b").alias("feature"), F.round(F.abs(F.col("corr")), 9).alias("importance")).na.drop()
-    tot = imp.agg(F.sum("importance").alias("_t"))
-    j = imp.withColumn("_k", F.lit(0)).join(F.broadcast(tot.withColumn("_k", F.lit(0))), "_k")
-    return j.select("feature", "importance", (F.col("importance") / F.col("_t") * 100).alias("importance_pct"))
+def _importance(ft, target: str = "orders_count"):
+    """|corr(target, feature)| as a data-driven importance, as a share of the total.
+
+    One aggregate with one correlation per candidate; the share is a window
+    over the (candidate-sized) result, not a join back."""
+    imp = D.target_corr(ft, DRIVER_CANDIDATES, target)
+    imp = imp.select("feature", F.round(F.abs(F.col(target)), 9).alias("importance")).na.drop()
+    tot = F.sum("importance").over(Window.partitionBy(F.lit(0)))
+    return imp.select("feature", "importance", (F.col("importance") / tot * 100).alias("importance_pct"))
 
 
 def _top_drivers_sql() -> str:
