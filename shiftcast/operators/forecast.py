@@ -224,3 +224,16 @@ def asymmetric_loss(preds: DataFrame, y: str, pred: str = "pred", group: Sequenc
     loss = F.when(r > 0, under_weight * r * r).otherwise(r * r)
     return preds.groupBy(*group).agg(F.avg(loss).alias("asym_loss"),
                                      F.avg((r > 0).cast("double")).alias("under_share"))
+
+
+def val_split_by_time(rows: DataFrame, ts: str = "timestamp_hour", share: float = 0.10, minimum: int = 200,
+                      out: str = "is_val") -> DataFrame:
+    """Flag roughly the last max(n × share, minimum) rows by time without a
+    global sort: the cut is an approximate time quantile (one small action)."""
+    epoch = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
+    n = rows.count()
+    if n == 0:
+        return rows.withColumn(out, F.lit(False))
+    frac = min(max(share, minimum / n), 0.5)
+    cut = rows.agg(F.percentile_approx(epoch, 1 - frac, 100000)).first()[0]
+    return rows.withColumn(out, epoch > F.lit(cut))

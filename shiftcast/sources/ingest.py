@@ -22,19 +22,21 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              sep: str = ",", **options) -> DataFrame:
     """Header CSV read with encoding fallback and lenient bad-line handling.
 
-    * The first encoding that decodes every line without replacement
-      characters wins (one extra scan that stops at the first bad line).
+    * UTF-8 unless some line is not valid UTF-8, then the fallback encoding
+      (one extra scan that stops at the first bad line).
     * Headers lose BOM, blanks and embedded newlines.
     * PERMISSIVE parse: short rows are kept with nulls; rows with more fields
       than the header are dropped, as a reader that skips bad lines would.
     Without ``schema`` every column is read as text; cast with ``try_cast``.
     """
     chosen = encodings[-1]
-    for enc in encodings[:-1]:
-        lines = spark.read.option("encoding", enc).text(path)
-        if lines.filter(F.col("value").contains("\ufffd")).limit(1).count() == 0:
-            chosen = enc
-            break
+    if encodings[0].replace("-", "").upper() == "UTF8" and len(encodings) > 1:
+        # the text source keeps raw bytes, so invalid UTF-8 is detectable per line
+        lines = spark.read.text(path)
+        if lines.filter(~F.is_valid_utf8("value")).limit(1).count() == 0:
+            chosen = encodings[0]
+    else:
+        chosen = encodings[0]
     base = spark.read.option("header", True).option("encoding", chosen).option("sep", sep)
     for k, v in options.items():
         base = base.option(k, v)
