@@ -25,7 +25,7 @@ def q_severity_flag(spark, sf):
 
 @register("ffill_bfill", sql="""
 WITH h AS (SELECT event_type, date_trunc('hour', ts) AS timestamp_hour,
-                  round(avg(CASE WHEN value > 100 THEN value END), 4) AS temp_c,
+                  max(CASE WHEN value > 100 THEN value END) AS temp_c,
                   max(CASE WHEN value < 5 THEN value END) AS rain_mm
            FROM events GROUP BY 1, 2)
 SELECT event_type, timestamp_hour,
@@ -43,7 +43,7 @@ def q_ffill_bfill(spark, sf):
 
     ev = read_table(spark, sf, "events")
     h = ev.groupBy("event_type", floor_hour("ts").alias(TS)).agg(
-        F.round(F.avg(F.when(F.col("value") > 100, F.col("value"))), 4).alias("temp_c"),
+        F.max(F.when(F.col("value") > 100, F.col("value"))).alias("temp_c"),
         F.max(F.when(F.col("value") < 5, F.col("value"))).alias("rain_mm"))
     return E.ffill_bfill(h, ["temp_c", "rain_mm"], keys=["event_type"], order=TS)
 
@@ -151,14 +151,14 @@ def q_enrich_spine(spark, sf):
 @register("merge_daily_replace", sql=with_panels("""
 SELECT p.c_mktsegment, p.timestamp_hour, p.orders_count, p.food_tickets_count,
        w.temp_c, w.rain_mm, w.sales_total
-FROM p LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date, round(avg(l_quantity) / 2, 4) AS temp_c,
-                         round(avg(l_discount) * 100, 4) AS rain_mm, round(sum(l_extendedprice), 2) AS sales_total
+FROM p LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date, max(l_quantity) / 2 AS temp_c,
+                         round(max(l_discount) * 100, 4) AS rain_mm, round(sum(l_extendedprice), 2) AS sales_total
                   FROM lineitem GROUP BY 1) w ON w.date = CAST(p.timestamp_hour AS DATE)""", p=P2))
 def q_merge_daily_replace(spark, sf):
     li = read_table(spark, sf, "lineitem")
     daily = li.groupBy(F.to_date("l_shipdate").alias("date")).agg(
-        F.round(F.avg("l_quantity") / 2, 4).alias("temp_c"),
-        F.round(F.avg("l_discount") * 100, 4).alias("rain_mm"),
+        (F.max("l_quantity") / 2).alias("temp_c"),
+        F.round(F.max("l_discount") * 100, 4).alias("rain_mm"),
         F.round(F.sum("l_extendedprice"), 2).alias("sales_total"))
     return E.merge_daily_replace(panel_p2(spark, sf), daily)
 

@@ -123,9 +123,9 @@ def q_union_dedupe_first(spark, sf):
 
 
 @register("union_history_first", sql="""
-WITH hist AS (SELECT l_shipdate AS ts, round(avg(l_discount), 6) AS value FROM lineitem
+WITH hist AS (SELECT l_shipdate AS ts, max(l_discount) + 0.0 AS value FROM lineitem
               WHERE l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1),
-fc AS (SELECT o_orderdate AS ts, round(avg(o_totalprice) / 1000000, 6) AS value FROM orders
+fc AS (SELECT o_orderdate AS ts, max(o_totalprice) / 1000000 AS value FROM orders
        WHERE o_orderdate >= TIMESTAMP '1997-07-01' GROUP BY 1),
 u AS (SELECT ts, value, 0 AS src FROM hist UNION ALL SELECT ts, value, 1 FROM fc)
 SELECT ts, value, CAST(src = 0 AS INTEGER) AS is_history FROM u
@@ -134,10 +134,10 @@ def q_union_history_first(spark, sf):
     li = read_table(spark, sf, "lineitem")
     o = read_table(spark, sf, "orders")
     hist = (li.filter(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
-            .groupBy(F.col("l_shipdate").alias("ts")).agg(F.round(F.avg("l_discount"), 6).alias("value")))
+            .groupBy(F.col("l_shipdate").alias("ts")).agg((F.max("l_discount") + F.lit(0.0)).alias("value")))
     fc = (o.filter(F.col("o_orderdate") >= F.lit("1997-07-01").cast("timestamp_ntz"))
           .groupBy(F.col("o_orderdate").alias("ts"))
-          .agg(F.round(F.avg("o_totalprice") / 1000000, 6).alias("value")))
+          .agg((F.max("o_totalprice") / 1000000).alias("value")))
     out = ingest.union_first_wins([hist, fc], "ts", rank_col="src")
     return out.select("ts", "value", (F.col("src") == 0).cast("int").alias("is_history"))
 

@@ -224,7 +224,7 @@ def _rule_input(spark, sf):
     ev = read_table(spark, sf, "events")
     h = ST.events_hourly(spark, sf)
     hourly = h.filter(F.col("n_errors") > 0).select(TS, "temp_c")
-    daily = ev.groupBy(F.to_date("ts").alias("date")).agg(F.round(F.avg("value") / 4, 4).alias("temp_c"))
+    daily = ev.groupBy(F.to_date("ts").alias("date")).agg(F.round(F.max("value") / 20, 4).alias("temp_c"))
     p = panel_p1(spark, sf).join(h.select(TS, (F.col("footfall_clicks") / 2.0).alias("rain_mm"),
                                           (F.col("footfall_views") * 300).alias("suffolk_nassau_footfall")), TS, "left")
     p = R.fallback_chain(p, "temp_c", hourly, daily, default=F.lit(12.0))
@@ -284,7 +284,7 @@ x AS (SELECT p.timestamp_hour, p.orders_count, hs.footfall_clicks / 2.0 AS rain_
       FROM p
       LEFT JOIN ({SQ.EVENTS_HOURLY}) hs USING (timestamp_hour)
       LEFT JOIN (SELECT timestamp_hour, temp_c FROM ({SQ.EVENTS_HOURLY}) WHERE n_errors > 0) hr USING (timestamp_hour)
-      LEFT JOIN (SELECT CAST(ts AS DATE) AS d, round(avg(value) / 4, 4) AS temp_c FROM events GROUP BY 1) dy
+      LEFT JOIN (SELECT CAST(ts AS DATE) AS d, round(max(value) / 20, 4) AS temp_c FROM events GROUP BY 1) dy
         ON dy.d = CAST(p.timestamp_hour AS DATE))""", p=P1)
 
 
