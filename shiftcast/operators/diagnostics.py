@@ -24,11 +24,20 @@ from shiftcast.operators import segments as S
 DAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
+def safe_corr(x, y) -> Column:
+    """Pearson correlation over rows where both are present; NULL (not an
+    error, not NaN) when either side has zero variance or < 2 pairs."""
+    x, y = (F.col(x) if isinstance(x, str) else x).cast("double"), (F.col(y) if isinstance(y, str) else y).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    xx, yy = F.when(both, x), F.when(both, y)
+    sx, sy = F.stddev_samp(xx), F.stddev_samp(yy)
+    return F.when((sx > 0) & (sy > 0), F.try_divide(F.covar_samp(xx, yy), sx * sy))
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of every column pair (pairwise-complete rows), one aggregate."""
     pairs = [(a, b) for a in cols for b in cols]
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_c{i}")
-            for i, (a, b) in enumerate(pairs)]
+    aggs = [safe_corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)]
     wide = df.groupBy(*group).agg(*aggs)
     rows = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_c{i}").alias("corr"))
                      for i, (a, b) in enumerate(pairs)])
@@ -37,7 +46,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], group: Sequence[str] = ()) -
 
 def target_corr(df: DataFrame, cols: Sequence[str], target: str, group: Sequence[str] = ()) -> DataFrame:
     """Correlation of each column with ``target`` (one aggregate, one row per column)."""
-    aggs = [F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"_c{i}") for i, c in enumerate(cols)]
+    aggs = [safe_corr(c, target).alias(f"_c{i}") for i, c in enumerate(cols)]
     wide = df.groupBy(*group).agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_c{i}").alias(target)) for i, c in enumerate(cols)])
     return wide.select(*group, F.inline(rows))
@@ -182,7 +191,7 @@ def cross_corr(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), ts: str
 
     s = df.select(*keys, F.col(a).cast("double").alias("_a"),
                   *[shifted(l).cast("double").alias(f"_b{i}") for i, l in enumerate(lags)])
-    agg = s.groupBy(*keys).agg(*[F.corr("_a", f"_b{i}").alias(f"_r{i}") for i, _ in enumerate(lags)])
+    agg = s.groupBy(*keys).agg(*[safe_corr("_a", f"_b{i}").alias(f"_r{i}") for i, _ in enumerate(lags)])
     rows = F.array(*[F.struct(F.lit(l).alias("lag"), F.col(f"_r{i}").alias("xcorr")) for i, l in enumerate(lags)])
     return agg.select(*keys, F.inline(rows))
 

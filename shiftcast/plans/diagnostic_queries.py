@@ -21,13 +21,18 @@ CORR_COLS = ["orders_count", "suffolk_footfall_lag_24h", "suffolk_footfall_roll_
              "event_intensity", "failte_event_count", "airport_arrivals_zscore"]
 
 
+def sql_corr(a: str, b: str) -> str:
+    """DuckDB correlation with NaN (zero variance) as NULL, like ``diagnostics.safe_corr``."""
+    return f"(CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END)"
+
+
 def _r6(c):
     return (F.round(c, 6) + F.lit(0.0)).alias(c)
 
 
 def _corr_sql() -> str:
     pairs = [(i, j, a, b) for i, a in enumerate(CORR_COLS) for j, b in enumerate(CORR_COLS)]
-    aggs = ", ".join(f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) + 0.0 AS c_{i}_{j}"
+    aggs = ", ".join(f"round({sql_corr(f'CAST({a} AS DOUBLE)', f'CAST({b} AS DOUBLE)')}, 6) + 0.0 AS c_{i}_{j}"
                      for i, j, a, b in pairs)
     case = " ".join(f"WHEN col_a = '{a}' AND col_b = '{b}' THEN c_{i}_{j}" for i, j, a, b in pairs)
     values = ", ".join(f"('{a}', '{b}')" for _, _, a, b in pairs)
@@ -139,7 +144,8 @@ _P1_FOOT = f"""SELECT p.*, h.footfall_views FROM p LEFT JOIN ({SQ.EVENTS_HOURLY}
 
 
 @register("cross_corr", sql=with_panels("""
-SELECT l.lag, round(corr(CAST(a.orders_count AS DOUBLE), CAST(b.footfall_views AS DOUBLE)), 6) + 0.0 AS xcorr
+SELECT l.lag, round(CASE WHEN isnan(corr(CAST(a.orders_count AS DOUBLE), CAST(b.footfall_views AS DOUBLE))) THEN NULL
+                         ELSE corr(CAST(a.orders_count AS DOUBLE), CAST(b.footfall_views AS DOUBLE)) END, 6) + 0.0 AS xcorr
 FROM (SELECT unnest(range(-24, 25)) AS lag) l
 CROSS JOIN x a
 LEFT JOIN x b ON b.rn = a.rn - l.lag

@@ -151,14 +151,15 @@ def q_enrich_spine(spark, sf):
 @register("merge_daily_replace", sql=with_panels("""
 SELECT p.c_mktsegment, p.timestamp_hour, p.orders_count, p.food_tickets_count,
        w.temp_c, w.rain_mm, w.sales_total
-FROM p LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date, max(l_quantity) / 2 AS temp_c,
-                         round(max(l_discount) * 100, 4) AS rain_mm, round(sum(l_extendedprice), 2) AS sales_total
+FROM p LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date, (sum(l_quantity) % 30) / 2.0 AS temp_c,
+                         CAST(sum(round(l_discount * 100)) % 13 AS DOUBLE) AS rain_mm,
+                         round(sum(l_extendedprice), 2) AS sales_total
                   FROM lineitem GROUP BY 1) w ON w.date = CAST(p.timestamp_hour AS DATE)""", p=P2))
 def q_merge_daily_replace(spark, sf):
     li = read_table(spark, sf, "lineitem")
     daily = li.groupBy(F.to_date("l_shipdate").alias("date")).agg(
-        (F.max("l_quantity") / 2).alias("temp_c"),
-        F.round(F.max("l_discount") * 100, 4).alias("rain_mm"),
+        ((F.sum("l_quantity") % 30) / 2.0).alias("temp_c"),
+        ((F.sum(F.round(F.col("l_discount") * 100)) % 13) * 1.0).alias("rain_mm"),
         F.round(F.sum("l_extendedprice"), 2).alias("sales_total"))
     return E.merge_daily_replace(panel_p2(spark, sf), daily)
 

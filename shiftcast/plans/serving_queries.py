@@ -12,6 +12,7 @@ from shiftcast.operators import features as FT
 from shiftcast.operators import rules as R
 from shiftcast.operators import serving as SV
 from shiftcast.plans import sqlstandins as SQ
+from shiftcast.plans.diagnostic_queries import sql_corr
 from shiftcast.plans.feature_queries import _feature_table_sql, p3_feature_table
 from shiftcast.plans.segment_queries import _case
 from shiftcast.plans.sqlpanels import P1, P1K, with_panels
@@ -105,13 +106,14 @@ def _importance(ft, target: str = "orders_count"):
     imp = D.target_corr(ft, DRIVER_CANDIDATES, target)
     imp = imp.select("feature", F.round(F.abs(F.col(target)), 9).alias("importance")).na.drop()
     tot = F.sum("importance").over(Window.partitionBy(F.lit(0)))
-    return imp.select("feature", "importance", (F.col("importance") / tot * 100).alias("importance_pct"))
+    return imp.select("feature", "importance", (F.try_divide(F.col("importance"), tot) * 100).alias("importance_pct"))
 
 
 def _top_drivers_sql() -> str:
     labels = "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in SV.HUMAN_LABELS.items()) + "}"
     unions = " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, round(abs(corr(CAST(orders_count AS DOUBLE), CAST({c} AS DOUBLE))), 9) AS importance FROM ft"
+        f"SELECT '{c}' AS feature, round(abs({sql_corr('CAST(orders_count AS DOUBLE)', f'CAST({c} AS DOUBLE)')}), 9)"
+        " AS importance FROM ft"
         for c in DRIVER_CANDIDATES)
     return f"""
 WITH ft AS ({_feature_table_sql()}),
@@ -224,7 +226,8 @@ def _rule_input(spark, sf):
     ev = read_table(spark, sf, "events")
     h = ST.events_hourly(spark, sf)
     hourly = h.filter(F.col("n_errors") > 0).select(TS, "temp_c")
-    daily = ev.groupBy(F.to_date("ts").alias("date")).agg(F.round(F.max("value") / 20, 4).alias("temp_c"))
+    daily = ev.groupBy(F.to_date("ts").alias("date")).agg(
+        ((F.sum(F.round(F.col("value") * 100)) % 2500) / 100.0).alias("temp_c"))
     p = panel_p1(spark, sf).join(h.select(TS, (F.col("footfall_clicks") / 2.0).alias("rain_mm"),
                                           (F.col("footfall_views") * 300).alias("suffolk_nassau_footfall")), TS, "left")
     p = R.fallback_chain(p, "temp_c", hourly, daily, default=F.lit(12.0))
@@ -284,7 +287,8 @@ x AS (SELECT p.timestamp_hour, p.orders_count, hs.footfall_clicks / 2.0 AS rain_
       FROM p
       LEFT JOIN ({SQ.EVENTS_HOURLY}) hs USING (timestamp_hour)
       LEFT JOIN (SELECT timestamp_hour, temp_c FROM ({SQ.EVENTS_HOURLY}) WHERE n_errors > 0) hr USING (timestamp_hour)
-      LEFT JOIN (SELECT CAST(ts AS DATE) AS d, round(max(value) / 20, 4) AS temp_c FROM events GROUP BY 1) dy
+      LEFT JOIN (SELECT CAST(ts AS DATE) AS d, (sum(round(value * 100)) % 2500) / 100.0 AS temp_c
+                 FROM events GROUP BY 1) dy
         ON dy.d = CAST(p.timestamp_hour AS DATE))""", p=P1)
 
 

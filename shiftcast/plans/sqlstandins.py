@@ -3,8 +3,9 @@
 from shiftcast.sources.standins import NEARBY_SENSORS, SENSORS
 
 WEATHER_DAILY = """
-SELECT CAST(l_shipdate AS DATE) AS date, max(l_quantity) / 2 AS temp_c,
-       round(max(l_discount) * 100, 4) AS rain_mm, round(max(l_tax) * 300, 4) AS wind_speed_kmh,
+SELECT CAST(l_shipdate AS DATE) AS date, (sum(l_quantity) % 30) / 2.0 AS temp_c,
+       CAST(sum(round(l_discount * 100)) % 13 AS DOUBLE) AS rain_mm,
+       CAST(sum(round(l_tax * 100)) % 40 AS DOUBLE) AS wind_speed_kmh,
        max(CAST(round(l_discount * 1000) AS INTEGER)) AS weathercode,
        CAST(max(CAST(round(l_discount * 1000) AS INTEGER)) >= 61 AS INTEGER) AS weather_severity_flag
 FROM lineitem GROUP BY 1"""
@@ -83,7 +84,7 @@ SELECT date_trunc('hour', ts) AS timestamp_hour,
        count(*) FILTER (WHERE event_type = 'view') AS footfall_views,
        count(*) FILTER (WHERE event_type = 'click') AS footfall_clicks,
        count(*) FILTER (WHERE event_type = 'error') AS n_errors,
-       round(max(value) / 20, 4) AS temp_c, round(sum(value) / 2, 4) AS sales_total
+       (sum(round(value * 100)) % 3000) / 100.0 AS temp_c, round(sum(value) / 2, 4) AS sales_total
 FROM events GROUP BY 1"""
 
 FOOTFALL = f"""

@@ -23,13 +23,14 @@ NEARBY_SENSORS = [s for s in SENSORS if s != PRIMARY_SENSOR]
 
 def weather_daily(spark: SparkSession, sf: str) -> DataFrame:
     """Daily weather from lineitem ship days: quantity → temperature, discount →
-    rain, tax → wind, discount in thousandths → weather code.  Day maxima of
-    exact decimal inputs keep the values free of rounding ties."""
+    rain, tax → wind, discount in thousandths → weather code.  Integer sums
+    taken modulo a range keep the values exact (no rounding ties) and varying
+    at every scale."""
     li = read_table(spark, sf, "lineitem")
     d = li.groupBy(F.to_date("l_shipdate").alias("date")).agg(
-        (F.max("l_quantity") / 2).alias("temp_c"),
-        F.round(F.max("l_discount") * 100, 4).alias("rain_mm"),
-        F.round(F.max("l_tax") * 300, 4).alias("wind_speed_kmh"),
+        ((F.sum("l_quantity") % 30) / 2.0).alias("temp_c"),
+        ((F.sum(F.round(F.col("l_discount") * 100)) % 13) * 1.0).alias("rain_mm"),
+        ((F.sum(F.round(F.col("l_tax") * 100)) % 40) * 1.0).alias("wind_speed_kmh"),
         F.max(F.round(F.col("l_discount") * 1000).cast("int")).alias("weathercode"))
     return d.withColumn("weather_severity_flag", E.severity_flag("weathercode"))
 
@@ -110,7 +111,7 @@ def events_hourly(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if(F.col("event_type") == "view").alias("footfall_views"),
         F.count_if(F.col("event_type") == "click").alias("footfall_clicks"),
         F.count_if(F.col("event_type") == "error").alias("n_errors"),
-        F.round(F.max("value") / 20, 4).alias("temp_c"),
+        ((F.sum(F.round(F.col("value") * 100)) % 3000) / 100.0).alias("temp_c"),
         F.round(F.sum("value") / 2, 4).alias("sales_total"))
 
 
