@@ -29,6 +29,25 @@ def date_spine(bounds: DataFrame, start: str = "start", end: str = "end",
     return bounds.select(F.explode(F.sequence(s, e, F.expr("INTERVAL 1 DAY"))).alias("date"))
 
 
+def calendar_dimension(df: DataFrame, ts: str = "timestamp_hour", holidays_only: bool = False) -> DataFrame:
+    """One row per date of ``df``'s date range with every calendar column.
+
+    Calendar rules (Easter computus, holiday rules) are evaluated once per
+    date here, then joined to the rows (a broadcast of at most one row per
+    day) instead of being re-evaluated on every row of a large panel.
+    """
+    bounds = df.agg(F.min(F.to_date(ts)).alias("start"), F.max(F.to_date(ts)).alias("end"))
+    spine = date_spine(bounds)
+    cols = [cal.bank_holiday_flag("date").alias("bank_holiday_flag")]
+    if not holidays_only:
+        cols += [cal.school_holiday_flag("date").alias("school_holiday_flag"),
+                 cal.college_term_flag("date").alias("college_term_flag"),
+                 cal.payday_flag("date").alias("payday_period_flag"),
+                 cal.days_from_payday("date").alias("days_from_payday"),
+                 *[c.alias(k) for k, c in cal.annual_flags("date").items()]]
+    return spine.select("date", *cols)
+
+
 def payday_calendar(spine: DataFrame, date: str = "date") -> DataFrame:
     return spine.select(date, cal.payday_flag(date).alias("payday_period_flag"),
                         cal.days_from_payday(date).alias("days_from_payday"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftcast.functions.timecols import col
-from shiftcast.session import join_dimension
+from shiftcast.session import join_dimension  # noqa: F401 - re-exported for plans
 
 # Port keywords that mark a cruise vessel by name.
 CRUISE_KEYWORDS = (

@@ -60,7 +60,10 @@ def build_feature_table(panel: DataFrame, keys: Sequence[str] = (), ts: str = "t
         if t in df.columns:
             df = FT.add_rolling_features(FT.add_lag_features(df, t, keys, ts), t, keys, ts)
     df = C.add_cyclic(C.add_time_parts(df, ts))
-    df = df.withColumn("bank_holiday_flag", CAL.bank_holiday_flag(F.to_date(ts)))
+    # single source for the holiday flag: the rule set, evaluated once per date
+    hol = C.calendar_dimension(df, ts, holidays_only=True).withColumnRenamed("date", "_hdate")
+    df = E.join_dimension(df.drop("bank_holiday_flag").withColumn("_hdate", F.to_date(ts)), hol, "_hdate", "left",
+                          bound_rows=E.MAX_DAYS).drop("_hdate")
     df = C.add_venue_windows(df, ts, music_flag=music_flag)
     df = E.coerce_zero_fill(df, EXTERNAL_COLS)
     if "airport_arrivals" in df.columns:

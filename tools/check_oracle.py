@@ -10,6 +10,7 @@ of the values.  Usage::
 from __future__ import annotations
 
 import hashlib
+import os
 import math
 import sys
 import time
@@ -47,6 +48,8 @@ def main() -> int:
     sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     only = [a for a in args if not a.startswith("/")]
     spark = get_spark("local[8]")
+    if os.environ.get("CHECK_TZ"):  # run under another session zone, as a driver might
+        spark.conf.set("spark.sql.session.timeZone", os.environ["CHECK_TZ"])
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
