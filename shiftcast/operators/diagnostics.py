@@ -123,21 +123,23 @@ def residual_profile(oos: DataFrame, panel: DataFrame, keys: Sequence[str] = (),
 def acf(df: DataFrame, value: str, keys: Sequence[str] = (), ts: str = "timestamp_hour", nlags: int = 168) -> DataFrame:
     """Sample autocorrelation on the row sequence of each key (biased estimator).
 
-    One sorted pass: every lag is a window ``lag`` of the centred value, the
-    numerators are sums in a single aggregate, no self-join.
+    One sorted pass builds, per row, the array of lagged centred values; a
+    ``posexplode`` feeds a (keys, lag) sum whose partial aggregation runs in
+    the same stage, so the rows × lags product is never materialised or
+    shuffled — only (keys × lags) partial sums are.  No self-join.
     """
     keys = list(keys)
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     w = (Window.partitionBy(*keys) if keys else Window).orderBy(ts)
     c = df.filter(F.col(value).isNotNull()).select(
         *keys, ts, (F.col(value).cast("double") - F.avg(F.col(value).cast("double")).over(part)).alias("_c"))
-    lagged = c.select(*keys, "_c", *[(F.col("_c") * F.lag("_c", k).over(w)).alias(f"_p{k}") for k in range(1, nlags + 1)])
-    sums = lagged.groupBy(*keys).agg(F.sum(F.col("_c") * F.col("_c")).alias("_d"),
-                                     *[F.sum(f"_p{k}").alias(f"_p{k}") for k in range(1, nlags + 1)])
-    rows = F.array(F.struct(F.lit(0).alias("lag"), F.lit(1.0).alias("acf")),
-                   *[F.struct(F.lit(k).alias("lag"), (F.coalesce(F.col(f"_p{k}"), F.lit(0.0)) / F.col("_d")).alias("acf"))
-                     for k in range(1, nlags + 1)])
-    return sums.filter(F.col("_d") > 0).select(*keys, F.inline(rows))
+    lagged = c.select(*keys, "_c", F.array(*[F.lag("_c", k).over(w) for k in range(nlags + 1)]).alias("_l"))
+    num = (lagged.select(*keys, "_c", F.posexplode("_l").alias("lag", "_x"))
+           .groupBy(*keys, "lag").agg(F.coalesce(F.sum(F.col("_x") * F.col("_c")), F.lit(0.0)).alias("_n")))
+    den = F.max(F.when(F.col("lag") == 0, F.col("_n"))).over(Window.partitionBy(*keys) if keys
+                                                               else Window.partitionBy(F.lit(0)))
+    out = num.withColumn("_d", den).filter(F.col("_d") > 0)
+    return out.select(*keys, F.col("lag").cast("int").alias("lag"), (F.col("_n") / F.col("_d")).alias("acf"))
 
 
 def _durbin_levinson(r: np.ndarray, nlags: int) -> np.ndarray:
@@ -181,19 +183,22 @@ def pacf(df: DataFrame, value: str, keys: Sequence[str] = (), ts: str = "timesta
 
 def cross_corr(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), ts: str = "timestamp_hour",
                max_lag: int = 24) -> DataFrame:
-    """corr(a_t, b_{t-l}) for l in −max_lag … max_lag on the row sequence (pairwise complete)."""
+    """corr(a_t, b_{t-l}) for l in −max_lag … max_lag on the row sequence (pairwise complete).
+
+    Shifted values of ``b`` are built as one array per row and exploded into
+    a (keys, lag) correlation aggregate (partial aggregation, no self-join)."""
     keys = list(keys)
     w = (Window.partitionBy(*keys) if keys else Window).orderBy(ts)
-    lags = range(-max_lag, max_lag + 1)
+    lags = list(range(-max_lag, max_lag + 1))
 
     def shifted(l: int) -> Column:
         return F.lag(b, l).over(w) if l > 0 else (F.lead(b, -l).over(w) if l < 0 else F.col(b))
 
     s = df.select(*keys, F.col(a).cast("double").alias("_a"),
-                  *[shifted(l).cast("double").alias(f"_b{i}") for i, l in enumerate(lags)])
-    agg = s.groupBy(*keys).agg(*[safe_corr("_a", f"_b{i}").alias(f"_r{i}") for i, _ in enumerate(lags)])
-    rows = F.array(*[F.struct(F.lit(l).alias("lag"), F.col(f"_r{i}").alias("xcorr")) for i, l in enumerate(lags)])
-    return agg.select(*keys, F.inline(rows))
+                  F.array(*[shifted(l).cast("double") for l in lags]).alias("_bs"))
+    ex = s.select(*keys, "_a", F.posexplode("_bs").alias("_i", "_b"))
+    agg = ex.groupBy(*keys, "_i").agg(safe_corr("_a", "_b").alias("xcorr"))
+    return agg.select(*keys, (F.col("_i") - max_lag).cast("int").alias("lag"), "xcorr")
 
 
 def describe(df: DataFrame, cols: Sequence[str], method: str = "histogram") -> DataFrame:
