@@ -90,22 +90,57 @@ def same_slot_mean(df: DataFrame, value: str, weeks: int = 4, keys: Sequence[str
     return df.withColumn(name or f"{value}_same_slot_{weeks}w_avg", F.when(n > 0, s / n)).drop(*tmp)
 
 
+INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
+
+
 def rolling_stats(df: DataFrame, value: str, spec: dict[str, tuple[int, str]] | None = None,
-                  keys: Sequence[str] = (), ts: str = "timestamp_hour") -> DataFrame:
+                  keys: Sequence[str] = (), ts: str = "timestamp_hour", method: str = "frames") -> DataFrame:
     """Trailing row windows that end one row before the current one.
 
     ``min_periods = max(1, w // 4)`` non-null values, else NULL.
+
+    ``method="frames"`` (default) uses sliding ROWS frames: O(w) per row.
+    ``"prefix"`` takes mean / sum / std from running sums (count, Σx, Σx² in
+    exact decimal arithmetic for integer columns) differenced with row lags —
+    O(1) per row whatever the width, for very wide windows; max / min always
+    use frames.  ``"auto"`` picks prefix for integer columns.  On the bench
+    panel both cost the same at w ≤ 168.
     """
     spec = spec or ROLLING
     base = ordered_window(keys, ts)
+    integral = dict(df.dtypes).get(value) in INTEGRAL
+    use_prefix = method == "prefix" or (method == "auto" and integral)
+    x = F.col(value)
     cols = {}
+    tmp = []
+    if use_prefix and any(how in ("mean", "sum", "std") for _, how in spec.values()):
+        run = base.rowsBetween(Window.unboundedPreceding, 0)
+        xd = x.cast("decimal(38,0)") if integral else x.cast("double")
+        df = df.withColumns({"_pn": F.count(x).over(run), "_ps": F.coalesce(F.sum(xd).over(run), F.lit(0)),
+                             "_pq": F.coalesce(F.sum(xd * xd).over(run), F.lit(0))})
+        tmp = ["_pn", "_ps", "_pq"]
+
+        def trail(c: str, w: int) -> Column:
+            return F.coalesce(F.lag(c, 1).over(base), F.lit(0)) - F.coalesce(F.lag(c, w + 1).over(base), F.lit(0))
+
     for name, (w, how) in spec.items():
-        win = base.rowsBetween(-w, -1)
-        x = F.col(value)
-        agg = {"mean": F.avg(x), "std": F.stddev_samp(x), "max": F.max(x), "min": F.min(x),
-               "sum": F.sum(x)}[how]
-        cols[f"{value}_{name}"] = F.when(F.count(x).over(win) >= max(1, w // 4), agg.over(win))
-    return df.withColumns(cols)
+        minp = max(1, w // 4)
+        if use_prefix and how in ("mean", "sum", "std"):
+            n, s1, s2 = trail("_pn", w), trail("_ps", w), trail("_pq", w)
+            if how == "mean":
+                v = s1.cast("double") / n
+            elif how == "sum":
+                v = s1.cast(dict(df.dtypes)[value]) if integral else s1
+            else:
+                var = (n * s2 - s1 * s1).cast("double") / (n * (n - 1)).cast("double")
+                v = F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
+            cols[f"{value}_{name}"] = F.when(n >= minp, v)
+        else:
+            win = base.rowsBetween(-w, -1)
+            agg = {"mean": F.avg(x), "std": F.stddev_samp(x), "max": F.max(x), "min": F.min(x),
+                   "sum": F.sum(x)}[how]
+            cols[f"{value}_{name}"] = F.when(F.count(x).over(win) >= minp, agg.over(win))
+    return df.withColumns(cols).drop(*tmp)
 
 
 def add_lag_features(df: DataFrame, target: str, keys: Sequence[str] = (), ts: str = "timestamp_hour") -> DataFrame:
