@@ -130,9 +130,30 @@ def q_acf(spark, sf):
     return a.select(*K, "lag", _r6("acf"))
 
 
-@register("pacf")
+@register("pacf", sql=with_panels("""
+SELECT event_type, k AS lag, round(pacf, 6) + 0.0 AS pacf FROM dl""", ctes="""
+x AS (SELECT event_type, CAST(orders_count AS DOUBLE) - avg(orders_count) OVER (PARTITION BY event_type) AS c,
+             row_number() OVER (PARTITION BY event_type ORDER BY timestamp_hour) AS rn FROM p),
+d AS (SELECT event_type, sum(c * c) AS den FROM x GROUP BY 1),
+ac AS (SELECT a.event_type, a.k, coalesce(sum(a.c * b.c), 0) / max(d.den) AS r
+       FROM (SELECT event_type, c, rn, unnest(range(0, 49)) AS k FROM x) a
+       JOIN d ON d.event_type = a.event_type
+       LEFT JOIN x b ON b.event_type = a.event_type AND b.rn = a.rn - a.k
+       GROUP BY a.event_type, a.k),
+al AS (SELECT event_type, list(r ORDER BY k) AS r FROM ac GROUP BY 1),
+dl(event_type, k, phi, sigma, pacf) AS (
+  SELECT event_type, 0, CAST([] AS DOUBLE[]), r[1], CAST(1.0 AS DOUBLE) FROM al
+  UNION ALL
+  SELECT dl.event_type, dl.k + 1,
+         list_transform(range(1, dl.k + 1), lambda j: dl.phi[j] - x.av * dl.phi[dl.k + 1 - j]) || [x.av],
+         dl.sigma * (1 - x.av * x.av), x.av
+  FROM dl JOIN al ON al.event_type = dl.event_type,
+  LATERAL (SELECT (al.r[dl.k + 2] - coalesce(list_sum(list_transform(range(1, dl.k + 1),
+                                                 lambda j: dl.phi[j] * al.r[dl.k + 2 - j])), 0)) / dl.sigma AS av) x
+  WHERE dl.k < 48)""", p=P1K).replace("WITH ", "WITH RECURSIVE ", 1))
 def q_pacf(spark, sf):
-    return D.pacf(panel_p1(spark, sf, keyed=True), "orders_count", K, nlags=48)
+    pc = D.pacf(panel_p1(spark, sf, keyed=True), "orders_count", K, nlags=48)
+    return pc.select(*K, "lag", _r6("pacf"))
 
 
 def _p1_with_footfall(spark, sf):
