@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from shiftcast.functions.timecols import weekday
 from shiftcast.operators import segments as S
-from shiftcast.session import join_dimension
 
 WEEK_US = 7 * 24 * 3600 * 1_000_000
 

@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftcast.functions import calendar as CAL
 from shiftcast.operators import calendars as C
 from shiftcast.operators import enrich as E
 from shiftcast.operators import features as FT

@@ -13,7 +13,7 @@ from shiftcast.operators import rules as R
 from shiftcast.operators import serving as SV
 from shiftcast.plans import sqlstandins as SQ
 from shiftcast.plans.diagnostic_queries import sql_corr
-from shiftcast.plans.feature_queries import _feature_table_sql, p3_feature_table
+from shiftcast.plans.feature_queries import _feature_table_sql
 from shiftcast.plans.segment_queries import _case
 from shiftcast.plans.sqlpanels import P1, P1K, with_panels
 from shiftcast.registry import register
