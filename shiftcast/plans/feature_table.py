@@ -1,9 +1,11 @@
-"""The feature-table job (survey F7): panel → daily and hourly enrichment →
-per-target lags and rolling statistics → calendar, venue and external
+"""The feature-table job (survey F7): panel → per-target lags and rolling
+statistics → daily and hourly enrichment → calendar, venue and external
 columns → interactions → optional warm-up drop.
 
 All per-target windows share one ``PARTITION BY keys ORDER BY ts`` spec, so
-the whole table needs one shuffle on the keys and one sort.
+the whole table needs one shuffle on the keys and one sort.  The windows run
+before the joins (they only read the targets), so the window operator buffers
+narrow rows; the signal joins afterwards are broadcasts of date/hour tables.
 """
 
 from __future__ import annotations
@@ -48,19 +50,22 @@ def build_feature_table(panel: DataFrame, keys: Sequence[str] = (), ts: str = "t
     """``signal_rows``: proven row bound of the footfall / weather tables
     (one row per hour or day of their range); enables broadcasting them."""
     keys = list(keys)
+    # 1. all windows first, on the narrow panel: every lag / rolling column of
+    #    every target in one sorted pass that buffers only (keys, ts, targets)
     df = panel
+    for t in targets:
+        if t in df.columns:
+            df = FT.add_rolling_features(FT.add_lag_features(df, t, keys, ts), t, keys, ts)
+    # 2. then the signal joins: broadcasts of date / hour dimensions, no shuffle
     if enrichment is not None:
         df = E.merge_daily_replace(df, enrichment, ts)
     if failte is not None:
         df = E.merge_daily_replace(df, failte, ts)
         df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in FAILTE_COLS if c in df.columns})
     df = E.merge_hourly(df, footfall, weather, ts, bound_rows=signal_rows)
-    for t in targets:
-        if t in df.columns:
-            df = FT.add_rolling_features(FT.add_lag_features(df, t, keys, ts), t, keys, ts)
     df = C.add_cyclic(C.add_time_parts(df, ts))
     # single source for the holiday flag: the rule set, evaluated once per date
-    hol = C.calendar_dimension(df, ts, holidays_only=True).withColumnRenamed("date", "_hdate")
+    hol = C.calendar_dimension(panel, ts, holidays_only=True).withColumnRenamed("date", "_hdate")
     df = E.join_dimension(df.drop("bank_holiday_flag").withColumn("_hdate", F.to_date(ts)), hol, "_hdate", "left",
                           bound_rows=E.MAX_DAYS).drop("_hdate")
     df = C.add_venue_windows(df, ts, music_flag=music_flag)
