@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shiftcast.operators import availability as AV
@@ -109,3 +110,19 @@ def q_ablation(spark, sf):
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+@register("cv_compare")
+def q_cv_compare(spark, sf):
+    """H8 with both models: fold metrics summarised per model (mean ± std)
+    and the tree model's MAE improvement over the baseline in percent."""
+    ft = p1_model_table(spark, sf)
+    lagged = FT.clock_lags(ft.drop(f"{TARGET}_lag_168h"), TARGET, (168,))
+    base = FC.baseline_backtest(lagged, TARGET, lag_col=f"{TARGET}_lag_168h", **FOLDS)
+    tree = model_fold_predictions(ft, TARGET, _features(ft), params=QUICK, **FOLDS)
+    b = fold_summary(ft, base, TARGET, **FOLDS).withColumn("model", F.lit("baseline"))
+    x = fold_summary(ft, tree, TARGET, **FOLDS).withColumn("model", F.lit("gbt"))
+    summ = FC.cv_summary(b.unionByName(x), group=["model"])  # one row per model
+    base_mae = F.max(F.when(F.col("model") == "baseline", F.col("mae_mean"))).over(Window.partitionBy(F.lit(0)))
+    return summ.withColumn("_b", base_mae) \
+        .withColumn("mae_improvement_pct", FC.improvement_pct("_b", "mae_mean")).drop("_b")

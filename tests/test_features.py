@@ -91,3 +91,12 @@ def test_interactions(spark):
     r = FT.add_interactions(df).first()
     assert (r.weekend_x_music, r.rain_x_weekend, r.event_intensity, r.tourism_pressure) == (1, 2.5, 2, 1.5)
     assert not math.isnan(r.tourism_pressure)
+
+
+def test_feature_lists_by_availability_and_exclusion():
+    cols = ["timestamp_hour", "orders_count", "orders_count_lag_1", "orders_count_lag_24h", "hour", "temp_c",
+            "sales_total", "busy_label"]
+    assert AV.feature_cols(cols, AV.SAFE_FOR_NEXT_DAY) == ["orders_count_lag_24h", "hour", "temp_c"]
+    assert "orders_count_lag_1" in AV.feature_cols(cols, AV.FULL_FEATURES)
+    assert AV.feature_columns_by_exclusion(cols, ["orders_count"]) == ["orders_count_lag_1", "orders_count_lag_24h",
+                                                                        "temp_c"]
