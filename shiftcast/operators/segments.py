@@ -135,7 +135,9 @@ def shift_kpis(forecast: DataFrame, history: DataFrame, orders: str, tickets: st
     against percentiles of *strictly earlier* days' actual totals.
 
     The as-of percentile is a growing-frame window over one row per day, so no
-    pair of days is ever materialised.  History uses shift hours up to 23 h.
+    pair of days is ever materialised; its buffer is a value → count map, so
+    each evaluation costs O(distinct totals), which integer totals keep small.
+    History uses shift hours up to 23 h.
     """
     keys = list(keys)
     kpi = F.col("shift")

@@ -19,11 +19,12 @@ def clean_header(name: str) -> str:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              encodings: Sequence[str] = ("UTF-8", "ISO-8859-1"), drop_too_long: bool = True,
-             sep: str = ",", **options) -> DataFrame:
+             sep: str = ",", encoding_sample_lines: int | None = None, **options) -> DataFrame:
     """Header CSV read with encoding fallback and lenient bad-line handling.
 
     * UTF-8 unless some line is not valid UTF-8, then the fallback encoding
-      (one extra scan that stops at the first bad line).
+      (one extra scan that stops at the first bad line; with
+      ``encoding_sample_lines`` only that many leading lines are checked).
     * Headers lose BOM, blanks and embedded newlines.
     * PERMISSIVE parse: short rows are kept with nulls; rows with more fields
       than the header are dropped, as a reader that skips bad lines would.
@@ -33,6 +34,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     if encodings[0].replace("-", "").upper() == "UTF8" and len(encodings) > 1:
         # the text source keeps raw bytes, so invalid UTF-8 is detectable per line
         lines = spark.read.text(path)
+        if encoding_sample_lines:
+            lines = lines.limit(encoding_sample_lines)
         if lines.filter(~F.is_valid_utf8("value")).limit(1).count() == 0:
             chosen = encodings[0]
     else:

@@ -50,6 +50,9 @@ def main() -> int:
     spark = get_spark("local[8]")
     if os.environ.get("CHECK_TZ"):  # run under another session zone, as a driver might
         spark.conf.set("spark.sql.session.timeZone", os.environ["CHECK_TZ"])
+    if os.environ.get("CHECK_PARTITIONS"):  # other shuffle widths / AQE off expose order dependence
+        spark.conf.set("spark.sql.shuffle.partitions", os.environ["CHECK_PARTITIONS"])
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
