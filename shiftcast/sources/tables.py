@@ -14,6 +14,8 @@ Each panel has ``timestamp_hour`` (naive), ``orders_count``,
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,23 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_READ_CACHE: dict[tuple, DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet table reader.  The relation (file listing + footer schema) is
+    reused while the path's modification time is unchanged, so a job that
+    reads the same table in many branches resolves it once."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    try:
+        stamp = os.stat(path).st_mtime_ns
+    except OSError:  # remote or missing path: no reuse
+        return spark.read.parquet(path)
+    key = (id(spark), spark.sparkContext.applicationId, path, stamp)
+    df = _READ_CACHE.get(key)
+    if df is None:
+        df = _READ_CACHE[key] = spark.read.parquet(path)
+    return df
 
 
 def panel_p1(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
