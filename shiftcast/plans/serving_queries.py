@@ -136,7 +136,7 @@ def q_top_drivers(spark, sf):
 
 
 def _briefing_sql() -> str:
-    T = SV.BRIEFING_TEXT
+    T = SV.briefing_text()
     absent = {"special_event_flag"}  # not produced by the feature table
     sig = ", ".join((f"max(coalesce(TRY_CAST({c} AS DOUBLE), 0.0)) AS {c}" if c not in absent else f"0.0 AS {c}")
                     for c in SV.BRIEFING_SIGNALS)
