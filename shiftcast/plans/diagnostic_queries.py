@@ -83,7 +83,7 @@ FOLDS = dict(n_splits=4, test_weeks=1, min_train_weeks=1)
 
 _P1_BASELINE_SQL = """
 pl AS (SELECT p.*, q.orders_count AS lag168 FROM p LEFT JOIN p q ON q.timestamp_hour = p.timestamp_hour - INTERVAL 168 HOUR),
-cut AS (SELECT i AS fold,
+cut AS (SELECT CAST(i AS INTEGER) AS fold,
            make_timestamp(epoch_us(first) + CAST(floor(i * CAST(epoch_us(last) - epoch_us(first) AS DOUBLE) / 3)
                                                  AS BIGINT)) AS cutoff
         FROM (SELECT min(timestamp_hour) + INTERVAL 7 DAY AS first, max(timestamp_hour) - INTERVAL 7 DAY AS last
@@ -117,7 +117,7 @@ def q_residual_profile(spark, sf):
 
 
 @register("acf", sql=with_panels("""
-SELECT a.event_type, a.k AS lag, round(coalesce(sum(a.c * b.c), 0) / max(d.den), 6) + 0.0 AS acf
+SELECT a.event_type, CAST(a.k AS INTEGER) AS lag, round(coalesce(sum(a.c * b.c), 0) / max(d.den), 6) + 0.0 AS acf
 FROM (SELECT event_type, c, rn, unnest(range(0, 169)) AS k FROM x) a
 JOIN d ON d.event_type = a.event_type
 LEFT JOIN x b ON b.event_type = a.event_type AND b.rn = a.rn - a.k
@@ -165,7 +165,7 @@ _P1_FOOT = f"""SELECT p.*, h.footfall_views FROM p LEFT JOIN ({SQ.EVENTS_HOURLY}
 
 
 @register("cross_corr", sql=with_panels("""
-SELECT l.lag, round(CASE WHEN isnan(corr(CAST(a.orders_count AS DOUBLE), CAST(b.footfall_views AS DOUBLE))) THEN NULL
+SELECT CAST(l.lag AS INTEGER) AS lag, round(CASE WHEN isnan(corr(CAST(a.orders_count AS DOUBLE), CAST(b.footfall_views AS DOUBLE))) THEN NULL
                          ELSE corr(CAST(a.orders_count AS DOUBLE), CAST(b.footfall_views AS DOUBLE)) END, 6) + 0.0 AS xcorr
 FROM (SELECT unnest(range(-24, 25)) AS lag) l
 CROSS JOIN x a

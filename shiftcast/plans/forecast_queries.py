@@ -21,7 +21,7 @@ def _cut_sql(keyed: bool) -> str:
     k = "event_type, " if keyed else ""
     g = "GROUP BY event_type" if keyed else ""
     return f"""
-cut AS (SELECT {k}i AS fold,
+cut AS (SELECT {k}CAST(i AS INTEGER) AS fold,
            make_timestamp(epoch_us(first) + CAST(floor(i * CAST(epoch_us(last) - epoch_us(first) AS DOUBLE) / 3)
                                                  AS BIGINT)) AS cutoff
         FROM (SELECT {k}min(timestamp_hour) + INTERVAL 7 DAY AS first, max(timestamp_hour) - INTERVAL 7 DAY AS last

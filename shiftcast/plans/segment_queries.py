@@ -82,7 +82,7 @@ SELECT p.timestamp_hour, CAST(coalesce(q.orders_count, 0) AS DOUBLE) AS orders_f
 FROM p LEFT JOIN p q ON q.timestamp_hour = p.timestamp_hour - INTERVAL 168 HOUR"""
 
 _KPI_SQL = f"""
-f AS (SELECT *, CAST(timestamp_hour AS DATE) AS date, hour(timestamp_hour) AS hour,
+f AS (SELECT *, CAST(timestamp_hour AS DATE) AS date, CAST(hour(timestamp_hour) AS INTEGER) AS hour,
              {_case('kpi', 'hour(timestamp_hour)')} AS shift FROM fc),
 fd AS (SELECT date, shift, CAST(floor(sum(orders_fc)) AS BIGINT) AS orders,
               CAST(floor(sum(tickets_fc)) AS BIGINT) AS tickets,

@@ -120,7 +120,7 @@ WITH ft AS ({_feature_table_sql()}),
 imp AS (SELECT * FROM ({unions}) u WHERE importance IS NOT NULL),
 pct AS (SELECT feature, importance, importance / sum(importance) OVER () * 100 AS importance_pct FROM imp),
 top AS (SELECT *, row_number() OVER (ORDER BY importance_pct DESC, feature) AS rank FROM pct)
-SELECT rank, feature,
+SELECT CAST(rank AS INTEGER) AS rank, feature,
   coalesce(({labels})[feature],
            array_to_string(list_transform(string_split(replace(feature, '_', ' '), ' '),
                                           lambda w: upper(w[1]) || lower(w[2:])), ' ')) AS label,
