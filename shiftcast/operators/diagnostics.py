@@ -52,6 +52,29 @@ def target_corr(df: DataFrame, cols: Sequence[str], target: str, group: Sequence
     return wide.select(*group, F.inline(rows))
 
 
+def value_histogram(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
+    """(group, value, count): the exact distribution, map-side combined."""
+    v = F.col(value).cast("double")
+    return df.filter(v.isNotNull()).groupBy(*group, v.alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+
+
+def _hist_quantiles(hist: DataFrame, qs: Sequence[float], group: list, names: list) -> DataFrame:
+    w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_v")
+    ranked = hist.withColumns({"_cum": F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                               "_n": F.sum("_k").over(Window.partitionBy(*group) if group
+                                                      else Window.partitionBy(F.lit(0)))})
+    aggs = []
+    for q, name in zip(qs, names):
+        h = (F.col("_n") - 1) * q
+        lo, hi = F.floor(h), F.ceil(h)
+        aggs += [F.min(F.when(F.col("_cum") > lo, F.col("_v"))).alias(f"{name}_lo"),
+                 F.min(F.when(F.col("_cum") > hi, F.col("_v"))).alias(f"{name}_hi"),
+                 F.max(h - lo).alias(f"{name}_f")]
+    a = ranked.groupBy(*group).agg(*aggs)
+    return a.select(*group, *[(F.col(f"{n}_lo") + F.col(f"{n}_f") * (F.col(f"{n}_hi") - F.col(f"{n}_lo"))).alias(n)
+                              for n in names])
+
+
 def quantiles(df: DataFrame, value: str, qs: Sequence[float], group: Sequence[str] = (),
               method: str = "histogram", names: Sequence[str] | None = None) -> DataFrame:
     """Linear-interpolation quantiles per group (the numpy / pandas default)."""
@@ -64,40 +87,33 @@ def quantiles(df: DataFrame, value: str, qs: Sequence[float], group: Sequence[st
     if method == "exact":
         return df.groupBy(*group).agg(F.percentile(v, F.array(*[F.lit(q) for q in qs])).alias("_q")).select(
             *group, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    hist = df.filter(v.isNotNull()).groupBy(*group, v.alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
-    w = (Window.partitionBy(*group) if group else Window).orderBy("_v")
-    hist = hist.withColumns({"_cum": F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    n_all = F.sum("_k")
-    stats = hist.groupBy(*group).agg(n_all.alias("_n"))
-    if group:
-        j = hist.join(stats, group)
-    else:  # one statistics row: broadcast it on a constant key
-        j = hist.withColumn("_all", F.lit(0)).join(F.broadcast(stats.withColumn("_all", F.lit(0))), "_all")
-    aggs = []
-    for q, name in zip(qs, names):
-        h = (F.col("_n") - 1) * q
-        lo, hi = F.floor(h), F.ceil(h)
-        aggs += [F.min(F.when(F.col("_cum") > lo, F.col("_v"))).alias(f"{name}_lo"),
-                 F.min(F.when(F.col("_cum") > hi, F.col("_v"))).alias(f"{name}_hi"),
-                 F.first(h - lo).alias(f"{name}_f")]
-    a = j.groupBy(*group).agg(*aggs)
-    return a.select(*group, *[(F.col(f"{n}_lo") + F.col(f"{n}_f") * (F.col(f"{n}_hi") - F.col(f"{n}_lo"))).alias(n)
-                              for n in names])
+    return _hist_quantiles(value_histogram(df, value, group), qs, group, names)
 
 
 def box_stats(df: DataFrame, value: str, group: Sequence[str], method: str = "histogram") -> DataFrame:
-    """Quartiles, 1.5·IQR whiskers (furthest points inside the fences) and outlier count."""
+    """Quartiles, 1.5·IQR whiskers (furthest points inside the fences) and outlier count.
+
+    Histogram method: quartiles, whiskers and counts all come from the
+    (group, value, count) table, so the input is scanned once."""
     group = list(group)
-    q = quantiles(df, value, (0.25, 0.5, 0.75), group, method, names=("q1", "median", "q3"))
-    v = F.col(value).cast("double")
-    j = df.select(*group, v.alias("_x")).join(q, group, "inner")
+    names = ["q1", "median", "q3"]
+    if method == "histogram":
+        hist = value_histogram(df, value, group)
+        q = _hist_quantiles(hist, (0.25, 0.5, 0.75), group, names)
+        j = hist.join(q, group, "inner") if group else hist.withColumn("_all", F.lit(0)).join(
+            F.broadcast(q.withColumn("_all", F.lit(0))), "_all")
+        x, k = F.col("_v"), F.col("_k")
+    else:
+        q = quantiles(df, value, (0.25, 0.5, 0.75), group, method, names=names)
+        j = df.select(*group, F.col(value).cast("double").alias("_v")).join(q, group, "inner")
+        x, k = F.col("_v"), F.lit(1)
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     return j.groupBy(*group, "q1", "median", "q3").agg(
-        F.count("_x").alias("n"),
-        F.min(F.when(F.col("_x") >= lo_f, F.col("_x"))).alias("whisker_lo"),
-        F.max(F.when(F.col("_x") <= hi_f, F.col("_x"))).alias("whisker_hi"),
-        F.count_if((F.col("_x") < lo_f) | (F.col("_x") > hi_f)).alias("n_outliers"))
+        F.sum(F.when(x.isNotNull(), k)).cast("long").alias("n"),
+        F.min(F.when(x >= lo_f, x)).alias("whisker_lo"),
+        F.max(F.when(x <= hi_f, x)).alias("whisker_hi"),
+        F.coalesce(F.sum(F.when((x < lo_f) | (x > hi_f), k)), F.lit(0)).cast("long").alias("n_outliers"))
 
 
 def anomaly_class(df: DataFrame, out: str = "anomaly_type") -> DataFrame:
