@@ -81,7 +81,7 @@ def coerce_timestamp(c, formats: Sequence[str] = ()) -> Column:
 
 
 def coerce_number(c, to: str = "double") -> Column:
-    return F.expr(f"try_cast({c} as {to})") if isinstance(c, str) else c.try_cast(to)
+    return col(c).try_cast(to)
 
 
 def hourly_rollup(df: DataFrame, ts: str | Column, flag: str | Column | None = None,

@@ -108,3 +108,18 @@ def test_contract_violations(spark):
     got = {(r.column_name, r.check_name): r.n_violations for r in I.contract_violations(df, rules).collect()}
     assert got == {("timestamp_hour", "null"): 0, ("timestamp_hour", "on_the_hour"): 1, ("hour", "range"): 1,
                    ("busy_label", "values"): 1, ("orders_count", "missing"): -1}
+
+
+def test_json_payloads(spark):
+    df = spark.createDataFrame([('{"hourly": {"time": ["2026-07-02T00:00", "2026-07-02T01:00"], "t": [17.4, 16.9]}}',
+                                 '{"k": 5}')], "j string, props string")
+    rows = I.json_column_arrays(df, "j", "hourly", {"time": "string", "t": "double"}).collect()
+    assert [(r.time, r.t) for r in rows] == [("2026-07-02T00:00", 17.4), ("2026-07-02T01:00", 16.9)]
+    assert I.json_props(df, "props", {"k": "bigint"}).first().k == 5
+
+
+def test_keyword_match(spark):
+    df = spark.createDataFrame([("MSC Virtuosa", "Passenger"), ("Ulysses", "Ferry"), ("Aurora", "Cruise Liners")],
+                               "vessel string, vtype string")
+    got = [r.m for r in df.select(E.keyword_match("vessel", "vtype").alias("m")).collect()]
+    assert got == [True, False, True]

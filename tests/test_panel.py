@@ -76,3 +76,16 @@ def test_panel_summary(spark):
                                "timestamp_hour timestamp_ntz, orders_count long, food_tickets_count long")
     r = P.panel_summary(df).first()
     assert (r.n_rows, r.mean_orders, r.mean_food_positive) == (2, 5.0, 2.0)
+
+
+def test_coerce_parse_day_first_and_numbers(spark):
+    df = spark.createDataFrame([("05/07/2026", "12", "1-URGENT"), ("2026-07-05", "x", "3")], "d string, n string, p string")
+    r = df.select(P.coerce_timestamp("d", ["dd/MM/yyyy"]).alias("t"), P.coerce_number("n", "int").alias("n"),
+                  P.coerce_number("p", "int").alias("p")).collect()
+    assert r[0].t == ts("2026-07-05 00:00") and r[0].n == 12 and r[0].p is None
+    assert r[1].t is None and r[1].n is None and r[1].p == 3
+
+
+def test_truthy_values(spark):
+    df = spark.createDataFrame([("TRUE",), ("yes",), ("1",), ("Food",), ("1.0",), ("no",), (None,)], "v string")
+    assert [r.f for r in df.select(P.truthy("v").alias("f")).collect()] == [1, 1, 1, 1, 0, 0, 0]

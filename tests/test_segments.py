@@ -60,3 +60,13 @@ def test_day_pressure_rules(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, d), l) for d, l in rows], "date date, label string")
     got = {r.date.day: r.pressure for r in S.day_pressure(df).collect()}
     assert got == {1: "slammed", 2: "busy", 3: "moderate", 4: "normal"}
+
+
+def test_ratio_and_slot_percentile_labels(spark):
+    # Monday 13 h: base 55 × 0.65 = 35.75 → ratios 0.28 / 0.84 / 1.12 / 1.68
+    rows = [(dt.datetime(2024, 1, 1 + 7 * i, 13), v) for i, v in enumerate([10, 30, 40, 60])]
+    df = spark.createDataFrame(rows, "timestamp_hour timestamp_ntz, orders_count long")
+    got = [r.busy_label for r in S.ratio_label(df).orderBy("timestamp_hour").collect()]
+    assert got == ["quiet", "normal", "busy", "slammed"]
+    slot = {r.orders_count: r.busy_label for r in S.slot_percentile_label(df).collect()}
+    assert slot[10] == "quiet" and slot[60] == "slammed"
