@@ -5,6 +5,9 @@ directory and compares row count, column names and an order-insensitive hash
 of the values.  Usage::
 
     python tools/check_oracle.py [sf_dir] [key ...]
+
+``CHECK_TZ`` sets another session time zone, ``CHECK_PARTITIONS`` another
+shuffle width with AQE off (order-dependence check).
 """
 
 from __future__ import annotations
