@@ -85,11 +85,21 @@ def rolling_mean_min(df: DataFrame, c: str, out: str = "suffolk_footfall_roll_24
 
 
 def busy_flag(df: DataFrame, c: str, out: str = "suffolk_is_busy_flag", q: float = 0.70,
-              keys: Sequence[str] = (), ts: str = "timestamp_hour") -> DataFrame:
-    """1 when the value exceeds the ``q`` percentile of its hour-of-week (weekday × 24 + hour)."""
+              keys: Sequence[str] = (), ts: str = "timestamp_hour", asof: bool = False) -> DataFrame:
+    """1 when the value exceeds the ``q`` percentile of its hour-of-week (weekday × 24 + hour).
+
+    ``asof=True`` is the leakage-safe variant: the percentile of strictly
+    earlier rows of the same hour-of-week (a growing-frame window whose
+    partitions hold one row per week), 0 when there is no earlier row.
+    """
     keys = list(keys)
     how = (weekday(ts) * 24 + F.hour(ts)).alias("_how")
     staged = df.withColumn("_how", how)
+    if asof:
+        w = (Window.partitionBy(*keys, "_how").orderBy(ts)
+             .rowsBetween(Window.unboundedPreceding, -1))
+        p = F.percentile(F.col(c).cast("double"), F.lit(q)).over(w)
+        return staged.withColumn(out, F.coalesce((F.col(c) > p).cast("int"), F.lit(0))).drop("_how")
     p = staged.groupBy(*keys, "_how").agg(F.percentile(F.col(c).cast("double"), F.lit(q)).alias("_p"))
     # ≤ 168 rows per key: hour-of-week groups are bounded by construction
     j = staged.join(F.broadcast(p) if not keys else p, [*keys, "_how"], "left")

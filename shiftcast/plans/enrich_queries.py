@@ -265,3 +265,15 @@ FROM e1 LEFT JOIN (SELECT how, quantile_cont(nearby_footfall_avg, 0.7) AS p FROM
 def q_busy_flag_p70(spark, sf):
     e1 = FF.rowwise_mean_sum(ST.sensor_panel(spark, sf), ST.NEARBY_SENSORS)
     return FF.busy_flag(e1, "nearby_footfall_avg").select(TS, "suffolk_is_busy_flag")
+
+
+@register("busy_flag_p70_asof", sql=f"""
+WITH e1 AS (SELECT *, (isodow(timestamp_hour) - 1) * 24 + hour(timestamp_hour) AS how FROM ({SQ.SENSOR_E1}))
+SELECT timestamp_hour,
+  CAST(coalesce(nearby_footfall_avg > quantile_cont(nearby_footfall_avg, 0.7) OVER (
+         PARTITION BY how ORDER BY timestamp_hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS INTEGER)
+    AS suffolk_is_busy_flag
+FROM e1""")
+def q_busy_flag_p70_asof(spark, sf):
+    e1 = FF.rowwise_mean_sum(ST.sensor_panel(spark, sf), ST.NEARBY_SENSORS)
+    return FF.busy_flag(e1, "nearby_footfall_avg", asof=True).select(TS, "suffolk_is_busy_flag")

@@ -123,3 +123,17 @@ def test_keyword_match(spark):
                                "vessel string, vtype string")
     got = [r.m for r in df.select(E.keyword_match("vessel", "vtype").alias("m")).collect()]
     assert got == [True, False, True]
+
+
+def test_busy_flag_asof_uses_only_earlier_weeks(spark):
+    t0 = dt.datetime(2024, 1, 1, 12)  # Monday noon, one row per week
+    vals = [5, 1, 9, 2, 8]
+    df = spark.createDataFrame([(t0 + dt.timedelta(weeks=i), float(v)) for i, v in enumerate(vals)],
+                               "timestamp_hour timestamp_ntz, v double")
+    got = [r.b for r in FF.busy_flag(df, "v", "b", asof=True).orderBy("timestamp_hour").collect()]
+    # week 0 has no history; week 2: 9 > p70(5, 1) = 3.8; week 4: 8 > p70(5, 1, 9, 2) = 5.4
+    assert got == [0, 0, 1, 0, 1]
+    full = [r.b for r in FF.busy_flag(df, "v", "b").orderBy("timestamp_hour").collect()]
+    assert full == [0, 0, 1, 0, 1]  # p70 of all five = 7.4
+    future = df.filter(F.col("timestamp_hour") <= t0 + dt.timedelta(weeks=2))
+    assert [r.b for r in FF.busy_flag(future, "v", "b", asof=True).orderBy("timestamp_hour").collect()] == got[:3]
