@@ -33,8 +33,8 @@ from shiftcast.llm.common import ship_package, store
 from shiftcast.llm.tokens import encode_column
 
 CAPACITY = 2048
-GRAIN = 4
-GAP = 2e-4
+GRAIN = 16
+GAP = 1e-3
 
 
 # ---------------------------------------------------------------- patterns
