@@ -25,8 +25,8 @@ then only pairs whose components still differ.  A bucket with more than
 every set that still has more non-empty blocks outside such buckets than its
 partners can spoil, since every partner meets it in another bucket; only sets
 made up of such passages are paired there.  So no link is lost and no row is
-capped.  Candidates must pass the size and Hamming bounds of a 512-bit sketch
-and are then verified on the whole sets.
+capped.  Candidates must pass the size and Hamming bounds of a sketch of one to two
+bits an element (folded to the smaller one's width) and are then verified on the whole sets.
 
 Equal texts are one class before any of this; a class is never expanded.
 
@@ -51,7 +51,8 @@ from shiftcast.llm.common import (as_long, connected_components, keep_ids, list_
 SHINGLE = 5
 #: Components in a bucket above which the bucket counts as hot.
 HOT = 32
-SKETCH_BITS = 512
+#: Bits of the smallest sketch; wider bands take two bits for each element of their smallest set.
+SKETCH_BITS = 256
 _U = np.uint64
 
 
@@ -84,7 +85,7 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tupl
 def _blocks(band: np.ndarray) -> np.ndarray:
     """Number of sketch blocks of a size band [2^b, 2^(b+1)), for sets of up to 2.5 * 2^b."""
     low = np.exp2(band)
-    fill = np.where(band < 7, 1.0, np.where(band < 10, 2.0, 3.2))
+    fill = np.where(band < 5, 1.0, np.where(band < 8, 2.0, 3.2))
     return np.ceil(2.5 * low / fill).astype(np.int64) + 1
 
 
@@ -116,39 +117,48 @@ def _keys(h: np.ndarray, n: np.ndarray, band: np.ndarray, need: np.ndarray) -> t
     return keys, counts, few
 
 
-def _sketches(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Parity sketch of each set as eight 64-bit words."""
+def _sketches(h: np.ndarray, n: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of all sets as 64-bit words, and the words of each."""
+    width = np.maximum(SKETCH_BITS, 2 << band)
+    first = np.cumsum(width) - width
     doc = np.repeat(np.arange(len(n)), n)
-    bit = (mix64(h ^ _U(0x5851F42D4C957F2D)) % _U(SKETCH_BITS)).astype(np.int64)
-    odd = (np.bincount(doc * SKETCH_BITS + bit, minlength=len(n) * SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.uint64)
+    bit = (mix64(h ^ _U(0x5851F42D4C957F2D)) & (width[doc] - 1).astype(_U)).astype(np.int64)
+    odd = (np.bincount(first[doc] + bit, minlength=int(width.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64), width // 64
+
+
+def _entries(batch: pa.RecordBatch):
+    """For pieces of a batch: rows, sets, and keys in the own band and in the one below."""
+    for i, j, raw, offs in text_chunks(batch.column(1)):
+        h, n = shingle_sets(raw, offs)
+        band = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
+        own = _keys(h, n, band, n // 4 + 1)
+        below = (n > 0) & (band > 0) & (n * 0.8 < np.exp2(band))
+        m = np.where(below, n, 0)
+        down = _keys(h[np.repeat(below, n)], m, np.maximum(band - 1, 0), 2 * m // 9 + below)
+        yield batch.column(0).slice(i, j - i), h, n, band, own, down
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, raw, offs in text_chunks(batch.column(1)):
-            h, n = shingle_sets(raw, offs)
-            band = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
-            own, c_own, few_own = _keys(h, n, band, n // 4 + 1)
-            below = (n > 0) & (band > 0) & (n * 0.8 < np.exp2(band))
-            pick = np.repeat(below, n)
-            nb = n[below]
-            down, c_down, few_down = _keys(h[pick], nb, band[below] - 1, 2 * nb // 9 + 1)
-            c_all = np.zeros(len(n), np.int64)
-            c_all[below] = c_down
-            f_all = np.zeros(len(n), bool)
-            f_all[below] = few_down
-            words = SKETCH_BITS // 64
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(i, j - i), pa.array(n, pa.int64()),
-                list_array(as_long(_sketches(h, n)), np.full(len(n), words), pa.int64()),
-                list_array(as_long(own), c_own, pa.int64()), pa.array(few_own),
-                list_array(as_long(down), c_all, pa.int64()), pa.array(f_all)],
+        for ids, h, n, band, own, down in _entries(batch):
+            words, counts = _sketches(h, n, band)
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(n, pa.int64()), list_array(as_long(words), counts, pa.int64()),
+                 pa.array(own[1], pa.int64()), pa.array(own[2]), pa.array(down[1], pa.int64()), pa.array(down[2])],
                 ["doc_id", "n", "sketch", "own", "own_few", "down", "down_few"])
 
 
-_SKETCH_SCHEMA = ("doc_id long, n long, sketch array<long>, own array<long>, own_few boolean, "
-                  "down array<long>, down_few boolean")
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ids, _, n, _, own, down in _entries(batch):
+            for (keys, counts, _), side in ((own, False), (down, True)):
+                at = pa.array(np.repeat(np.arange(len(n)), counts))
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), ids.take(at), pa.array(np.full(len(keys), side))],
+                                                 ["key", "doc_id", "down"])
+
+
+_SKETCH_SCHEMA = "doc_id long, n long, sketch array<long>, own long, own_few boolean, down long, down_few boolean"
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +185,15 @@ def _bounds(pairs: DataFrame, small: DataFrame) -> DataFrame:
     """Pairs (u, v) that pass the size and Hamming bounds."""
     a = small.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
     b = small.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
-    apart = sum((F.bit_count(F.col("su")[i].bitwiseXOR(F.col("sv")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    def narrow(x, y):  # the wider of two sketches folds onto the other's width
+        half = F.size(x).bitwiseAND(F.lit(-2)) / 2
+        return F.when(F.size(x) > F.size(y), F.zip_with(
+            F.slice(x, F.lit(1), half.cast("int")), F.slice(x, (half + 1).cast("int"), half.cast("int")),
+            lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    su, sv = F.col("su"), F.col("sv")
+    apart = F.aggregate(F.zip_with(narrow(su, sv), narrow(sv, su), lambda p, q: F.bit_count(p.bitwiseXOR(q))),
+                        F.lit(0), lambda t, x: t + x)
     return (pairs.join(a, "u").join(b, "v")
             .where((5 * F.least("nu", "nv") >= 4 * F.greatest("nu", "nv")) & (9 * apart <= F.col("nu") + F.col("nv")))
             .select("u", "v", "nu", "nv"))
@@ -206,9 +224,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
                  .dropDuplicates(["doc_id"]).select("doc_id", "text"))
     rows = store(texts.mapInArrow(_sketch_rows, _SKETCH_SCHEMA), "sketches")
     small = rows.where("n > 0").select("doc_id", "n", "sketch")
-
-    keys = (rows.select("doc_id", F.explode("own").alias("key"), F.lit(False).alias("down"))
-            .unionByName(rows.select("doc_id", F.explode("down").alias("key"), F.lit(True).alias("down"))))
+    keys = texts.mapInArrow(_key_rows, "key long, doc_id long, down boolean")
     by = Window.partitionBy("key")
     shared = store(keys.withColumn("lead", F.min("doc_id").over(by)).withColumn("most", F.max("doc_id").over(by))
                    .where("lead <> most").drop("most"), "buckets")
@@ -227,9 +243,9 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     member = store(member.join(mixed, "key"), "mixed")
     hot = member.where(F.col("parts") > HOT).groupBy("doc_id", "down").agg(F.count("*").alias("hot"))
     sides = rows.select("doc_id", F.explode(F.array(
-        F.struct(F.lit(False).alias("down"), F.size("own").alias("keys"), F.col("own_few").alias("few"),
+        F.struct(F.lit(False).alias("down"), F.col("own").alias("keys"), F.col("own_few").alias("few"),
                  F.floor(F.col("n") / 4).alias("spoiled")),
-        F.struct(F.lit(True).alias("down"), F.size("down").alias("keys"), F.col("down_few").alias("few"),
+        F.struct(F.lit(True).alias("down"), F.col("down").alias("keys"), F.col("down_few").alias("few"),
                  F.floor(2 * F.col("n") / 9).alias("spoiled")))).alias("s")).select("doc_id", "s.*")
     state = (hot.join(sides, ["doc_id", "down"])
              .select("doc_id", "down", (F.col("few") | (F.col("keys") - F.col("hot") <= F.col("spoiled"))).alias("open")))
