@@ -162,6 +162,13 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(values, kind))
 
 
+def column_lists(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column of numbers, and the n + 1 offsets of its rows."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    counts = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    return col.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+
+
 # ---------------------------------------------------------------- components
 
 def _signature(edges: DataFrame) -> tuple:

@@ -18,15 +18,22 @@ Search, per band of set sizes (each twice as wide as the one before):
 * a set in the lowest quarter of its band also gives keys for the band below,
   where its smaller partners are.
 
-Sets that share a key are candidates, never all pairs of a bucket: first each
-set with the smallest id of its bucket; verified links join into components;
-then only pairs whose components still differ.  A bucket with more than
-``HOT`` components (a line or passage that many texts share) is skipped for
-every set that still has more non-empty blocks outside such buckets than its
-partners can spoil, since every partner meets it in another bucket; only sets
-made up of such passages are paired there.  So no link is lost and no row is
-capped.  Candidates must pass the size and Hamming bounds of a sketch of one to two
-bits an element (folded to the smaller one's width) and are then verified on the whole sets.
+Sets that share a key are candidates, never all pairs of a bucket.  First each set
+is compared with the smallest id of its bucket; verified links join into
+components.  What then remains are pairs of different components, and for them
+each set orders its keys by the number of components in their buckets, rarest
+first.  A partner misses at most d of a set's keys, so it meets one of the first
+d + 1; keys that no other component has come first and meet nothing.  Hence a set
+with more than d keys of its own is done, and the others keep the few keys that
+make up the d + 1.  Texts that share a line or passage, or copies too far from
+each other to link, end here mostly.  What is left is paired by a join in small
+buckets; a bucket of more than ``BIG`` rows is dealt in blocks of rows, compared
+as bit matrices within a task, and a pair is given in the first bucket it shares
+only.  So no link is lost and no row is capped.
+
+Candidates must pass the size and Hamming bounds of a sketch of two to four bits
+an element (folded to the smaller one's width) and are then verified on the whole
+sets.
 
 Equal texts are one class before any of this; a class is never expanded.
 
@@ -49,9 +56,9 @@ from shiftcast.llm.common import (as_long, connected_components, keep_ids, list_
                                   store, text_chunks, word_spans)
 
 SHINGLE = 5
-#: Components in a bucket above which the bucket counts as hot.
-HOT = 32
-#: Bits of the smallest sketch; wider bands take two bits for each element of their smallest set.
+#: Rows of a bucket above which it is compared in blocks of at most ``BLOCK`` rows.
+BIG, BLOCK = 64, 1024
+#: Bits of the smallest sketch; wider bands take four bits for each element of their smallest set.
 SKETCH_BITS = 256
 _U = np.uint64
 
@@ -119,7 +126,7 @@ def _keys(h: np.ndarray, n: np.ndarray, band: np.ndarray, need: np.ndarray) -> t
 
 def _sketches(h: np.ndarray, n: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Parity sketches of all sets as 64-bit words, and the words of each."""
-    width = np.maximum(SKETCH_BITS, 2 << band)
+    width = np.maximum(SKETCH_BITS, 4 << band)
     first = np.cumsum(width) - width
     doc = np.repeat(np.arange(len(n)), n)
     bit = (mix64(h ^ _U(0x5851F42D4C957F2D)) & (width[doc] - 1).astype(_U)).astype(np.int64)
@@ -211,6 +218,79 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             .select("u", "v"))
 
 
+def _remaining(shared: DataFrame, comp: DataFrame, rows: DataFrame, small: DataFrame) -> DataFrame:
+    """Candidate pairs (u < v) of different components, by the rarest keys of each set."""
+    member = shared.drop("lead").join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left") \
+        .withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = member.groupBy("key", "component").agg(F.count("*").alias("x")).groupBy("key").agg(F.count("*").alias("parts")) \
+        .where("parts > 1")
+    member = store(member.join(mixed, "key"), "mixed")
+    sides = rows.select("doc_id", F.explode(F.array(
+        F.struct(F.lit(False).alias("down"), F.col("own").alias("keys"), F.col("own_few").alias("few"),
+                 F.floor(F.col("n") / 4).alias("spoiled")),
+        F.struct(F.lit(True).alias("down"), F.col("down").alias("keys"), F.col("down_few").alias("few"),
+                 F.floor(2 * F.col("n") / 9).alias("spoiled")))).alias("s")).select("doc_id", "s.*")
+    met = member.groupBy("doc_id", "down").agg(F.count("*").alias("met"))
+    take = (met.join(sides, ["doc_id", "down"])
+            .select("doc_id", "down", F.when(F.col("few"), F.col("met"))
+                    .otherwise(F.col("spoiled") + 1 - (F.col("keys") - F.col("met"))).alias("take")).where("take > 0"))
+    rare = Window.partitionBy("doc_id", "down").orderBy("parts", "key")
+    pool = (member.join(take, ["doc_id", "down"]).withColumn("r", F.row_number().over(rare)).where("r <= take")
+            .select("key", "doc_id", "down", "component"))
+    pool = store(pool, "pool")
+    size = store(pool.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "sizes")
+    pool_sized = pool.join(size, "key")
+
+    few = pool_sized.where(F.col("rows") <= BIG)
+    a = few.select("key", F.col("doc_id").alias("u"), F.col("component").alias("cu"))
+    b = few.select("key", F.col("doc_id").alias("v"), F.col("component").alias("cv"))
+    pairs = a.join(b, "key").where("u < v and cu <> cv").select("u", "v").distinct()
+
+    lists = pool.groupBy("doc_id", "down").agg(F.collect_list("key").alias("keys"))
+    parts = F.ceil(F.col("rows") / BLOCK).cast("int")
+    big = (pool_sized.where(F.col("rows") > BIG).join(small, "doc_id").join(lists, ["doc_id", "down"])
+           .withColumn("own", F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
+           .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+           .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
+                   "doc_id", "component", "n", "sketch", "keys"))
+    blocks = big.groupBy("key", "i", "j").applyInArrow(_block_pairs, "u long, v long")
+    return pairs.unionByName(blocks).distinct()
+
+
+def _block_pairs(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """Pairs of a block that pass the size and Hamming bounds and share no smaller key."""
+    from shiftcast.llm.common import column_lists
+
+    k, i, j = (x.as_py() for x in key)
+    ids, comp, n, own = (t[c].to_numpy() for c in ("doc_id", "component", "n", "own"))
+    words, offs = column_lists(t["sketch"])
+    # all sketches at the width of the narrowest
+    width = int(np.diff(offs).min())
+    sketch = np.stack([np.bitwise_xor.reduce(words[a:b].reshape(-1, width), 0) for a, b in zip(offs[:-1], offs[1:])]).view(np.uint64)
+    keys, offs = column_lists(t["keys"])
+    row = np.repeat(np.arange(len(ids)), np.diff(offs))
+    low = keys < k
+    vocab, at, count = np.unique(keys[low], return_inverse=True, return_counts=True)
+    has = np.zeros((len(ids), len(vocab)), bool)
+    has[row[low], at] = True
+    has = np.packbits(has[:, count > 1], axis=1)
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    us, vs = [], []
+    for x in np.array_split(left, -(-len(left) // 64)) if len(left) else []:
+        apart = np.bitwise_count(sketch[x][:, None, :] ^ sketch[right][None, :, :]).sum(2, dtype=np.int64)
+        a, b = n[x][:, None], n[right][None, :]
+        good = (9 * apart <= a + b) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (comp[x][:, None] != comp[right][None, :])
+        p, q = np.nonzero(good)
+        p, q = x[p], right[q]
+        if i == j:
+            p, q = p[ids[p] < ids[q]], q[ids[p] < ids[q]]
+        new = ~(has[p] & has[q]).any(1)
+        us.append(np.minimum(ids[p], ids[q])[new])
+        vs.append(np.maximum(ids[p], ids[q])[new])
+    none = [np.zeros(0, np.int64)]
+    return pa.table({"u": pa.array(np.concatenate(us or none)), "v": pa.array(np.concatenate(vs or none))})
+
+
 def similarity_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every doc_id of ``docs(doc_id, text)``."""
     ship_package(docs.sparkSession)
@@ -235,27 +315,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     links = store(_verify(first, texts), "links")
     comp = connected_components(links)
 
-    # what is left: members of a bucket whose components differ
-    member = shared.drop("lead").join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left") \
-        .withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = member.groupBy("key", "component").agg(F.count("*").alias("x")).groupBy("key").agg(F.count("*").alias("parts")) \
-        .where("parts > 1")
-    member = store(member.join(mixed, "key"), "mixed")
-    hot = member.where(F.col("parts") > HOT).groupBy("doc_id", "down").agg(F.count("*").alias("hot"))
-    sides = rows.select("doc_id", F.explode(F.array(
-        F.struct(F.lit(False).alias("down"), F.col("own").alias("keys"), F.col("own_few").alias("few"),
-                 F.floor(F.col("n") / 4).alias("spoiled")),
-        F.struct(F.lit(True).alias("down"), F.col("down").alias("keys"), F.col("down_few").alias("few"),
-                 F.floor(2 * F.col("n") / 9).alias("spoiled")))).alias("s")).select("doc_id", "s.*")
-    state = (hot.join(sides, ["doc_id", "down"])
-             .select("doc_id", "down", (F.col("few") | (F.col("keys") - F.col("hot") <= F.col("spoiled"))).alias("open")))
-    cold = member.where(F.col("parts") <= HOT)
-    warm = member.where(F.col("parts") > HOT).join(state.where("open").select("doc_id", "down"), ["doc_id", "down"])
-    pool = cold.unionByName(warm.select(*cold.columns)).select("key", "doc_id", "component")
-    a = pool.select("key", F.col("doc_id").alias("u"), F.col("component").alias("cu"))
-    b = pool.select("key", F.col("doc_id").alias("v"), F.col("component").alias("cv"))
-    rest = (a.join(b, "key").where("u < v and cu <> cv").select("u", "v").distinct()
-            .join(first.select("u", "v"), ["u", "v"], "left_anti"))
+    rest = (_remaining(shared, comp, rows, small).join(first.select("u", "v"), ["u", "v"], "left_anti"))
     more = store(_verify(_bounds(rest, small), texts), "more")
     comp = connected_components(links.unionByName(more))
 

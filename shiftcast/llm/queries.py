@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftcast.llm.common import table
+from shiftcast.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,6 +51,35 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as wavelet-matrix shards and read back."""
+    from shiftcast.llm.wavelet import read_shards, write_shards
+
+    shards = write_shards(table(spark, sf_dir, "documents"), tokenizer_path(), scratch(spark, "wavelet"))
+    return read_shards(shards).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@_query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records, normalised to a gzip member each, and read back by the index."""
+    from shiftcast.llm.warc import read_archives, write_archives
+
+    archives = write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    return read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op6_warc"] = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages WHERE page_id IS NOT NULL),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 @_query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item's question and answer, one row per document and item."""

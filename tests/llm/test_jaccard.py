@@ -63,6 +63,12 @@ def corpus(seed=7):
         w[rng.randrange(150)] = f"y{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
         i += 1
+    for _ in range(300):  # copies of it that are too far from each other to link, or just not
+        w = list(base)
+        for k in rng.sample(range(150), rng.randrange(2, 9)):
+            w[k] = f"z{rng.randrange(3)}"
+        rows.append((i, " ".join(w)))
+        i += 1
     rows += [(i, None), (i + 1, ""), (i + 2, " \n\t"), (i + 3, "A b\tC d\ne"), (i + 4, "a B c D E"), (i + 5, rows[3][1])]
     rng.shuffle(rows)
     return rows
