@@ -51,6 +51,15 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by its host's wrapper."""
+    from shiftcast.llm.wrappers import main_text
+
+    out = main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @_query
 def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as wavelet-matrix shards and read back."""
