@@ -18,6 +18,14 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors with cosine 0.9 or more, and their components."""
+    from shiftcast.llm.neighbours import link_vectors
+
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without later occurrences of repeated three-line windows."""
