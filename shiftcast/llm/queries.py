@@ -77,6 +77,18 @@ def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(shards).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@_query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page, and of every document (its source stands for the host), by all evidence there is."""
+    from shiftcast.llm.language import document_records, identify, page_records, train
+
+    docs = table(spark, sf_dir, "documents")
+    records = page_records(table(spark, sf_dir, "pages")).unionByName(document_records(docs))
+    out = identify(records, train(docs.select("text", "lang")))
+    return out.select("kind", F.when(F.col("kind") == "document", F.col("id")).alias("doc_id"),
+                      F.when(F.col("kind") == "page", F.col("id")).alias("page_id"), "declared", "lang", "probability", "text_lang")
+
+
 @_query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records, normalised to a gzip member each, and read back by the index."""
