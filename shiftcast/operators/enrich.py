@@ -112,18 +112,21 @@ def geo_radius(df: DataFrame, lat: str, lon: str, center=(VENUE_LAT, VENUE_LON),
 
 
 def interval_daily_counts(df: DataFrame, start: str, end: str, flags: dict[str, Column] | None = None,
-                          cap: str = "2030-12-31", method: str = "delta", count_name: str = "failte_event_count",
+                          cap: str | None = None, method: str = "delta", count_name: str = "failte_event_count",
                           ) -> DataFrame:
-    """Intervals [start, end] (NULL end = start, end capped, end < start = no day)
+    """Intervals [start, end] (NULL end = start, end cut at ``cap`` if given, end < start = no day)
     → per day: number of covering intervals and of flagged ones.
 
     ``explode`` emits one row per covered day (cost ∝ total interval length).
-    ``delta`` emits +1 at start and −1 after end, sums per day and runs a
-    cumulative sum over the (calendar-bounded) day table: cost ∝ intervals.
+    ``delta`` gives +1 at start and −1 after end from one pass over the rows,
+    sums them per day, runs a cumulative sum over the days where something
+    changes (bounded by the calendar) and repeats each level up to the next one.
     """
     flags = flags or {}
     s = F.to_date(col(start))
-    e = F.least(F.coalesce(F.to_date(col(end)), s), F.lit(cap).cast("date"))
+    e = F.coalesce(F.to_date(col(end)), s)
+    if cap is not None:
+        e = F.least(e, F.lit(cap).cast("date"))
     staged = df.select(s.alias("_s"), e.alias("_e"),
                        *[F.coalesce(v.cast("int"), F.lit(0)).alias(k) for k, v in flags.items()])
     staged = staged.filter(F.col("_s").isNotNull() & (F.col("_e") >= F.col("_s")))
@@ -132,17 +135,15 @@ def interval_daily_counts(df: DataFrame, start: str, end: str, flags: dict[str,
         ex = staged.select(F.explode(F.sequence("_s", "_e")).alias("date"), *flags)
         return ex.groupBy("date").agg(F.count(F.lit(1)).alias(count_name),
                                       *[F.sum(k).cast("long").alias(k) for k in flags])
-    plus = staged.select(F.col("_s").alias("date"), F.lit(1).alias(count_name), *flags)
-    minus = staged.select(F.date_add("_e", 1).alias("date"), F.lit(-1).alias(count_name),
-                          *[(-F.col(k)).alias(k) for k in flags])
-    deltas = plus.unionByName(minus).groupBy("date").agg(*[F.sum(n).cast("long").alias(n) for n in names])
-    bounds = deltas.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))
-    spine = bounds.select(F.explode(F.sequence("_lo", "_hi")).alias("date"))
-    # one row per calendar day: bounded by the cap, so the unpartitioned running sum is small
-    days = spine.join(deltas, "date", "left")
-    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    run = days.select("date", *[F.sum(F.coalesce(F.col(n), F.lit(0))).over(w).cast("long").alias(n) for n in names])
-    return run.filter(F.col(count_name) > 0)
+    deltas = staged.select(F.explode(F.array(
+        F.struct(F.col("_s").alias("date"), F.lit(1).alias(count_name), *flags),
+        F.struct(F.date_add("_e", 1).alias("date"), F.lit(-1).alias(count_name), *[(-F.col(k)).alias(k) for k in flags])
+    )).alias("_d")).select("_d.*").groupBy("date").agg(*[F.sum(n).cast("long").alias(n) for n in names])
+    order = Window.orderBy("date")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    run = deltas.select("date", F.lead("date").over(order).alias("_next"), *[F.sum(n).over(upto).cast("long").alias(n) for n in names])
+    return (run.filter((F.col(count_name) > 0) & F.col("_next").isNotNull())
+            .select(F.explode(F.sequence("date", F.date_sub("_next", 1))).alias("date"), *names))
 
 
 def names_per_day(df: DataFrame, date: str, name: str, order: str, out_names: str = "event_names",
@@ -155,21 +156,41 @@ def names_per_day(df: DataFrame, date: str, name: str, order: str, out_names: st
     return g.withColumn(out_flag, F.lit(1))
 
 
+def one_row_per(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``df`` with one row for each value of ``on`` (the smallest by the other
+    columns), so that a join on them never multiplies rows."""
+    rest = [c for c in df.columns if c not in on]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*on).agg(F.min(F.struct(*rest)).alias("_r")).select(*on, "_r.*")
+
+
+def signal_keys(signal: DataFrame, keys: Sequence[str], time: str) -> list[str]:
+    """Join columns of a signal: its time column and those of ``keys`` it has (none: it holds for all keys)."""
+    return [*[k for k in keys if k in signal.columns], time]
+
+
 def enrich_spine(spine: DataFrame, tables: Sequence[DataFrame], n_days: int | None = None,
                  zero_int: Sequence[str] = (), zero_keep: Sequence[str] = ("event_impact_score",),
-                 fill_forward: Sequence[str] = ()) -> DataFrame:
+                 fill_forward: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
     """Date spine + left joins of daily tables, then the null policy:
     ``*_flag`` and ``zero_int`` columns → 0 as int, ``zero_keep`` → 0 uncast,
-    ``fill_forward`` columns forward/backward filled then 0."""
+    ``fill_forward`` columns forward/backward filled then 0.
+
+    With ``keys`` (say, a venue) a table that has them joins on (keys, date);
+    one that lacks them holds for every key.  Tables are brought to one row per
+    join key.  ``n_days`` bounds the rows of each table: within it they are
+    broadcast, without it the planner and AQE choose.
+    """
     out = spine
-    bound = n_days if n_days is not None else MAX_DAYS
     for t in tables:
-        out = join_dimension(out, t, "date", "left", bound_rows=bound)
+        on = signal_keys(t, keys, "date")
+        out = join_dimension(out, one_row_per(t, on), on, "left", bound_rows=n_days)
     if fill_forward:
-        out = ffill_bfill(out, [c for c in fill_forward if c in out.columns], order="date")
+        out = ffill_bfill(out, [c for c in fill_forward if c in out.columns], order="date", keys=keys)
     fills = {}
     for c in out.columns:
-        if c == "date":
+        if c == "date" or c in keys:
             continue
         if c.endswith("_flag") or c in zero_int or c in fill_forward:
             fills[c] = F.coalesce(F.col(c), F.lit(0)).cast("int" if c not in fill_forward else "long")
@@ -183,35 +204,42 @@ def enrich_spine(spine: DataFrame, tables: Sequence[DataFrame], n_days: int | No
 
 
 def merge_daily_replace(df: DataFrame, daily: DataFrame, ts: str = "timestamp_hour",
-                        n_days: int | None = None) -> DataFrame:
-    """Left-join a daily table on the row's date; its columns *replace*
-    equal-named columns of ``df`` (no suffixes)."""
-    overlap = [c for c in daily.columns if c != "date" and c in df.columns]
-    left = df.drop(*overlap).withColumn("_date", F.to_date(ts))
+                        n_days: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Left-join a daily table on the row's date, and on those of ``keys`` that
+    it has; its columns *replace* equal-named columns of ``df`` (no suffixes).
+
+    The table is brought to one row per join key.  ``n_days`` bounds its rows:
+    within it the table is broadcast, without it the planner and AQE choose.
+    """
     right = daily.withColumnRenamed("date", "_date")
-    return join_dimension(left, right, "_date", "left",
-                          bound_rows=n_days if n_days is not None else MAX_DAYS).drop("_date")
+    on = signal_keys(right, keys, "_date")
+    overlap = [c for c in right.columns if c not in on and c in df.columns]
+    left = df.drop(*overlap).withColumn("_date", F.to_date(ts))
+    return join_dimension(left, one_row_per(right, on), on, "left", bound_rows=n_days).drop("_date").select(
+        *[c for c in left.columns if c != "_date"], *[c for c in right.columns if c not in on])
 
 
 def merge_hourly(df: DataFrame, footfall: DataFrame | None = None, weather: DataFrame | None = None,
-                 ts: str = "timestamp_hour", bound_rows: int | None = None) -> DataFrame:
+                 ts: str = "timestamp_hour", bound_rows: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Hourly joins: footfall columns (replacing equal names) are zero-filled;
     weather replaces overlapping columns and keeps NULLs.
 
-    ``bound_rows`` is the caller's proven bound on the signal tables (one row
-    per hour or day of a known range); within it they are broadcast, beyond
-    it the planner and AQE choose.
+    A signal that has some of ``keys`` joins on them and the hour, another one
+    on the hour alone; each is brought to one row per join key.  ``bound_rows``
+    is the caller's proven bound on the signal tables (one row per hour or day
+    of a known range); within it they are broadcast, beyond it the planner and
+    AQE choose.
     """
     out = df
-    if footfall is not None:
-        ff_cols = [c for c in footfall.columns if c != ts]
-        out = join_dimension(out.drop(*[c for c in ff_cols if c in out.columns]), footfall, ts, "left",
-                             bound_rows=bound_rows)
-        out = out.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in ff_cols})
-    if weather is not None:
-        wx = [c for c in weather.columns if c != ts]
-        out = join_dimension(out.drop(*[c for c in wx if c in out.columns]), weather, ts, "left",
-                             bound_rows=bound_rows)
+    for signal, fill in ((footfall, True), (weather, False)):
+        if signal is None:
+            continue
+        on = signal_keys(signal, keys, ts)
+        new = [c for c in signal.columns if c not in on]
+        left = out.drop(*[c for c in new if c in out.columns])
+        out = join_dimension(left, one_row_per(signal, on), on, "left", bound_rows=bound_rows).select(*left.columns, *new)
+        if fill:
+            out = out.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in new})
     return out
 
 

@@ -103,13 +103,12 @@ def rolling_stats(df: DataFrame, value: str, spec: dict[str, tuple[int, str]] |
     ``"prefix"`` takes mean / sum / std from running sums (count, Σx, Σx² in
     exact decimal arithmetic for integer columns) differenced with row lags —
     O(1) per row whatever the width, for very wide windows; max / min always
-    use frames.  ``"auto"`` picks prefix for integer columns.  On the bench
-    panel both cost the same at w ≤ 168.
+    use frames.  On the bench panel both cost the same at w ≤ 168.
     """
     spec = spec or ROLLING
     base = ordered_window(keys, ts)
     integral = dict(df.dtypes).get(value) in INTEGRAL
-    use_prefix = method == "prefix" or (method == "auto" and integral)
+    use_prefix = method == "prefix"
     x = F.col(value)
     cols = {}
     tmp = []

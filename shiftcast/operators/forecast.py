@@ -156,22 +156,42 @@ def improvement_pct(base_mae, model_mae) -> Column:
 
 
 def val_split(rows: DataFrame, group: Sequence[str] = ("fold",), ts: str = "timestamp_hour",
-              share: float = 0.2, minimum: int = 200, out: str = "is_val",
-              max_share: float | None = None) -> DataFrame:
+              share: float = 0.2, minimum: int = 200, out: str = "is_val") -> DataFrame:
     """Flag the last max(int(n × share), minimum) rows of each group (time order).
 
-    ``max_share`` caps the validation tail (model fits pass 0.5 so that a
-    short fold keeps training rows; the reference would be left with none).
+    A group no larger than its tail is flagged whole; :func:`unfit_folds` names
+    those.  Rows of one time are ordered arbitrarily, as the size is what counts.
     """
     w_all = Window.partitionBy(*group)
     w_ord = Window.partitionBy(*group).orderBy(F.col(ts).desc())
-    n = F.count(F.lit(1)).over(w_all)
-    size = F.greatest(F.floor(n * share).cast("long"), F.lit(minimum))
-    if max_share is not None:
-        size = F.least(size, F.floor(n * max_share).cast("long"))
+    size = F.greatest(F.floor(F.count(F.lit(1)).over(w_all) * share).cast("long"), F.lit(minimum))
     return rows.withColumn(out, F.row_number().over(w_ord) <= size)
 
 
+def val_split_cut(rows: DataFrame, group: Sequence[str] = ("fold",), ts: str = "timestamp_hour",
+                  share: float = 0.2, minimum: int = 200, out: str = "is_val") -> DataFrame:
+    """The same tail as whole time steps, without sorting a group's rows.
+
+    Rows are counted per (group, time) with map-side combining; the running
+    count over those times (bounded by the calendar) gives the first time of the
+    tail, which then holds at least the wanted number of rows.
+    """
+    group = list(group)
+    per = rows.groupBy(*group, ts).agg(F.count(F.lit(1)).alias("_n"))
+    total = Window.partitionBy(*group)
+    after = total.orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    size = F.greatest(F.floor(F.sum("_n").over(total) * share).cast("long"), F.lit(minimum))
+    flags = per.select(*group, ts, (F.coalesce(F.sum("_n").over(after), F.lit(0)) < size).alias("_in"))
+    cut = flags.groupBy(*group).agg(F.min(F.when(F.col("_in"), F.col(ts))).alias("_cut"))
+    return rows.join(cut, group).withColumn(out, F.col(ts) >= F.col("_cut")).drop("_cut")
+
+
+def unfit_folds(rows: DataFrame, group: Sequence[str] = ("fold",), flag: str = "is_val") -> DataFrame:
+    """Groups whose rows are all in the validation tail, with their number of rows."""
+    return (rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col(flag)).alias("_fit"))
+            .filter(F.col("_fit") == 0).select(*group, "n_rows", F.lit("no training rows besides the validation tail").alias("reason")))
+
+
 def oos_residuals(preds: DataFrame, y: str, pred: str = "pred", keys: Sequence[str] = (),
                   ts: str = "timestamp_hour") -> DataFrame:
     return preds.select(*keys, ts, F.col(y).alias("y"), F.col(pred).alias("pred"), "fold",
@@ -233,6 +253,8 @@ def val_split_by_time(rows: DataFrame, ts: str = "timestamp_hour", share: float
     n = rows.count()
     if n == 0:
         return rows.withColumn(out, F.lit(False))
-    frac = min(max(share, minimum / n), 0.5)
+    frac = max(share, minimum / n)
+    if frac >= 1:
+        raise ValueError(f"{n} rows leave nothing to fit besides a validation tail of {minimum}")
     cut = rows.agg(F.percentile_approx(epoch, 1 - frac, 100000)).first()[0]
     return rows.withColumn(out, epoch > F.lit(cut))

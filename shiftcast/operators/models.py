@@ -4,8 +4,9 @@
   mapped onto MLlib names (no L1/L2 terms exist; validation stop uses MLlib's
   tolerance rule on a flagged validation tail).
 * ``fit_asym_boost``: asymmetric squared loss (under-prediction weighs 2×) as
-  a Newton boosting loop of ``DecisionTreeRegressor`` fits: label = residual,
-  weight = hessian, so each leaf is the Newton step −Σg/Σh.
+  a Newton boosting loop of single-tree MLlib fits: label = residual, weight =
+  hessian, so each leaf is the Newton step −Σg/Σh.  Rows and columns are sampled
+  per tree, and a validation tail stops the loop.
 * segment routing, importance tables, seeded search, segment MAE, ablation.
 
 Trees train distributed over rows; loops over folds / segments / candidates
@@ -18,20 +19,23 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftcast.operators import forecast as FC
 from shiftcast.operators import segments as S
 from shiftcast.session import cut_lineage
 
 # The reference's booster settings.
 GBT_PARAMS = dict(n_estimators=800, learning_rate=0.05, max_depth=6, min_child_weight=5, subsample=0.8,
                   colsample_bytree=0.8, seed=42)
+# Fixed value: rounds without a better validation loss after which boosting stops.
+EARLY_STOPPING = 50
 # Search space of the per-segment tuner (name → (low, high, log scale)).
 SEARCH_SPACE = {"max_depth": (3, 8, False), "learning_rate": (0.01, 0.3, True), "n_estimators": (100, 800, False),
                 "min_child_weight": (1, 10, False), "subsample": (0.5, 1.0, False),
@@ -73,49 +77,103 @@ def predict(model, df: DataFrame, features: Sequence[str], out: str = "pred") ->
 
 @dataclass
 class AsymBoostModel:
-    trees: list = field(default_factory=list)
-    learning_rate: float = 0.05
+    """Base value plus an MLlib ensemble of the boosted trees, scored in one pass."""
+
+    ensemble: GBTRegressionModel | None = None
     base: float = 0.5
+    rounds: int = 0
 
     def transform(self, df: DataFrame, features: Sequence[str], out: str = "pred") -> DataFrame:
+        if self.ensemble is None:
+            return df.withColumn(out, F.greatest(F.lit(self.base), F.lit(0.0)))
         x = VectorAssembler(inputCols=list(features), outputCol="features").transform(_clean(df, features))
-        x = x.withColumn("_raw", F.lit(self.base))
-        for t in self.trees:
-            x = t.transform(x).withColumn("_raw", F.col("_raw") + self.learning_rate * F.col("prediction")) \
-                .drop("prediction")
-        return x.withColumn(out, F.greatest(F.col("_raw"), F.lit(0.0))).drop("_raw", "features")
-
-
-def fit_asym_boost(train: DataFrame, features: Sequence[str], label: str, rounds: int = 50,
-                   learning_rate: float = 0.05, max_depth: int = 6, min_child: int = 5, under_weight: float = 2.0,
-                   base: float = 0.5, checkpoint_every: int = 10, seed: int = 42) -> AsymBoostModel:
+        x = self.ensemble.setFeaturesCol("features").setPredictionCol("_raw").transform(x)
+        return x.withColumn(out, F.greatest(F.col("_raw") + self.base, F.lit(0.0))).drop("_raw", "features")
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.active()
+        spark.createDataFrame([(self.base, self.rounds)], "base double, rounds int").coalesce(1) \
+            .write.mode("overwrite").json(f"{path}/base")
+        if self.ensemble is not None:
+            self.ensemble.write().overwrite().save(f"{path}/trees")
+
+    @staticmethod
+    def load(path: str) -> AsymBoostModel:
+        row = SparkSession.active().read.schema("base double, rounds int").json(f"{path}/base").first()
+        trees = GBTRegressionModel.load(f"{path}/trees") if row["rounds"] else None
+        return AsymBoostModel(trees, row["base"], row["rounds"])
+
+
+def _ensemble(trees: list, weight: float) -> GBTRegressionModel:
+    """MLlib's boosted ensemble of already fitted trees, each with the same weight."""
+    sc = SparkSession.active().sparkContext
+    jvm, gw = sc._jvm, sc._gateway
+    arr = gw.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    w = gw.new_array(jvm.double, len(trees))
+    for i, t in enumerate(trees):
+        arr[i], w[i] = t._java_obj, weight
+    return GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel("asym_boost", arr, w))
+
+
+def fit_asym_boost(train: DataFrame, features: Sequence[str], label: str, rounds: int = 800,
+                   learning_rate: float = 0.05, max_depth: int = 6, min_child_weight: float = 5, subsample: float = 0.8,
+                   colsample: float = 0.8, under_weight: float = 2.0, base: float = 0.5, val_col: str | None = None,
+                   early_stopping: int = EARLY_STOPPING, checkpoint_every: int = 10, seed: int = 42) -> AsymBoostModel:
     """Newton boosting of the asymmetric squared loss.
 
     Loss 2·r² when under-predicting (r = y − ŷ > 0), r² otherwise: gradient
     −4r / −2r, hessian 4 / 2.  A weighted regression tree on label r with
-    weight h puts −Σg/Σh in every leaf.
+    weight h puts −Σg/Σh in every leaf.  ``min_child_weight`` is the least sum
+    of hessians in a leaf (as a share of the sum over all rows), ``subsample``
+    and ``colsample`` are the shares of rows of a tree and of columns of a split.
+    With ``val_col`` the rows flagged there are not fitted; the loop ends after
+    ``early_stopping`` rounds without a smaller loss on them and the trees up to
+    the best round stay.
     """
     h_under, h_over = 2.0 * under_weight, 2.0
     x = VectorAssembler(inputCols=list(features), outputCol="features").transform(
         _clean(train.filter(F.col(label).isNotNull()), features))
-    x = x.select("features", F.col(label).cast("double").alias("_y"), F.lit(base).alias("_f"))
-    model = AsymBoostModel(learning_rate=learning_rate, base=base)
+    val = F.coalesce(F.col(val_col).cast("boolean"), F.lit(False)) if val_col else F.lit(False)
+    x = x.select("features", F.col(label).cast("double").alias("_y"), val.alias("_val"), F.lit(base).alias("_f"))
+    r = F.col("_y") - F.col("_f")
+    loss = F.when(r > 0, under_weight * r * r).otherwise(r * r)
+    hessian = F.when(r > 0, h_under).otherwise(h_over)
+
+    def state(df: DataFrame):  # also fills the cache
+        return df.agg(F.sum(F.when(~F.col("_val"), hessian)).alias("h"),
+                      F.avg(F.when(F.col("_val"), loss)).alias("loss")).first()
+
+    trees, best, best_loss = [], 0, float("inf")
     x = x.cache()
+    s = state(x)
+    if not s["h"]:
+        x.unpersist()
+        return AsymBoostModel(None, base, 0)
+    best_loss = s["loss"] if s["loss"] is not None else best_loss
     for i in range(rounds):
-        r = F.col("_y") - F.col("_f")
-        step = x.withColumns({"_r": r, "_h": F.when(r > 0, h_under).otherwise(h_over)})
-        tree = DecisionTreeRegressor(featuresCol="features", labelCol="_r", weightCol="_h", maxDepth=max_depth,
-                                     minInstancesPerNode=min_child, maxBins=64, seed=seed + i).fit(step)
-        model.trees.append(tree)
-        nxt = tree.transform(x).withColumn("_f", F.col("_f") + learning_rate * F.col("prediction")) \
-            .drop("prediction")
-        if checkpoint_every and (i + 1) % checkpoint_every == 0:
+        step = x.filter(~F.col("_val")).withColumns({"_r": r, "_h": hessian})
+        forest = RandomForestRegressor(featuresCol="features", labelCol="_r", weightCol="_h", numTrees=1, bootstrap=False,
+                                       subsamplingRate=subsample, featureSubsetStrategy=str(float(colsample)), maxDepth=max_depth,
+                                       minWeightFractionPerNode=min(0.49, min_child_weight / (s["h"] * subsample)),
+                                       maxBins=64, seed=seed + i).fit(step)
+        tree = forest.trees[0]
+        trees.append(tree)
+        tree.setFeaturesCol("features").setPredictionCol("_p")
+        nxt = tree.transform(x).withColumn("_f", F.col("_f") + learning_rate * F.col("_p")).drop("_p")
+        if (i + 1) % checkpoint_every == 0:
             nxt = cut_lineage(nxt)  # reliable checkpoint in the shared folder
         nxt = nxt.cache()
-        x.unpersist()
+        s = state(nxt)
+        x.unpersist()  # only now: the next round is materialised
         x = nxt
+        if s["loss"] is None:
+            best = i + 1
+        elif s["loss"] < best_loss:
+            best, best_loss = i + 1, s["loss"]
+        elif i + 1 - best >= early_stopping:
+            break
     x.unpersist()
-    return model
+    return AsymBoostModel(_ensemble(trees[:best], learning_rate) if best else None, base, best)
 
 
 def feature_importance(model: PipelineModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
@@ -128,8 +186,12 @@ def feature_importance(model: PipelineModel, features: Sequence[str], spark: Spa
 
 def fit_segment_models(df: DataFrame, features: Sequence[str], label: str, ts: str = "timestamp_hour",
                        variant: str = "model", min_rows: int = 80, params: dict | None = None,
-                       asymmetric: bool = False, rounds: int = 30) -> dict:
-    """One model per segment with at least ``min_rows`` labelled rows."""
+                       asymmetric: bool = False, val_col: str | None = None, **boost) -> dict:
+    """One model per segment with at least ``min_rows`` labelled rows.
+
+    ``boost`` goes to :func:`fit_asym_boost`; a mapping segment → arguments in
+    ``params`` gives each segment its own (the tuner's winners).
+    """
     seg = S.segment(F.hour(ts), variant)
     counts = {r["_s"]: r["n"] for r in df.filter(F.col(label).isNotNull())
               .groupBy(seg.alias("_s")).agg(F.count(F.lit(1)).alias("n")).collect() if r["_s"] is not None}
@@ -137,9 +199,10 @@ def fit_segment_models(df: DataFrame, features: Sequence[str], label: str, ts: s
 
     def fit_one(name):
         part = df.filter(seg == name)
+        own = (params or {}).get(name, params or {})
         if asymmetric:
-            return name, fit_asym_boost(part, features, label, rounds=rounds)
-        return name, fit_gbt(part, features, label, params)
+            return name, fit_asym_boost(part, features, label, val_col=val_col, **{**boost, **own})
+        return name, fit_gbt(part, features, label, own, val_col)
 
     todo = [n for n, c in counts.items() if c >= min_rows]
     with ThreadPoolExecutor(max_workers=4) as pool:
@@ -148,6 +211,33 @@ def fit_segment_models(df: DataFrame, features: Sequence[str], label: str, ts: s
     return out
 
 
+def tune_segments(df: DataFrame, features: Sequence[str], label: str, n_trials: int = 50, ts: str = "timestamp_hour",
+                  variant: str = "model", min_rows: int = 80, seed: int = 42, early_stopping: int = EARLY_STOPPING) -> dict:
+    """Per segment: search, then refit on all its rows with the winner. name → (model, arguments, MAE of the search)."""
+    seg = S.segment(F.hour(ts), variant)
+    lab = df.filter(F.col(label).isNotNull())
+    out = {}
+    for r in lab.groupBy(seg.alias("_s")).agg(F.count(F.lit(1)).alias("n")).collect():
+        if r["_s"] is None or r["n"] < min_rows:
+            continue
+        part = lab.filter(seg == r["_s"])
+        best = param_search(part, features, label, n_trials, ts, seed, early_stopping).orderBy("mae", "trial").first()
+        if best["mae"] == float("inf"):
+            continue
+        args = boost_arguments({k: best[k] for k in SEARCH_SPACE})
+        flagged = FC.val_split_by_time(part, ts, share=0.10, minimum=20)
+        out[r["_s"]] = (fit_asym_boost(flagged, features, label, val_col="is_val", early_stopping=early_stopping, seed=seed, **args),
+                        args, best["mae"])
+    return out
+
+
+def boost_arguments(p: dict) -> dict:
+    """A candidate of the search as arguments of :func:`fit_asym_boost`."""
+    return dict(rounds=int(p["n_estimators"]), learning_rate=float(p["learning_rate"]), max_depth=int(p["max_depth"]),
+                min_child_weight=float(p["min_child_weight"]), subsample=float(p["subsample"]),
+                colsample=float(p["colsample_bytree"]))
+
+
 def predict_routed(df: DataFrame, segment_models: dict, global_model, features: Sequence[str],
                    ts: str = "timestamp_hour", variant: str = "model", out: str = "pred") -> DataFrame:
     """Each row scored by its segment's model, rows of other hours by the global model."""
@@ -212,10 +302,13 @@ def expanding_folds(df: DataFrame, ts: str = "timestamp_hour", n_folds: int = 3)
 
 
 def param_search(df: DataFrame, features: Sequence[str], label: str, n_trials: int = 50,
-                 ts: str = "timestamp_hour", seed: int = 42, max_rounds: int | None = None,
+                 ts: str = "timestamp_hour", seed: int = 42, early_stopping: int = EARLY_STOPPING,
                  workers: int = 4) -> DataFrame:
     """Score seeded candidates by mean MAE over 3 expanding folds with the
-    asymmetric booster; guards: < 80 rows → inf, train < 30 or test < 10 → fold skipped."""
+    asymmetric booster; guards: < 80 rows → inf, train < 30 or test < 10 → fold skipped.
+
+    Every sampled argument reaches the fit.  The last tenth of a fold's training
+    rows stops the boosting; ``mean_rounds`` is what it came to."""
     spark = df.sparkSession
     lab = df.filter(F.col(label).isNotNull())
     data, bounds = expanding_folds(lab, ts)
@@ -226,25 +319,25 @@ def param_search(df: DataFrame, features: Sequence[str], label: str, n_trials: i
     def score(idx_p):
         idx, p = idx_p
         if n < 80:
-            return idx, float("inf"), 0
-        maes = []
+            return idx, float("inf"), 0, 0.0
+        maes, used = [], []
         for lo_end, hi_end in bounds:
             tr = data.filter(F.col("_epoch") <= lo_end)
             te = data.filter((F.col("_epoch") > lo_end) & (F.col("_epoch") <= hi_end))
             n_tr, n_te = tr.count(), te.count()
             if n_tr < 30 or n_te < 10:
                 continue
-            rounds = int(p["n_estimators"]) if max_rounds is None else min(int(p["n_estimators"]), max_rounds)
-            m = fit_asym_boost(tr, features, label, rounds=rounds, learning_rate=p["learning_rate"],
-                               max_depth=int(p["max_depth"]), min_child=int(p["min_child_weight"]),
-                               checkpoint_every=0)
+            m = fit_asym_boost(FC.val_split_by_time(tr, ts, share=0.10, minimum=10), features, label, val_col="is_val",
+                               early_stopping=early_stopping, seed=seed, **boost_arguments(p))
+            used.append(m.rounds)
             mae = predict(m, te, features).agg(F.avg(F.abs(F.col("pred") - F.col(label)))).first()[0]
             maes.append(mae)
-        return idx, (sum(maes) / len(maes)) if maes else float("inf"), len(maes)
+        return (idx, (sum(maes) / len(maes)) if maes else float("inf"), len(maes),
+                sum(used) / len(used) if used else 0.0)
 
     with ThreadPoolExecutor(max_workers=workers) as pool:
         scored = list(pool.map(score, list(enumerate(cands))))
     data.unpersist()
-    rows = [(i, *[float(cands[i][k]) for k in SEARCH_SPACE], float(s), int(k)) for i, s, k in scored]
-    schema = "trial int, " + ", ".join(f"{k} double" for k in SEARCH_SPACE) + ", mae double, n_folds int"
+    rows = [(i, *[float(cands[i][k]) for k in SEARCH_SPACE], float(s), int(k), float(u)) for i, s, k, u in scored]
+    schema = "trial int, " + ", ".join(f"{k} double" for k in SEARCH_SPACE) + ", mae double, n_folds int, mean_rounds double"
     return spark.createDataFrame(rows, schema)

@@ -46,11 +46,22 @@ def pii_match(column: str, token_boundary: bool = False) -> str | None:
     return None
 
 
-def pii_audit(spark, schemas: dict[str, Sequence[str]], token_boundary: bool = False) -> DataFrame:
-    """(table, column, pattern) for every flagged column. Metadata only."""
-    rows = [(t, c, p) for t, cols in schemas.items() for c in cols
-            if (p := pii_match(c, token_boundary)) is not None]
-    return spark.createDataFrame(rows, "table_name string, column_name string, pattern string")
+def pii_audit(tables: dict[str, DataFrame], token_boundary: bool = False) -> DataFrame | None:
+    """(table, column, pattern, n_values) for every flagged column: how many rows hold a value there.
+
+    One scan per table that reads the flagged columns only; None if no column is flagged.
+    """
+    out = None
+    for name, df in tables.items():
+        found = [(c, p) for c in df.columns if (p := pii_match(c, token_boundary)) is not None]
+        if not found:
+            continue
+        counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, (c, _) in enumerate(found)])
+        rows = counts.select(F.inline(F.array(*[
+            F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.lit(p).alias("pattern"),
+                     F.col(f"n{i}").alias("n_values")) for i, (c, p) in enumerate(found)])))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def drop_pii(df: DataFrame, protect: Sequence[str] = (), token_boundary: bool = False) -> DataFrame:

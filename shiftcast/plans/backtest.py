@@ -20,20 +20,29 @@ from shiftcast.operators import models as M
 
 def model_fold_predictions(panel: DataFrame, target: str, features: Sequence[str], keys: Sequence[str] = (),
                            ts: str = "timestamp_hour", params: dict | None = None, asymmetric: bool = False,
-                           rounds: int = 20, workers: int = 4, **fold_kw) -> DataFrame:
-    """Test rows of every fold with the model prediction ``pred`` (one fit per fold)."""
+                           workers: int = 4, boost: dict | None = None, **fold_kw) -> DataFrame:
+    """Test rows of every fold with the model prediction ``pred`` (one fit per fold).
+
+    Training rows with a null feature are dropped, as the reference does.  With
+    keys all keys share a fold's model; the folds' cutoffs are per key.  A fold
+    that has no training row besides its validation tail is an error that names
+    it (choose longer folds or a shorter tail).
+    """
     keys = list(keys)
     lab = panel.filter(F.col(target).isNotNull())
-    cut = FC.fold_cutoffs(lab, keys, ts, **fold_kw).cache()
+    cut = FC.fold_cutoffs(lab, keys, ts, **fold_kw)
     folds = [r["fold"] for r in cut.select("fold").distinct().collect()]
-    train_all = FC.val_split(FC.fold_rows(lab, cut, "train", keys, ts), group=[*keys, "fold"], ts=ts,
-                             max_share=0.5)
+    whole = lab.dropna(subset=list(features))
+    train_all = FC.val_split_cut(FC.fold_rows(whole, cut, "train", keys, ts), group=["fold"], ts=ts)
+    unfit = FC.unfit_folds(train_all).collect()
+    if unfit:
+        raise ValueError(f"folds without training rows: {[(r['fold'], r['n_rows']) for r in unfit]}")
 
     def one(fold: int) -> DataFrame:
         tr = train_all.filter(F.col("fold") == fold)
         te = FC.fold_rows(lab, cut, "test", keys, ts).filter(F.col("fold") == fold)
         if asymmetric:
-            m = M.fit_asym_boost(tr, features, target, rounds=rounds, checkpoint_every=0)
+            m = M.fit_asym_boost(tr, features, target, val_col="is_val", **(boost or {}))
         else:
             m = M.fit_gbt(tr, features, target, params, val_col="is_val")
         return M.predict(m, te, features)

@@ -123,7 +123,7 @@ def p3_feature_table(spark, sf, drop_na: bool = False):
     return build_feature_table(panel_p3(spark, sf), keys=["l_suppkey"], enrichment=enrichment_table(spark, sf),
                                failte=ST.failte_daily(spark, sf), footfall=ST.footfall_hourly(spark, sf),
                                weather=ST.weather_by_ts(spark, sf), drop_na=drop_na,
-                               signal_rows=MAX_DAYS)  # stand-ins hold one row per ship day
+                               signal_rows=MAX_DAYS, daily_rows=MAX_DAYS)  # stand-ins hold one row per ship day or calendar day
 
 
 def _feature_table_sql() -> str:

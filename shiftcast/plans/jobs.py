@@ -1,26 +1,44 @@
 """Pipeline jobs (survey 2.L): the refresh job and model persistence.
 
-Every stage writes a Parquet table into the output folder (a shared location
-on a cluster), so a failed stage can be re-run alone and later stages read
-materialised inputs instead of re-deriving them.  A source that errors or is
-missing yields an empty typed frame and the pipeline goes on (fail-soft).
+The refresh job takes its sources as functions.  Each stage is written to a
+staging folder first, which runs it to its end; only then does it replace the
+stage's table in the output folder (a shared location on a cluster).  A stage
+that fails at any point leaves the last good table as it is and is reported.
+Later stages read the tables that earlier ones wrote.
 """
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftcast.sources.ingest import write_parquet
 
 log = logging.getLogger(__name__)
 
+Loader = Callable[[], DataFrame]
 
-def read_or_empty(spark: SparkSession, loader: Callable[[], DataFrame], schema: T.StructType | str) -> DataFrame:
-    """Run ``loader``; on any error (missing file, bad payload) return an empty frame of ``schema``."""
+
+@dataclass
+class StageResult:
+    """``written``, ``kept`` (failed, an older table is there) or ``missing`` (failed, none is)."""
+
+    path: str
+    status: str
+    error: str = ""
+
+
+def read_or_empty(spark: SparkSession, loader: Loader, schema: T.StructType | str) -> DataFrame:
+    """Run ``loader``; if the source cannot be opened return an empty frame of ``schema``.
+
+    For optional sources of a single query; tables that are kept go through :func:`run_stage`.
+    """
     try:
         df = loader()
         df.schema  # noqa: B018 - force analysis so missing paths fail here
@@ -30,50 +48,105 @@ def read_or_empty(spark: SparkSession, loader: Callable[[], DataFrame], schema:
         return spark.createDataFrame([], schema)
 
 
-def refresh(spark: SparkSession, sf_dir: str, out_dir: str, retrain: bool = False) -> dict[str, str]:
-    """enrichment → footfall → events → features (→ models) as Parquet tables."""
+def read_table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``; None if there is none."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+
+
+def run_stage(spark: SparkSession, loader: Loader, path: str, partition_by: Sequence[str] = ()) -> StageResult:
+    """Write ``loader()``'s rows to ``path``, or keep what is there if they can't be read to the end.
+
+    Should the copy from the staging folder fail, that folder still holds the rows.
+    """
+    base, _, name = path.rstrip("/").rpartition("/")
+    staging = f"{base}/_staging/{name}-{uuid.uuid4().hex}"
+    try:
+        loader().write.parquet(staging)  # a read error part way ends here
+        write_parquet(spark.read.parquet(staging), path, partition_by)
+        old = spark._jvm.org.apache.hadoop.fs.Path(staging)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        return StageResult(path, "written")
+    except Exception as e:  # noqa: BLE001 - fail-soft by design
+        log.warning("stage %s failed: %s", name, e)
+        there = read_table_or_none(spark, path) is not None
+        return StageResult(path, "kept" if there else "missing", str(e).splitlines()[0][:300])
+
+
+def sample_sources(spark: SparkSession, sf_dir: str) -> dict[str, Loader]:
+    """The refresh job's sources from the given test tables and their stand-ins."""
     from shiftcast.plans.enrich_queries import enrichment_table
-    from shiftcast.plans.feature_queries import p3_feature_table
     from shiftcast.sources import standins as ST
+    from shiftcast.sources.tables import panel_p3
+
+    return {"panel": lambda: panel_p3(spark, sf_dir), "enrichment": lambda: enrichment_table(spark, sf_dir),
+            "footfall": lambda: ST.footfall_hourly(spark, sf_dir), "failte": lambda: ST.failte_daily(spark, sf_dir),
+            "weather": lambda: ST.weather_by_ts(spark, sf_dir)}
+
 
-    out = {}
+def refresh(spark: SparkSession, sources: dict[str, Loader], out_dir: str, keys: Sequence[str] = (),
+            targets: Sequence[str] = ("orders_count", "food_tickets_count"), retrain: bool = False,
+            drop_na: bool = False, params: dict | None = None, boost: dict | None = None) -> dict[str, StageResult]:
+    """panel, enrichment, footfall, failte, weather → features (→ models) as Parquet tables.
 
-    def stage(name: str, build: Callable[[], DataFrame], schema: str, partition_by=()):
-        df = read_or_empty(spark, build, schema)
-        path = f"{out_dir.rstrip('/')}/{name}"
-        write_parquet(df, path, partition_by)
-        out[name] = path
+    A source that is not given, or has failed and was never written, is left out of
+    the features.  ``params`` and ``boost`` go to the global and the segment models.
+    """
+    from shiftcast.plans.feature_table import build_feature_table
 
-    stage("enrichment", lambda: enrichment_table(spark, sf_dir), "date date")
-    stage("footfall", lambda: ST.footfall_hourly(spark, sf_dir), "timestamp_hour timestamp_ntz")
-    stage("failte", lambda: ST.failte_daily(spark, sf_dir), "date date")
-    stage("features", lambda: p3_feature_table(spark, sf_dir), "l_suppkey bigint, timestamp_hour timestamp_ntz")
-    if retrain:
+    root = out_dir.rstrip("/")
+    out = {name: run_stage(spark, loader, f"{root}/{name}") for name, loader in sources.items()}
+
+    def features() -> DataFrame:
+        have = {n: read_table_or_none(spark, f"{root}/{n}") for n in ("panel", "enrichment", "footfall", "failte", "weather")}
+        if have["panel"] is None:
+            raise ValueError("there is no panel table")
+        panel = have.pop("panel")
+        return build_feature_table(panel, keys=keys, targets=targets, drop_na=drop_na, **have)
+
+    out["features"] = run_stage(spark, features, f"{root}/features")
+    if retrain and out["features"].status != "missing":
         from shiftcast.operators import availability as AV
 
-        ft = spark.read.parquet(out["features"])
+        ft = spark.read.parquet(out["features"].path)
         feats = AV.feature_cols(ft.columns, AV.SAFE_FOR_NEXT_DAY)
-        out.update(train_final_models(ft, "orders_count", feats, f"{out_dir.rstrip('/')}/models",
-                                      params={"n_estimators": 50}))
+        for target in targets:
+            for name, path in train_final_models(ft, target, feats, f"{root}/models", keys, params, boost).items():
+                out[name] = StageResult(path, "written")
     return out
 
 
-def train_final_models(df: DataFrame, target: str, features: list[str], path: str, keys=(),
-                       params: dict | None = None) -> dict[str, str]:
-    """Fit on all labelled rows (last 10 % as the validation tail) and save the
-    baseline slot table and the tree pipeline next to each other."""
-    from pyspark.sql import functions as F
-
+def train_final_models(df: DataFrame, target: str, features: list[str], path: str, keys: Sequence[str] = (),
+                       params: dict | None = None, boost: dict | None = None) -> dict[str, str]:
+    """Fit on all labelled rows (last 10 % as the validation tail) and save side by
+    side the baseline slot table, the global trees and one booster per segment."""
     from shiftcast.operators import forecast as FC
     from shiftcast.operators import models as M
 
     lab = df.filter(F.col(target).isNotNull())
     slots = FC.slot_history(lab, target, keys)
     slots = slots.groupBy(*keys, "hour", "weekday").agg(F.max_by("slot_mean", F.col("timestamp_hour")).alias("slot_mean"))
-    base_path = f"{path}/baseline_{target}"
-    write_parquet(slots, base_path)
-    train = FC.val_split_by_time(lab, share=0.10, minimum=200)
+    out = {f"baseline_{target}": f"{path}/baseline_{target}"}
+    write_parquet(slots, out[f"baseline_{target}"])
+    train = FC.val_split_by_time(lab.dropna(subset=list(features)), share=0.10, minimum=200)
     model = M.fit_gbt(train, features, target, params, val_col="is_val")
-    model_path = f"{path}/gbt_{target}"
-    model.write().overwrite().save(model_path)
-    return {f"baseline_{target}": base_path, f"gbt_{target}": model_path}
+    out[f"gbt_{target}"] = f"{path}/gbt_{target}"
+    model.write().overwrite().save(out[f"gbt_{target}"])
+    for name, m in M.fit_segment_models(train, features, target, asymmetric=True, val_col="is_val", **(boost or {})).items():
+        out[f"segment_{name}_{target}"] = f"{path}/segment_{name}_{target}"
+        m.save(out[f"segment_{name}_{target}"])
+    return out
+
+
+def load_models(path: str, target: str, names: Sequence[str]) -> tuple[dict, object]:
+    """The segment boosters named and the global model that :func:`train_final_models` saved."""
+    from pyspark.ml import PipelineModel
+
+    from shiftcast.operators.models import AsymBoostModel
+
+    return ({n: AsymBoostModel.load(f"{path}/segment_{n}_{target}") for n in names},
+            PipelineModel.load(f"{path}/gbt_{target}"))

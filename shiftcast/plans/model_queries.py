@@ -15,14 +15,15 @@ from shiftcast.plans.feature_table import build_feature_table
 from shiftcast.registry import register
 from shiftcast.session import cut_lineage
 from shiftcast.sources import standins as ST
-from shiftcast.sources.tables import panel_p1
+from shiftcast.sources.tables import panel_p1, panel_p2
 
 TS = "timestamp_hour"
 TARGET = "orders_count"
-FOLDS = dict(n_splits=4, test_weeks=1, min_train_weeks=1)
-# Runtime budget of the registered checks (the operators default to the
-# reference's 800 trees; these queries run on every verification).
-QUICK = dict(n_estimators=30, max_depth=4)
+SEGMENT = ["c_mktsegment"]
+# Hyper-parameters of the asymmetric booster in the registered queries: larger
+# steps and a shorter patience than the defaults.  Rounds are not bounded below
+# the default of 800; the validation tail ends the loop.
+BOOST = dict(learning_rate=0.3, early_stopping=5)
 
 
 def p1_model_table(spark, sf, drop_na: bool = True):
@@ -30,39 +31,50 @@ def p1_model_table(spark, sf, drop_na: bool = True):
     checkpointed: model loops reuse it many times, so its lineage is cut once."""
     h = ST.events_hourly(spark, sf)
     wx = h.select(TS, "temp_c", (F.col("footfall_clicks") / 2.0).alias("rain_mm"))
-    ff = h.select(TS, (F.col("footfall_views") * 300).alias("suffolk_nassau_footfall"),
-                  F.col("footfall_views").alias("suffolk_footfall_lag_24h"))
-    return cut_lineage(build_feature_table(panel_p1(spark, sf), footfall=ff, weather=wx, drop_na=drop_na))
+    ff = FT.clock_lags(h.select(TS, (F.col("footfall_views") * 300).alias("suffolk_nassau_footfall"), "footfall_views"),
+                       "footfall_views", (24,)).withColumnRenamed("footfall_views_lag_24h", "suffolk_footfall_lag_24h")
+    return cut_lineage(build_feature_table(panel_p1(spark, sf), footfall=ff.drop("footfall_views"), weather=wx, drop_na=drop_na))
+
+
+def p2_model_table(spark, sf):
+    """The daily panel of each market segment (six years) with its features, checkpointed."""
+    return cut_lineage(build_feature_table(panel_p2(spark, sf), keys=SEGMENT, drop_na=False))
 
 
 def _features(df):
     return AV.feature_cols(df.columns, AV.SAFE_FOR_NEXT_DAY)
 
 
+def _tail(df):
+    return FC.val_split_by_time(df, share=0.10, minimum=20)
+
+
 @register("gbt_forecast")
 def q_gbt_forecast(spark, sf):
-    ft = p1_model_table(spark, sf)
-    preds = model_fold_predictions(ft, TARGET, _features(ft), params=QUICK, **FOLDS)
-    return preds.select("fold", TS, F.col(TARGET).alias("y"), "pred")
+    ft = p2_model_table(spark, sf)
+    preds = model_fold_predictions(ft, TARGET, _features(ft), SEGMENT)
+    return preds.select("fold", *SEGMENT, TS, F.col(TARGET).alias("y"), "pred")
 
 
 @register("asym_boost")
 def q_asym_boost(spark, sf):
-    ft = p1_model_table(spark, sf)
-    preds = model_fold_predictions(ft, TARGET, _features(ft), asymmetric=True, rounds=10, **FOLDS)
+    ft = p2_model_table(spark, sf)
+    preds = model_fold_predictions(ft, TARGET, _features(ft), SEGMENT, asymmetric=True, boost=BOOST)
     return FC.asymmetric_loss(preds, TARGET, group=["fold"]).join(
         FC.forecast_metrics(preds, TARGET, group=["fold"]), "fold")
 
 
 @register("segment_routed_forecast")
 def q_segment_routed_forecast(spark, sf):
+    """Last week of the hourly panel, by models of its earlier weeks."""
     ft = p1_model_table(spark, sf, drop_na=False)
     feats = _features(ft)
-    cut = FC.fold_cutoffs(ft, **{**FOLDS, "n_splits": 1})
+    cut = FC.fold_cutoffs(ft, n_splits=1, test_weeks=1, min_train_weeks=1)
     train = FC.fold_rows(ft, cut, "train")
     test = FC.fold_rows(ft, cut, "test")
-    seg = M.fit_segment_models(train, feats, TARGET, min_rows=80, asymmetric=True, rounds=8)
-    glob = M.fit_gbt(train, feats, TARGET, QUICK)
+    flagged = cut_lineage(_tail(train))
+    seg = M.fit_segment_models(flagged, feats, TARGET, min_rows=80, asymmetric=True, val_col="is_val", **BOOST)
+    glob = M.fit_gbt(flagged, feats, TARGET, val_col="is_val")
     return M.predict_routed(test, seg, glob, feats).select(TS, F.col(TARGET).alias("y"), "pred", "model_used")
 
 
@@ -70,7 +82,7 @@ def q_segment_routed_forecast(spark, sf):
 def q_feature_importance(spark, sf):
     ft = p1_model_table(spark, sf)
     feats = _features(ft)
-    fi = M.feature_importance(M.fit_gbt(ft, feats, TARGET, QUICK), feats, spark)
+    fi = M.feature_importance(M.fit_gbt(_tail(ft), feats, TARGET, val_col="is_val"), feats, spark)
     labels = F.create_map(*[x for k, v in SV.HUMAN_LABELS.items() for x in (F.lit(k), F.lit(v))])
     return fi.withColumn("label", F.coalesce(labels[F.col("feature")],
                                              F.initcap(F.regexp_replace("feature", "_", " "))))
@@ -79,31 +91,32 @@ def q_feature_importance(spark, sf):
 @register("param_search")
 def q_param_search(spark, sf):
     ft = p1_model_table(spark, sf, drop_na=False)
-    return M.param_search(ft, _features(ft), TARGET, n_trials=4, max_rounds=5)
+    return M.param_search(ft, _features(ft), TARGET, n_trials=3, early_stopping=BOOST["early_stopping"])
 
 
 @register("segment_mae")
 def q_segment_mae(spark, sf):
     ft = p1_model_table(spark, sf, drop_na=False)
     feats = _features(ft)
-    seg = M.fit_segment_models(ft, feats, TARGET, min_rows=80, asymmetric=True, rounds=8)
-    glob = M.fit_gbt(ft, feats, TARGET, QUICK)
+    flagged = cut_lineage(_tail(ft))
+    seg = M.fit_segment_models(flagged, feats, TARGET, min_rows=80, asymmetric=True, val_col="is_val", **BOOST)
+    glob = M.fit_gbt(flagged, feats, TARGET, val_col="is_val")
     return M.segment_mae(ft, seg, glob, feats, TARGET)
 
 
 @register("ablation")
 def q_ablation(spark, sf):
-    ft = p1_model_table(spark, sf, drop_na=True)
-    lagged = FT.clock_lags(ft.drop(f"{TARGET}_lag_168h"), TARGET, (168,))
-    base = FC.baseline_backtest(lagged, TARGET, lag_col=f"{TARGET}_lag_168h", **FOLDS)
-    b = fold_summary(ft, base, TARGET, **FOLDS).agg(F.avg("mae").alias("MAE"),
+    ft = p2_model_table(spark, sf)
+    lagged = FT.clock_lags(ft.drop(f"{TARGET}_lag_168h"), TARGET, (168,), SEGMENT)
+    base = FC.baseline_backtest(lagged, TARGET, keys=SEGMENT, lag_col=f"{TARGET}_lag_168h")
+    b = fold_summary(ft, base, TARGET, SEGMENT).agg(F.avg("mae").alias("MAE"),
                                                    F.avg("shift_accuracy").alias("Shift Accuracy"))
     rows = [b.select(F.lit("A0: Baseline (Last Week)").alias("Run"), F.lit(0).alias("Features"), "MAE",
                      "Shift Accuracy")]
     for name, cols in AV.ABLATION_GROUPS.items():
         feats = AV.feature_cols(ft.columns, cols)
-        preds = model_fold_predictions(ft, TARGET, feats, params={**QUICK, "n_estimators": 10}, **FOLDS)
-        s = fold_summary(ft, preds, TARGET, **FOLDS).agg(F.avg("mae").alias("MAE"),
+        preds = model_fold_predictions(ft, TARGET, feats, SEGMENT)
+        s = fold_summary(ft, preds, TARGET, SEGMENT).agg(F.avg("mae").alias("MAE"),
                                                         F.avg("shift_accuracy").alias("Shift Accuracy"))
         rows.append(s.select(F.lit(name).alias("Run"), F.lit(len(feats)).alias("Features"), "MAE", "Shift Accuracy"))
     out = rows[0]
@@ -116,12 +129,12 @@ def q_ablation(spark, sf):
 def q_cv_compare(spark, sf):
     """H8 with both models: fold metrics summarised per model (mean ± std)
     and the tree model's MAE improvement over the baseline in percent."""
-    ft = p1_model_table(spark, sf)
-    lagged = FT.clock_lags(ft.drop(f"{TARGET}_lag_168h"), TARGET, (168,))
-    base = FC.baseline_backtest(lagged, TARGET, lag_col=f"{TARGET}_lag_168h", **FOLDS)
-    tree = model_fold_predictions(ft, TARGET, _features(ft), params=QUICK, **FOLDS)
-    b = fold_summary(ft, base, TARGET, **FOLDS).withColumn("model", F.lit("baseline"))
-    x = fold_summary(ft, tree, TARGET, **FOLDS).withColumn("model", F.lit("gbt"))
+    ft = p2_model_table(spark, sf)
+    lagged = FT.clock_lags(ft.drop(f"{TARGET}_lag_168h"), TARGET, (168,), SEGMENT)
+    base = FC.baseline_backtest(lagged, TARGET, keys=SEGMENT, lag_col=f"{TARGET}_lag_168h")
+    tree = model_fold_predictions(ft, TARGET, _features(ft), SEGMENT)
+    b = fold_summary(ft, base, TARGET, SEGMENT).withColumn("model", F.lit("baseline"))
+    x = fold_summary(ft, tree, TARGET, SEGMENT).withColumn("model", F.lit("gbt"))
     summ = FC.cv_summary(b.unionByName(x), group=["model"])  # one row per model
     base_mae = F.max(F.when(F.col("model") == "baseline", F.col("mae_mean"))).over(Window.partitionBy(F.lit(0)))
     return summ.withColumn("_b", base_mae) \

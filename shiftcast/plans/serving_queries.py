@@ -153,15 +153,15 @@ def _briefing_sql() -> str:
     day = "['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'][isodow(date)]"
     wknd = "(isodow(date) - 1 >= 4)"
     sports_only = "(major_sports_event_flag <> 0 AND aviva_event_flag = 0 AND croke_park_event_flag = 0)"
-    named = [("new_years_eve_flag <> 0", "New Year's Eve"), ("bloomsday_flag <> 0", "Bloomsday"),
-             ("st_patricks_week_flag <> 0", "St. Patrick's week"), ("aviva_event_flag <> 0", "Aviva match day"),
-             ("croke_park_event_flag <> 0", "Croke Park event"), (sports_only, "major sporting event"),
-             ("special_event_flag <> 0", "private event on"), ("cruise_ship_flag <> 0", "cruise ship in port"),
-             ("bank_holiday_flag <> 0", "bank holiday")]
+    named = [("new_years_eve_flag <> 0", T["h_nye"]), ("bloomsday_flag <> 0", T["h_bloomsday"]),
+             ("st_patricks_week_flag <> 0", T["h_st_pats"]), ("aviva_event_flag <> 0", T["h_aviva"]),
+             ("croke_park_event_flag <> 0", T["h_croke"]), (sports_only, T["h_sports"]),
+             ("special_event_flag <> 0", T["h_special"]), ("cruise_ship_flag <> 0", T["h_cruise"]),
+             ("bank_holiday_flag <> 0", T["h_bank_hol"])]
     named_list = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {_q(t)} END" for c, t in named) + \
         "], lambda x: x IS NOT NULL)"
-    fallback = ("list_filter([CASE WHEN is_live_music_window <> 0 THEN 'live music tonight' END, "
-                "CASE WHEN is_live_music_window = 0 AND rain_mm > 8 THEN 'heavy rain' END], lambda x: x IS NOT NULL)")
+    fallback = (f"list_filter([CASE WHEN is_live_music_window <> 0 THEN {_q(T['h_music'])} END, "
+                f"CASE WHEN is_live_music_window = 0 AND rain_mm > 8 THEN {_q(T['h_rain'])} END], lambda x: x IS NOT NULL)")
     ev = [("new_years_eve_flag <> 0", _q(T["nye"])),
           ("bloomsday_flag <> 0 OR bloomsday_week_flag <> 0",
            f"CASE WHEN bloomsday_flag <> 0 THEN {_q(T['bloomsday'])} ELSE {_q(T['bloomsweek'])} END"),

@@ -19,12 +19,11 @@ def clean_header(name: str) -> str:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              encodings: Sequence[str] = ("UTF-8", "ISO-8859-1"), drop_too_long: bool = True,
-             sep: str = ",", encoding_sample_lines: int | None = None, **options) -> DataFrame:
+             sep: str = ",", **options) -> DataFrame:
     """Header CSV read with encoding fallback and lenient bad-line handling.
 
     * UTF-8 unless some line is not valid UTF-8, then the fallback encoding
-      (one extra scan that stops at the first bad line; with
-      ``encoding_sample_lines`` only that many leading lines are checked).
+      (one extra scan that stops at the first bad line).
     * Headers lose BOM, blanks and embedded newlines.
     * PERMISSIVE parse: short rows are kept with nulls; rows with more fields
       than the header are dropped, as a reader that skips bad lines would.
@@ -34,8 +33,6 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     if encodings[0].replace("-", "").upper() == "UTF8" and len(encodings) > 1:
         # the text source keeps raw bytes, so invalid UTF-8 is detectable per line
         lines = spark.read.text(path)
-        if encoding_sample_lines:
-            lines = lines.limit(encoding_sample_lines)
         if lines.filter(~F.is_valid_utf8("value")).limit(1).count() == 0:
             chosen = encodings[0]
     else:
@@ -65,18 +62,38 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
     """Parquet sink; with ``partition_by`` only the partitions present are replaced."""
     w = df.write.mode(mode)
     if partition_by:
-        df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        w = w.partitionBy(*partition_by)
+        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     w.parquet(path)
 
 
-def union_first_wins(frames: Sequence[DataFrame], key: Sequence[str] | str,
-                     rank_col: str | None = None) -> DataFrame:
+def missing_partitions(spark: SparkSession, path: str, wanted: DataFrame, partition_by: Sequence[str],
+                       complete: Column | None = None) -> DataFrame:
+    """Rows of ``wanted`` (one per partition) that the table at ``path`` lacks.
+
+    ``complete`` may narrow what counts as present (say, years before the
+    current one); a table that does not exist yet has no partition.
+    """
+    keys = list(partition_by)
+    try:
+        have = spark.read.parquet(path)
+    except Exception as e:  # noqa: BLE001 - only a missing path means an empty table
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return wanted
+    have = have.filter(complete) if complete is not None else have
+    return wanted.join(have.select(*keys).distinct(), keys, "left_anti")
+
+
+def union_first_wins(frames: Sequence[DataFrame], key: Sequence[str] | str, rank_col: str | None = None,
+                     order_by: Sequence[str] = ()) -> DataFrame:
     """Union by name (missing columns → null); per key the earliest frame wins.
 
-    A declarative ``min_by`` aggregate instead of ``dropDuplicates`` (which
-    keeps an arbitrary row): partial aggregation runs before the shuffle, so
-    a hot key costs one row per map task.
+    Within a frame the row that is first by ``order_by`` wins (a line number,
+    an ingestion time); rows that tie there too are ordered by their values,
+    so the result never depends on partitioning.  A declarative ``min_by``
+    aggregate instead of ``dropDuplicates`` (which keeps an arbitrary row):
+    partial aggregation runs before the shuffle, so a hot key costs one row
+    per map task.
     """
     keys = [key] if isinstance(key, str) else list(key)
     tagged = [f.withColumn("_src_rank", F.lit(i)) for i, f in enumerate(frames)]
@@ -84,8 +101,11 @@ def union_first_wins(frames: Sequence[DataFrame], key: Sequence[str] | str,
     for f in tagged[1:]:
         u = u.unionByName(f, allowMissingColumns=True)
     value_cols = [c for c in u.columns if c not in keys and c != "_src_rank"]
-    best = u.groupBy(*keys).agg(
-        F.min_by(F.struct(*value_cols, "_src_rank"), F.col("_src_rank")).alias("_w"))
+    # values without an order of their own (maps, variants) are compared as text
+    plain = [F.to_json(F.struct(c)) if "map<" in t or t == "variant" else F.col(c)
+             for c, t in u.dtypes if c in value_cols and c not in order_by]
+    first = F.struct(F.col("_src_rank"), *[F.col(c) for c in order_by], *plain)
+    best = u.groupBy(*keys).agg(F.min_by(F.struct(*value_cols, "_src_rank"), first).alias("_w"))
     out = best.select(*keys, *[F.col("_w")[c].alias(c) for c in value_cols],
                       F.col("_w")["_src_rank"].alias(rank_col or "_src_rank"))
     return out if rank_col else out.drop("_src_rank")
@@ -107,6 +127,31 @@ def json_column_arrays(df: DataFrame, json_col: str, block: str, arrays: dict[st
     return zipped.select(*keep, F.inline("_z"))
 
 
+def json_event_list(df: DataFrame, json_col: str, path: Sequence[str] = ("_embedded", "events"),
+                    name: str = "name", date: Sequence[str] = ("dates", "start", "localDate"),
+                    keep: Sequence[str] = ()) -> DataFrame:
+    """``{a: {b: [{name, x: {y: {date}}}]}}`` payloads → one row (event_date, event_name) per event.
+
+    Events without a date are left out; a missing list gives no row.
+    """
+    inner = "string"
+    for part in reversed(date):
+        inner = f"struct<`{part}`: {inner}>"
+    schema = f"array<struct<`{name}`: string, {inner[len('struct<'):-1]}>>"
+    for part in reversed(path):
+        schema = f"struct<`{part}`: {schema}>"
+    rows = df.select(*keep, F.explode(_field(F.from_json(F.col(json_col), schema), path)).alias("_e"))
+    out = rows.select(*keep, F.to_date(_field(F.col("_e"), date).try_cast("date")).alias("event_date"),
+                      F.trim(F.col("_e")[name]).alias("event_name"))
+    return out.filter(F.col("event_date").isNotNull())
+
+
+def _field(c: Column, path: Sequence[str]) -> Column:
+    for part in path:
+        c = c.getField(part)
+    return c
+
+
 @dataclass
 class Rule:
     column: str

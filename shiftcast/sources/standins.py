@@ -92,7 +92,8 @@ def failte_daily(spark: SparkSession, sf: str, method: str = "delta") -> DataFra
     iv = order_intervals(spark, sf)
     return E.interval_daily_counts(iv, "start_date", "end_date",
                                    {"failte_free_event_count": F.col("is_free"),
-                                    "failte_festival_count": F.col("is_festival")}, method=method)
+                                    "failte_festival_count": F.col("is_festival")},
+                                   cap="2030-12-31", method=method)
 
 
 def sensor_panel(spark: SparkSession, sf: str) -> DataFrame:

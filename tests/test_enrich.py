@@ -31,8 +31,10 @@ def test_interval_counts_explode_equals_delta(spark):
             (D(2026, 7, 5), D(2026, 7, 1), True, True), (D(2030, 12, 30), D(2031, 2, 1), False, False)]
     df = spark.createDataFrame(rows, "s date, e date, free boolean, fest boolean")
     flags = {"free_n": F.col("free"), "fest_n": F.col("fest")}
-    ex = sorted(map(tuple, E.interval_daily_counts(df, "s", "e", flags, method="explode").collect()))
-    de = sorted(map(tuple, E.interval_daily_counts(df, "s", "e", flags, method="delta")
+    assert E.interval_daily_counts(df, "s", "e").filter("date = '2031-02-01'").count() == 1  # no cut by default
+    cap = "2030-12-31"
+    ex = sorted(map(tuple, E.interval_daily_counts(df, "s", "e", flags, cap, method="explode").collect()))
+    de = sorted(map(tuple, E.interval_daily_counts(df, "s", "e", flags, cap, method="delta")
                     .select("date", "failte_event_count", "free_n", "fest_n").collect()))
     assert ex == de
     got = {r[0]: r[1:] for r in ex}
@@ -137,3 +139,20 @@ def test_busy_flag_asof_uses_only_earlier_weeks(spark):
     assert full == [0, 0, 1, 0, 1]  # p70 of all five = 7.4
     future = df.filter(F.col("timestamp_hour") <= t0 + dt.timedelta(weeks=2))
     assert [r.b for r in FF.busy_flag(future, "v", "b", asof=True).orderBy("timestamp_hour").collect()] == got[:3]
+
+
+def test_keyed_signals_reach_their_own_venue_only(spark):
+    t = dt.datetime(2024, 1, 1, 10)
+    panel = spark.createDataFrame([("a", t, 1), ("b", t, 2)], "venue string, timestamp_hour timestamp_ntz, orders_count int")
+    daily = spark.createDataFrame([("a", t.date(), 7), ("a", t.date(), 9), ("b", t.date(), 8)], "venue string, date date, n int")
+    got = {r.venue: r.n for r in E.merge_daily_replace(panel, daily, keys=["venue"]).collect()}
+    assert got == {"a": 7, "b": 8}  # no row is multiplied
+    city = spark.createDataFrame([(t.date(), 5)], "date date, n int")
+    assert [r.n for r in E.merge_daily_replace(panel, city, keys=["venue"]).collect()] == [5, 5]
+    foot = spark.createDataFrame([("b", t, 3)], "venue string, timestamp_hour timestamp_ntz, views int")
+    wx = spark.createDataFrame([(t, 4.0)], "timestamp_hour timestamp_ntz, temp_c double")
+    got = {r.venue: (r.views, r.temp_c) for r in E.merge_hourly(panel, foot, wx, keys=["venue"]).collect()}
+    assert got == {"a": (0.0, 4.0), "b": (3.0, 4.0)}
+    spine = spark.createDataFrame([("a", t.date()), ("b", t.date())], "venue string, date date")
+    flag = spark.createDataFrame([("a", t.date(), 1)], "venue string, date date, x_flag int")
+    assert {r.venue: r.x_flag for r in E.enrich_spine(spine, [flag], keys=["venue"]).collect()} == {"a": 1, "b": 0}

@@ -33,6 +33,7 @@ def test_gbt_beats_mean_and_asymmetric_loss_lowers_underprediction(spark):
                            checkpoint_every=5)
     asym = M.fit_asym_boost(train, feats, "y", rounds=15, learning_rate=0.3, max_depth=4, under_weight=2.0,
                             checkpoint_every=5)
+    assert sym.rounds == asym.rounds == 15
     under = lambda m: M.predict(m, test, feats).agg(F.avg((F.col("pred") < F.col("y")).cast("double"))).first()[0]
     assert under(asym) < under(sym)
 
@@ -51,9 +52,26 @@ def test_segment_routing_and_importance(spark):
     assert abs(fi.agg(F.sum("importance_pct")).first()[0] - 100.0) < 1e-9
 
 
+def test_asym_boost_stops_saves_and_samples(spark, tmp_dir):
+    df = _seasonal(spark, n=24 * 14).withColumn("is_val", F.col("timestamp_hour") >= F.lit(T0 + dt.timedelta(days=12)))
+    feats = ["hour", "weekday"]
+    m = M.fit_asym_boost(df, feats, "y", learning_rate=0.5, val_col="is_val", early_stopping=2, checkpoint_every=3)
+    assert 0 < m.rounds < 60 and m.ensemble.getNumTrees == m.rounds
+    m.save(f"{tmp_dir}/m")
+    again = M.AsymBoostModel.load(f"{tmp_dir}/m")
+    key = lambda d: sorted((r.timestamp_hour, r.pred) for r in d.collect())
+    assert key(M.predict(m, df, feats)) == key(M.predict(again, df, feats))
+    few = dict(rounds=3, learning_rate=0.5)
+    whole = M.fit_asym_boost(df, feats, "y", subsample=1.0, colsample=1.0, **few)
+    half = M.fit_asym_boost(df, feats, "y", subsample=0.5, colsample=1.0, **few)
+    one = M.fit_asym_boost(df, feats, "y", subsample=1.0, colsample=0.5, **few)
+    assert key(M.predict(whole, df, feats)) != key(M.predict(half, df, feats))
+    assert key(M.predict(whole, df, feats)) != key(M.predict(one, df, feats))
+
+
 def test_param_search_guards_and_seed(spark):
     small = _seasonal(spark, n=50)
-    res = M.param_search(small, ["hour"], "y", n_trials=2, max_rounds=2)
+    res = M.param_search(small, ["hour"], "y", n_trials=2, early_stopping=2)
     assert res.filter("mae = double('inf')").count() == 2
     assert M.sample_params(3, seed=1) == M.sample_params(3, seed=1)
 
