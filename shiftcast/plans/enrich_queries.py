@@ -170,12 +170,12 @@ SELECT p.timestamp_hour, p.orders_count,
        coalesce(CAST(f.footfall_clicks AS DOUBLE), 0.0) AS footfall_clicks,
        w.temp_c, w.sales_total
 FROM p
-LEFT JOIN (SELECT timestamp_hour, footfall_views, footfall_clicks FROM ({SQ.EVENTS_HOURLY}) WHERE n_errors > 0) f
+LEFT JOIN (SELECT timestamp_hour, footfall_views, footfall_clicks FROM ({SQ.EVENTS_HOURLY})) f
   USING (timestamp_hour)
 LEFT JOIN (SELECT timestamp_hour, temp_c, sales_total FROM ({SQ.EVENTS_HOURLY})) w USING (timestamp_hour)""", p=P1))
 def q_merge_hourly(spark, sf):
     h = ST.events_hourly(spark, sf)
-    foot = h.filter(F.col("n_errors") > 0).select(TS, "footfall_views", "footfall_clicks")
+    foot = h.select(TS, "footfall_views", "footfall_clicks")
     wx = h.select(TS, "temp_c", "sales_total")
     out = E.merge_hourly(panel_p1(spark, sf), foot, wx)
     out = E.coerce_zero_fill(out, ["footfall_views", "footfall_clicks"])

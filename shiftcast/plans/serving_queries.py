@@ -225,7 +225,7 @@ def _rule_input(spark, sf):
     rain, footfall, calendar flags and weekend-aware music hours."""
     ev = read_table(spark, sf, "events")
     h = ST.events_hourly(spark, sf)
-    hourly = h.filter(F.col("n_errors") > 0).select(TS, "temp_c")
+    hourly = h.select(TS, "temp_c")
     daily = ev.groupBy(F.to_date("ts").alias("date")).agg(
         ((F.sum(F.round(F.col("value") * 100)) % 2500) / 100.0).alias("temp_c"))
     p = panel_p1(spark, sf).join(h.select(TS, (F.col("footfall_clicks") / 2.0).alias("rain_mm"),
@@ -286,7 +286,7 @@ x AS (SELECT p.timestamp_hour, p.orders_count, hs.footfall_clicks / 2.0 AS rain_
              hour(p.timestamp_hour) AS h, isodow(p.timestamp_hour) - 1 AS wd, month(p.timestamp_hour) AS mo
       FROM p
       LEFT JOIN ({SQ.EVENTS_HOURLY}) hs USING (timestamp_hour)
-      LEFT JOIN (SELECT timestamp_hour, temp_c FROM ({SQ.EVENTS_HOURLY}) WHERE n_errors > 0) hr USING (timestamp_hour)
+      LEFT JOIN (SELECT timestamp_hour, temp_c FROM ({SQ.EVENTS_HOURLY})) hr USING (timestamp_hour)
       LEFT JOIN (SELECT CAST(ts AS DATE) AS d, (sum(round(value * 100)) % 2500) / 100.0 AS temp_c
                  FROM events GROUP BY 1) dy
         ON dy.d = CAST(p.timestamp_hour AS DATE))""", p=P1)
