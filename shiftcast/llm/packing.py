@@ -1,9 +1,11 @@
 """Sequence packing as a cutting-stock problem solved by column generation.
 
-A text's ids are cut into full pieces of ``CAPACITY`` and one rest.  Rests are
-counted by length class (``GRAIN`` ids wide, rounded up); this histogram, of
-bounded size whatever the corpus, is all that the driver sees.  There a linear
-program over patterns (how many rests of each class share a sequence) is solved
+A text's ids are cut into full pieces of ``CAPACITY`` and a rest, and the rest into
+a multiple of ``GRAIN`` ids and a crumb of fewer (``cut_rest=False`` keeps rests
+whole and rounds them up to a multiple, which costs half a ``GRAIN`` of padding a
+text).  Pieces are counted by length; this histogram, of bounded size whatever the
+corpus, is all that the driver sees.  There a linear
+program over patterns (how many pieces of each length share a sequence) is solved
 by the simplex method: its dual prices go to an unbounded-knapsack dynamic
 program that finds the pattern of largest value, which enters the basis, until
 Farley's bound proves the value within ``GAP`` of the optimum.  Counts of
@@ -129,44 +131,53 @@ class Plan:
     slot: np.ndarray
 
 
-def make_plan(histogram: dict[int, int], room: int) -> Plan:
-    """Sequences for ``histogram`` (class -> pieces); class ``room`` holds the full pieces."""
-    rest = sorted(c for c in histogram if c < room)
-    sizes = np.array(rest, np.int64)
-    found = integer_patterns(sizes, np.array([histogram[c] for c in rest], np.int64), room)
+def make_plan(histogram: dict[int, int], room: int, capacity: int) -> Plan:
+    """Sequences for ``histogram`` (class -> pieces).
+
+    Class ``room`` holds the full pieces, smaller ones those of so many grains,
+    and -n the crumbs of n ids, which share sequences of their own.
+    """
     rows, rank, sequence = [], dict.fromkeys(histogram, 0), 0
     if room in histogram:
         rows.append((room, 0, 0, 1, 0))
         sequence = histogram[room]
-    for p, n in found:
-        slot = 0
-        for k in np.flatnonzero(p)[::-1]:
-            c = rest[k]
-            rows.append((c, rank[c], sequence, int(p[k]), slot))
-            rank[c] += int(p[k]) * n
-            slot += int(p[k])
-        sequence += n
+    grains, crumbs = sorted(c for c in histogram if 0 < c < room), sorted((c for c in histogram if c < 0), reverse=True)
+    for classes, limit in ((grains, room), (crumbs, capacity)):
+        sizes = np.abs(np.array(classes, np.int64))
+        for p, n in integer_patterns(sizes, np.array([histogram[c] for c in classes], np.int64), limit):
+            slot = 0
+            for k in np.flatnonzero(p)[::-1]:
+                c = classes[k]
+                rows.append((c, rank[c], sequence, int(p[k]), slot))
+                rank[c] += int(p[k]) * n
+                slot += int(p[k])
+            sequence += n
     t = np.array(sorted(rows), np.int64).reshape(-1, 5)
     return Plan(*t.T)
 
 
 # ---------------------------------------------------------------- Spark side
 
-def _pieces(path: str, capacity: int, end_rows: bool = True):
+def _pieces(path: str, capacity: int, grain: int, cut_rest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, ids, rows in encode_column(batch.column(1), path):
                 data = memoryview(ids.astype("<u4")).cast("B")
-                n = -(-rows // capacity)
+                full, rest = rows // capacity, rows % capacity
+                main = rest // grain * grain if cut_rest else rest
+                n = full + (main > 0) + (rest > main)
                 doc = np.repeat(np.arange(len(rows)), n)
-                start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * capacity
-                length = np.minimum(rows[doc] - start, capacity)
+                k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                whole, crumb = k < full[doc], k == full[doc] + (main[doc] > 0)
+                start = np.where(crumb, full[doc] * capacity + main[doc], k * capacity)
+                length = np.where(whole, capacity, np.where(crumb, (rest - main)[doc], main[doc]))
+                kind = np.where(crumb, -length, -(-length // grain))
                 at = 4 * ((np.cumsum(rows) - rows)[doc] + start)
                 crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(start), pa.array(length),
-                     pa.array(crc, pa.int64()), pa.array(rows[doc].astype(np.int64))],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                     pa.array(crc, pa.int64()), pa.array(rows[doc].astype(np.int64)), pa.array(kind.astype(np.int32))],
+                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class"])
     return run
 
 
@@ -190,7 +201,8 @@ def _assign(plan: Plan, names: list[str]):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain: int = GRAIN,
+         cut_rest: bool = True) -> DataFrame:
     """One row per piece of ``docs(doc_id, text)``.
 
     doc_id, start (ids of its text before it), length, ids_crc32 (of its ids as
@@ -200,12 +212,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     pieces = store(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInArrow(_pieces(tokenizer_path, capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
-        .withColumn("class", F.ceil(F.col("length") / grain).cast("int"))
+        .mapInArrow(_pieces(tokenizer_path, capacity, grain, cut_rest),
+                    "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int")
         .withColumn("slice", F.spark_partition_id()), "pieces")
     counts = store(pieces.groupBy("slice", "class").agg(F.count("*").alias("n")), "counts")
     histogram = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}
-    plan = make_plan(histogram, capacity // grain)
+    plan = make_plan(histogram, capacity // grain, capacity)
     before = counts.select("slice", "class", (F.sum("n").over(Window.partitionBy("class").orderBy("slice")) - F.col("n"))
                            .alias("before"))
     inside = F.row_number().over(Window.partitionBy("slice", "class").orderBy("doc_id", "start")) - 1
