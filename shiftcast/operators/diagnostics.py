@@ -52,32 +52,66 @@ def target_corr(df: DataFrame, cols: Sequence[str], target: str, group: Sequence
     return wide.select(*group, F.inline(rows))
 
 
-def value_histogram(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
-    """(group, value, count): the exact distribution, map-side combined."""
-    v = F.col(value).cast("double")
-    return df.filter(v.isNotNull()).groupBy(*group, v.alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+#: Accuracy of the sketch that brackets an exact quantile: of a group's rows about 4 / ACCURACY are sorted.
+ACCURACY = 10_000
+
+
+def _join_group(df: DataFrame, small: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Rows with their group's row of ``small`` (a null group value meets a null)."""
+    if not group:  # one row of statistics
+        return df.withColumn("_all", F.lit(0)).join(F.broadcast(small.withColumn("_all", F.lit(0))), "_all").drop("_all")
+    right = small.select(*[F.col(c).alias(f"_g{i}") if c in group else F.col(c) for i, c in enumerate(small.columns)])
+    at = {c: f"_g{i}" for i, c in enumerate(small.columns) if c in group}
+    on = [df[c].eqNullSafe(right[at[c]]) for c in group]
+    return df.join(right, on, "inner").drop(*at.values())
 
 
-def _hist_quantiles(hist: DataFrame, qs: Sequence[float], group: list, names: list) -> DataFrame:
-    w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy("_v")
-    ranked = hist.withColumns({"_cum": F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-                               "_n": F.sum("_k").over(Window.partitionBy(*group) if group
-                                                      else Window.partitionBy(F.lit(0)))})
+def bracketed_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: Sequence[str],
+                        names: Sequence[str]) -> DataFrame:
+    """Exact linear-interpolation quantiles without sorting a group in one task.
+
+    A mergeable sketch (``percentile_approx``) gives for every quantile two
+    values that surely enclose its rank.  Rows below the lower one are only
+    counted (map-side); the few between are counted per value and sorted.  A
+    group of up to 3 × ``ACCURACY`` rows is sorted whole, as rounding of ranks
+    may matter there.
+    """
+    group = list(group)
+    rows = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    eps = 2.0 / ACCURACY
+    probes = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-eps, eps)]
+    stats = rows.groupBy(*group).agg(F.percentile_approx("_v", probes, ACCURACY).alias("_b"), F.count(F.lit(1)).alias("_n"),
+                                      F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    few = F.col("_n") <= 3 * ACCURACY
+    if not group:
+        stats = stats.filter(F.col("_n") > 0)
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.when(few, F.col("_min")).otherwise(F.col("_b")[2 * i]).alias("lo"),
+                                         F.when(few, F.col("_max")).otherwise(F.col("_b")[2 * i + 1]).alias("hi"))
+                                for i in range(len(qs))]))
+    near = (_join_group(rows, stats, group).select(*group, "_v", "_n", sides.alias("_s")).filter(F.col("_v") <= F.col("_s.hi"))
+            .groupBy(*group, F.col("_s.i").alias("_i"), F.when(F.col("_v") >= F.col("_s.lo"), F.col("_v")).alias("_x"))
+            .agg(F.count(F.lit(1)).alias("_k"), F.first("_n").alias("_n")))
+    w = Window.partitionBy(*group, "_i").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = near.withColumn("_cum", F.sum("_k").over(w))
     aggs = []
-    for q, name in zip(qs, names):
+    for i, (q, name) in enumerate(zip(qs, names)):
         h = (F.col("_n") - 1) * q
-        lo, hi = F.floor(h), F.ceil(h)
-        aggs += [F.min(F.when(F.col("_cum") > lo, F.col("_v"))).alias(f"{name}_lo"),
-                 F.min(F.when(F.col("_cum") > hi, F.col("_v"))).alias(f"{name}_hi"),
-                 F.max(h - lo).alias(f"{name}_f")]
+        own = F.col("_i") == i
+        aggs += [F.min(F.when(own & (F.col("_cum") > F.floor(h)), F.col("_x"))).alias(f"{name}_lo"),
+                 F.min(F.when(own & (F.col("_cum") > F.ceil(h)), F.col("_x"))).alias(f"{name}_hi"),
+                 F.max(h - F.floor(h)).alias(f"{name}_f")]
     a = ranked.groupBy(*group).agg(*aggs)
     return a.select(*group, *[(F.col(f"{n}_lo") + F.col(f"{n}_f") * (F.col(f"{n}_hi") - F.col(f"{n}_lo"))).alias(n)
                               for n in names])
 
 
 def quantiles(df: DataFrame, value: str, qs: Sequence[float], group: Sequence[str] = (),
-              method: str = "histogram", names: Sequence[str] | None = None) -> DataFrame:
-    """Linear-interpolation quantiles per group (the numpy / pandas default)."""
+              method: str = "bracket", names: Sequence[str] | None = None) -> DataFrame:
+    """Linear-interpolation quantiles per group (the numpy / pandas default).
+
+    ``bracket`` (default) is exact at any size, ``exact`` buffers a group's
+    distinct values, ``approx`` is the sketch alone.
+    """
     group = list(group)
     names = list(names or [f"q{int(round(q * 100))}" for q in qs])
     v = F.col(value).cast("double")
@@ -87,33 +121,23 @@ def quantiles(df: DataFrame, value: str, qs: Sequence[float], group: Sequence[st
     if method == "exact":
         return df.groupBy(*group).agg(F.percentile(v, F.array(*[F.lit(q) for q in qs])).alias("_q")).select(
             *group, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    return _hist_quantiles(value_histogram(df, value, group), qs, group, names)
-
+    return bracketed_quantiles(df, value, qs, group, names)
 
-def box_stats(df: DataFrame, value: str, group: Sequence[str], method: str = "histogram") -> DataFrame:
-    """Quartiles, 1.5·IQR whiskers (furthest points inside the fences) and outlier count.
 
-    Histogram method: quartiles, whiskers and counts all come from the
-    (group, value, count) table, so the input is scanned once."""
+def box_stats(df: DataFrame, value: str, group: Sequence[str], method: str = "bracket") -> DataFrame:
+    """Quartiles, 1.5·IQR whiskers (furthest points inside the fences) and outlier count."""
     group = list(group)
-    names = ["q1", "median", "q3"]
-    if method == "histogram":
-        hist = value_histogram(df, value, group)
-        q = _hist_quantiles(hist, (0.25, 0.5, 0.75), group, names)
-        j = hist.join(q, group, "inner") if group else hist.withColumn("_all", F.lit(0)).join(
-            F.broadcast(q.withColumn("_all", F.lit(0))), "_all")
-        x, k = F.col("_v"), F.col("_k")
-    else:
-        q = quantiles(df, value, (0.25, 0.5, 0.75), group, method, names=names)
-        j = df.select(*group, F.col(value).cast("double").alias("_v")).join(q, group, "inner")
-        x, k = F.col("_v"), F.lit(1)
+    rows = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    q = quantiles(rows, "_v", (0.25, 0.5, 0.75), group, method, names=["q1", "median", "q3"])
+    j = _join_group(rows, q, group)
+    x = F.col("_v")
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     return j.groupBy(*group, "q1", "median", "q3").agg(
-        F.sum(F.when(x.isNotNull(), k)).cast("long").alias("n"),
+        F.count(x).alias("n"),
         F.min(F.when(x >= lo_f, x)).alias("whisker_lo"),
         F.max(F.when(x <= hi_f, x)).alias("whisker_hi"),
-        F.coalesce(F.sum(F.when((x < lo_f) | (x > hi_f), k)), F.lit(0)).cast("long").alias("n_outliers"))
+        F.count_if((x < lo_f) | (x > hi_f)).alias("n_outliers"))
 
 
 def anomaly_class(df: DataFrame, out: str = "anomaly_type") -> DataFrame:
@@ -127,7 +151,7 @@ def anomaly_class(df: DataFrame, out: str = "anomaly_type") -> DataFrame:
 
 
 def residual_profile(oos: DataFrame, panel: DataFrame, keys: Sequence[str] = (), ts: str = "timestamp_hour",
-                     method: str = "histogram") -> DataFrame:
+                     method: str = "bracket") -> DataFrame:
     """Box statistics of residuals by weekday name × EDA shift (inner join with the panel)."""
     keys = list(keys)
     names = F.element_at(F.array(*[F.lit(d) for d in DAY_NAMES]), weekday(ts) + 1)
@@ -217,7 +241,7 @@ def cross_corr(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), ts: str
     return agg.select(*keys, (F.col("_i") - max_lag).cast("int").alias("lag"), "xcorr")
 
 
-def describe(df: DataFrame, cols: Sequence[str], method: str = "histogram") -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], method: str = "bracket") -> DataFrame:
     """count, mean, std, min, 25 %, 50 %, 75 %, max per column (long format)."""
     out = None
     for c in cols:

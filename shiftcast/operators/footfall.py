@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftcast.functions.timecols import weekday
+from shiftcast.operators.diagnostics import quantiles
 
 
 def rowwise_mean_sum(df: DataFrame, cols: Sequence[str], mean_out: str = "nearby_footfall_avg",
@@ -43,12 +44,12 @@ def ratio_impute(df: DataFrame, primary: str, nearby: str, keys: Sequence[str] =
     keys = list(keys)
     live = F.col(primary).isNotNull()
     ratio = F.when(live & (F.col(nearby) > 0), F.col(primary).cast("double") / F.col(nearby))
-    stats = df.groupBy(*keys, *([] if keys else [F.lit(0).alias("_all")])).agg(
-        F.count_if(live).alias("_n_live"), F.median(ratio).alias("_scale"))
-    if keys:
-        j = df.join(stats, keys, "left")
-    else:
-        j = df.withColumn("_all", F.lit(0)).join(F.broadcast(stats), "_all", "left").drop("_all")
+    by = keys or ["_all"]
+    all_rows = df if keys else df.withColumn("_all", F.lit(0))
+    stats = all_rows.groupBy(*by).agg(F.count_if(live).alias("_n_live")).join(
+        quantiles(all_rows.select(*by, ratio.alias("_r")), "_r", (0.5,), by, names=["_scale"]), by, "left")
+    j = all_rows.join(stats if keys else F.broadcast(stats), by, "left")  # unkeyed: one row
+    j = j if keys else j.drop("_all")
     filled = F.when(F.col("_n_live") > min_live,
                     F.coalesce(F.col(primary).cast("double"), F.bround(F.col(nearby) * F.col("_scale"), 0))
                     ).otherwise(F.col(nearby))

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from shiftcast.operators import diagnostics as D
 from shiftcast.operators import features as FT
 from shiftcast.operators import forecast as FC
+from shiftcast.operators.enrich import MAX_DAYS, merge_daily_replace
+from shiftcast.plans.enrich_queries import enrichment_table
 from shiftcast.plans.feature_queries import _feature_table_sql, p3_feature_table
 from shiftcast.plans.segment_queries import _case
 from shiftcast.plans import sqlstandins as SQ
 from shiftcast.plans.sqlpanels import P1, P1K, with_panels
 from shiftcast.registry import register
 from shiftcast.sources import standins as ST
-from shiftcast.sources.tables import panel_p1
+from shiftcast.sources.tables import panel_p1, panel_p3
 
 TS = "timestamp_hour"
 K = ["event_type"]
@@ -75,7 +77,9 @@ SELECT orders_count, CASE WHEN st_patricks_week_flag = 1 THEN 'St. Patrick''s We
                           WHEN aviva_event_flag = 1 THEN 'Aviva Event' ELSE 'Normal Day' END AS anomaly_type
 FROM ({_feature_table_sql()}) ft""", "orders_count", ["anomaly_type"]))
 def q_box_stats(spark, sf):
-    ft = D.anomaly_class(p3_feature_table(spark, sf))
+    # the panel and the two flags that make the classes; the rest of the feature table isn't needed
+    flags = enrichment_table(spark, sf).select("date", "st_patricks_week_flag", "aviva_event_flag")
+    ft = D.anomaly_class(merge_daily_replace(panel_p3(spark, sf), flags, n_days=MAX_DAYS))
     return _box_out(D.box_stats(ft, "orders_count", ["anomaly_type"]), ["anomaly_type"])
 
 

@@ -310,8 +310,8 @@ SELECT timestamp_hour, round({_expected_sql()}, 6) AS expected_orders,
 FROM x"""))
 def q_what_if(spark, sf):
     x = _rule_input(spark, sf)
-    base = R.expected_demand(x).select(TS, "expected_orders")
-    alt = R.expected_demand(SV.what_if(x, WHAT_IF)).select(TS, F.col("expected_orders").alias("_w"))
-    j = base.join(alt, TS)
-    return j.select(TS, F.round("expected_orders", 6).alias("expected_orders"),
-                    F.round("_w", 6).alias("expected_orders_what_if"))
+    # both sides on the same row: no second read of the input, no self-join
+    base = R.expected_demand(x).select(*x.columns, F.col("expected_orders").alias("_base"))
+    alt = R.expected_demand(SV.what_if(base, WHAT_IF))
+    return alt.select(TS, F.round("_base", 6).alias("expected_orders"),
+                      F.round("expected_orders", 6).alias("expected_orders_what_if"))

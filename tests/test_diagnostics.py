@@ -58,7 +58,7 @@ def test_quantile_methods_agree_with_numpy(spark):
     vals = [1, 5, 5, 2, 9, 9, 9, 4, 0, 7, 3]
     df = spark.createDataFrame([("g", float(v)) for v in vals], "g string, v double")
     qs = (0.25, 0.5, 0.65, 0.88)
-    for method in ("histogram", "exact"):
+    for method in ("bracket", "exact"):
         r = D.quantiles(df, "v", qs, ["g"], method).first()
         assert np.allclose([r[f"q{int(round(q * 100))}"] for q in qs], np.percentile(vals, [25, 50, 65, 88])), method
     b = D.box_stats(df, "v", ["g"]).first()
@@ -66,6 +66,17 @@ def test_quantile_methods_agree_with_numpy(spark):
     assert b.whisker_lo == min(v for v in vals if v >= q1 - 1.5 * (q3 - q1)) and b.n_outliers == 0
 
 
+def test_bracketed_quantiles_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(D, "ACCURACY", 50)  # a coarse sketch, so that the brackets matter
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([rng.normal(size=4000), np.repeat(0.5, 900), rng.normal(1e6, 1, size=100)])
+    df = spark.createDataFrame([("g", float(v)) for v in vals] + [(None, 1.0), (None, 3.0), ("h", None)], "g string, v double").repartition(5)
+    qs = (0.0, 0.25, 0.5, 0.65, 0.97, 1.0)
+    got = {r.g: [r[f"q{int(round(q * 100))}"] for q in qs] for r in D.quantiles(df, "v", qs, ["g"]).collect()}
+    assert np.allclose(got["g"], np.percentile(vals, [100 * q for q in qs]), rtol=0, atol=1e-12)
+    assert np.allclose(got[None], [1.0, 1.5, 2.0, 2.3, 2.94, 3.0]) and set(got) == {"g", None}
+
+
 def test_describe_and_profiles(spark):
     df = _series(spark, [1, 2, 3, 4, 100])
     d = D.describe(df, ["y"]).first()

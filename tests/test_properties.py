@@ -45,7 +45,7 @@ def test_rolling_frames_equal_prefix(spark, vals):
 @settings(**SETTINGS)
 @given(st.lists(st.floats(-100, 100, allow_nan=False).map(lambda v: round(v, 1)), min_size=1, max_size=40),
        st.sampled_from([0.1, 0.25, 0.5, 0.88, 1.0]))
-def test_histogram_quantile_equals_numpy(spark, vals, q):
+def test_bracketed_quantile_equals_numpy(spark, vals, q):
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
     got = D.quantiles(df, "v", (q,), names=("q",)).first().q
     assert np.isclose(got, np.percentile(vals, q * 100))
