@@ -50,8 +50,13 @@ def test_val_split_tail(spark):
     p = _panel(spark, 300).withColumn("fold", F.lit(0))
     flagged = FC.val_split(p).filter("is_val").agg(F.min("timestamp_hour"), F.count(F.lit(1))).first()
     assert flagged[1] == 200 and flagged[0] == T0 + dt.timedelta(hours=100)
-    capped = FC.val_split(p, max_share=0.5).filter("is_val").count()
-    assert capped == 150
+    cut = FC.val_split_cut(p).filter("is_val").agg(F.min("timestamp_hour"), F.count(F.lit(1))).first()
+    assert (cut[0], cut[1]) == (flagged[0], 200)  # one row per time: the same tail
+    twice = FC.val_split_cut(p.unionByName(p)).filter("is_val").count()
+    assert twice == 200  # whole time steps
+    assert FC.unfit_folds(FC.val_split_cut(p)).count() == 0
+    short = _panel(spark, 150).withColumn("fold", F.lit(1))
+    assert [(r.fold, r.n_rows) for r in FC.unfit_folds(FC.val_split_cut(short)).collect()] == [(1, 150)]
 
 
 def test_next_day_stub_and_baseline(spark):

@@ -13,9 +13,28 @@ def test_registry_shape():
     sys.path.insert(0, ROOT)
     import __spark_entry__ as e
 
+    from shiftcast import registry
+
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 80
-    assert not any(k.startswith("op") and k[2:3].isdigit() for k in q)
+    assert set(registry.queries()) <= set(q)
+    assert not any(k.startswith("op") and k[2:3].isdigit() for k in registry.queries())
+
+
+def test_entry_without_the_training_data_subpackage():
+    code = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == "corpus_pipeline" or name == "shiftcast.llm" or name.startswith("shiftcast.llm."):
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+from shiftcast import registry
+assert set(e.queries()) == set(registry.queries()) and set(e.oracle_sql()) == set(registry.oracle_sql())
+assert not any(m.startswith("shiftcast.llm") for m in sys.modules)
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=300)
 
 
 def test_entry_runs(spark):
