@@ -271,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, max_cha
 # ---------------------------------------------------------------- scoring
 
 def _char_spans(raw: np.ndarray, begin: int, starts: np.ndarray, ends: np.ndarray) -> list[dict]:
-    """Spans of one text as character offsets; spans parted by blanks or marks only are merged."""
+    """Spans of one text, from byte to character offsets."""
     if not len(starts):
         return []
     lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
@@ -279,7 +279,7 @@ def _char_spans(raw: np.ndarray, begin: int, starts: np.ndarray, ends: np.ndarra
     return [{"start": int(x), "end": int(y)} for x, y in zip(a, b)]
 
 
-def _score_rows(model: Model, kind: pa.DataType, threshold: float = 0.5):
+def _score_rows(model: Model, threshold: float = 0.5):
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,4 +317,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField(
         "spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
-    return docs.mapInArrow(_score_rows(model, None), schema)
+    return docs.mapInArrow(_score_rows(model), schema)
