@@ -11,13 +11,14 @@ Its tokens get roles once: text below menus, headers, footers, asides, forms,
 notices, adverts, comments and the like is boilerplate (by element name and the
 words of class, id and role); in a host whose pages mark the article
 (``article``, ``main`` or a container named like one) the rest of it is content;
-elsewhere slots and repeated groups are content and texts that are the same on
-all pages of the host are template.  A page is read by aligning it with its
-host's wrapper and emitting the texts at content tokens.
+elsewhere slots and repeated groups are content and a text that every page of
+the host has, the same, is template; pages that differ in no text outside such
+parts (copies) cannot tell template from content and keep both.  A page is read
+by aligning it with its host's wrapper and emitting the texts at content tokens.
 
 Data flow: pages are folded in parallel; equal expressions of a host are one row
 after a grouped aggregate with map-side combining (a slot is constant if the
-smallest and largest hash agree), so a host with a third of all pages costs what
+smallest and largest hash agree; so are the pages of a host copies), so a host with a third of all pages costs what
 its distinct expressions cost.  These are aligned in ``SALT`` groups a host
 and the groups' wrappers then once more.  Pages meet wrappers by a join on the
 host (broadcast below a checked size).  No page is sampled.
@@ -34,6 +35,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -229,9 +231,10 @@ def infer(expressions: list[list]) -> list:
 # ---------------------------------------------------------------- roles
 
 def _leaves(nodes: list, repeated: bool = False) -> Iterator[tuple[str, object, bool]]:
-    for key, inner, const, _ in nodes:
+    """(key, const, whether some page lacks the leaf or repeats it) of each leaf."""
+    for key, inner, const, optional in nodes:
         if inner is None:
-            yield key, const, repeated
+            yield key, const, repeated or optional
         else:
             yield from _leaves(inner, True)
 
@@ -283,27 +286,27 @@ def how_marked(keys) -> str | None:
     return "word" if any(set(k.split(".")[1:]) & IN_WORDS and k[0] != "/" for k in keys) else None
 
 
-def roles(keys: list[str], constant: list[bool]) -> list[bool]:
-    """For each token whether a text there is content."""
+def roles(keys: list[str], constant: list) -> list[tuple[bool, int | None]]:
+    """For each token whether a text there is content, and the hash of the template text it must differ from."""
     follow = _Roles(how_marked(keys))
-    out = []
+    out: list[tuple[bool, int | None]] = []
     for key, same in zip(keys, constant):
         if key == TEXT:
             r = follow.role()
-            out.append(r == "in" or r == "free" and not same)
+            out.append((r != "out", same if r == "free" else None))
         else:
             follow.feed(key)
-            out.append(False)
+            out.append((False, None))
     return out
 
 
 class Wrapper:
-    def __init__(self, nodes: list, pages: int):
-        self.nodes, self.pages = nodes, pages
-        self._plans: dict[str, list[bool]] = {}
+    def __init__(self, nodes: list, varied: bool):
+        self.nodes, self.varied = nodes, varied
+        self._plans: dict[str, list[tuple[bool, int | None]]] = {}
 
-    def plan(self, keys: list) -> list[bool]:
-        """For each leaf of a page's expression whether it is content."""
+    def plan(self, keys: list) -> list[tuple[bool, int | None]]:
+        """``roles`` for each leaf of a page's expression."""
         name = json.dumps(keys)
         if name not in self._plans:
             page = _to_nodes(keys, iter([0] * sum(1 for _ in _flat(keys))))
@@ -311,14 +314,14 @@ class Wrapper:
             for nodes in (page,):
                 _number(nodes, number)
             # const of page leaves holds their number; aligning tells which wrapper leaf each one meets
-            constant = [False] * number[0]
+            constant: list = [None] * number[0]
             a, b = _absorb(page, self.nodes), self.nodes
             for op, i, j, k, m in SequenceMatcher(None, list(_shape(a)), list(_shape(b)), autojunk=False).get_opcodes():
-                if op == "equal":
+                if op == "equal" and self.varied:
                     for p, q in zip(a[i:j], b[k:m]):
-                        for (_, place, _), (_, const, again) in zip(_leaves([p]), _leaves([q])):
-                            if place is not None:
-                                constant[place] = const is not None and not again and self.pages > 1
+                        for (_, place, _), (_, const, loose) in zip(_leaves([p]), _leaves([q])):
+                            if place is not None and not loose:
+                                constant[place] = const
             self._plans[name] = roles(list(_flat(keys)), constant)
         return self._plans[name]
 
@@ -360,12 +363,13 @@ def extract(page: str | None, wrapper: Wrapper | None) -> str:
     if not stream:
         return ""
     keys, leaves = fold(stream)
-    flags = wrapper.plan(keys) if wrapper else roles(list(_flat(keys)), [False] * len(leaves))
+    plan = wrapper.plan(keys) if wrapper else roles(list(_flat(keys)), [None] * len(leaves))
     content = [False] * len(stream)
-    for flag, places in zip(flags, leaves):
-        if flag:
+    for (good, template), places in zip(plan, leaves):
+        if good:
             for i in places:
-                content[i] = True
+                text = stream[i][1]
+                content[i] = template is None or text.isspace() or _digest(" ".join(text.split())) != template
     return blocks(stream, content)
 
 
@@ -375,11 +379,13 @@ def _host() -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def _fold_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from hashlib import blake2b
+def _digest(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
+
+def _fold_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, shapes, consts = [], [], []
+        hosts, shapes, consts, bodies = [], [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             stream = tokens(page.as_py() or "")
             if not stream:
@@ -389,39 +395,46 @@ def _fold_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for places in leaves:
                 texts = {stream[i][1] for i in places}
                 one = texts.pop() if len(texts) == 1 else None
-                row.append(int.from_bytes(blake2b(" ".join(one.split()).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                           if one is not None and stream[places[0]][0] == TEXT else None)
+                row.append(_digest(" ".join(one.split())) if one is not None and stream[places[0]][0] == TEXT else None)
             hosts.append(host)
             shapes.append(json.dumps(keys))
             consts.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(shapes, pa.string()), pa.array(consts, pa.list_(pa.int64()))],
-                                         ["host", "shape", "consts"])
+            follow, body = _Roles(None), []
+            for key, places in zip(_flat(keys), leaves):
+                if key != TEXT:
+                    follow.feed(key)
+                elif follow.role() != "out":
+                    body += [" ".join(stream[i][1].split()) for i in places]
+            bodies.append(_digest("\0".join(body)))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(shapes, pa.string()), pa.array(consts, pa.list_(pa.int64())),
+                                          pa.array(bodies, pa.int64())], ["host", "shape", "consts", "body"])
 
 
 def _infer_group(t: pa.Table) -> pa.Table:
     host = t["host"][0].as_py()
-    got = [(json.loads(s), c, n) for s, c, n in zip(t["shape"].to_pylist(), t["consts"].to_pylist(), t["pages"].to_pylist())]
-    nodes = [_to_nodes(s, iter(c)) if c is not None else s for s, c, _ in got]
+    got = [(json.loads(s), c) for s, c in zip(t["shape"].to_pylist(), t["consts"].to_pylist())]
+    nodes = [_to_nodes(s, iter(c)) if c is not None else s for s, c in got]
     return pa.table({"host": pa.array([host], pa.string()), "wrapper": pa.array([json.dumps(infer(nodes))]),
-                     "pages": pa.array([sum(n for _, _, n in got)], pa.int64())})
+                     "lo": pa.array([min(t["lo"].to_pylist())], pa.int64()), "hi": pa.array([max(t["hi"].to_pylist())], pa.int64())})
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, pages): the wrapper of every host of ``pages(url, html)``, as JSON."""
+    """(host, wrapper, varied): the wrapper of every host of ``pages(url, html)``, as JSON, and whether its pages differ."""
     ship_package(pages.sparkSession)
-    folded = store(pages.select(_host().alias("host"), "html").mapInArrow(_fold_rows, "host string, shape string, consts array<long>"), "folded")
+    folded = store(pages.select(_host().alias("host"), "html").mapInArrow(_fold_rows, "host string, shape string, consts array<long>, body long"), "folded")
     key = ["host", F.xxhash64("shape").alias("s")]
     # a text is constant within a shape if its smallest and largest hash agree and no page lacks it
     flat = folded.select(*key, F.posexplode("consts").alias("slot", "c"))
     slots = (flat.groupBy("host", "s", "slot").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("c").alias("n"), F.count("*").alias("all"))
              .select("host", "s", F.struct("slot", F.when((F.col("lo") == F.col("hi")) & (F.col("n") == F.col("all")), F.col("lo")).alias("c")).alias("x"))
              .groupBy("host", "s").agg(F.array_sort(F.collect_list("x")).alias("x")))
-    shapes = folded.groupBy(*key).agg(F.min("shape").alias("shape"), F.count("*").alias("pages"))
-    one = shapes.join(slots, ["host", "s"]).select("host", F.pmod("s", F.lit(SALT)).alias("salt"), "shape", F.col("x.c").alias("consts"), "pages")
-    kind = "host string, wrapper string, pages long"
+    shapes = folded.groupBy(*key).agg(F.min("shape").alias("shape"), F.min("body").alias("lo"), F.max("body").alias("hi"))
+    one = shapes.join(slots, ["host", "s"]).select("host", F.pmod("s", F.lit(SALT)).alias("salt"), "shape", F.col("x.c").alias("consts"), "lo", "hi")
+    kind = "host string, wrapper string, lo long, hi long"
     some = one.groupBy("host", "salt").applyInArrow(lambda t: _infer_group(t), kind)
-    some = some.select("host", F.col("wrapper").alias("shape"), F.lit(None).cast("array<long>").alias("consts"), "pages")
-    return some.groupBy("host").applyInArrow(lambda t: _infer_group(t), kind)
+    some = some.select("host", F.col("wrapper").alias("shape"), F.lit(None).cast("array<long>").alias("consts"), "lo", "hi")
+    whole = some.groupBy("host").applyInArrow(lambda t: _infer_group(t), kind)
+    return whole.select("host", "wrapper", (F.col("lo") != F.col("hi")).alias("varied"))
 
 
 def _extract_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,14 +442,14 @@ def _extract_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         names = batch.schema.names
         hosts = batch.column(names.index("_host")).to_pylist()
-        kept = [c for c in names if c not in ("_host", "_wrapper", "_pages")]
+        kept = [c for c in names if c not in ("_host", "_wrapper", "_varied")]
         out = []
         for i, page in enumerate(batch.column(names.index("html"))):
             w = batch.column(names.index("_wrapper"))[i]
             if hosts[i] not in known and w.is_valid:
                 if len(known) > 1000:
                     known.clear()
-                known[hosts[i]] = Wrapper(json.loads(w.as_py()), batch.column(names.index("_pages"))[i].as_py())
+                known[hosts[i]] = Wrapper(json.loads(w.as_py()), batch.column(names.index("_varied"))[i].as_py())
             out.append(extract(page.as_py(), known.get(hosts[i])))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.string())], [*kept, "text"])
 
@@ -444,7 +457,7 @@ def _extract_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def main_text(pages: DataFrame) -> DataFrame:
     """``pages(url, html, ...)`` with ``text``, the article's blocks parted by empty lines."""
     wrappers = store(infer_wrappers(pages), "wrappers").select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper"),
-                                                              F.col("pages").alias("_pages"))
+                                                              F.col("varied").alias("_varied"))
     size = wrappers.agg(F.sum(F.length("_wrapper"))).first()[0] or 0
     kept = [f for f in pages.schema.fields if f.name != "text"]
     rows = pages.select(*[f.name for f in kept]).withColumn("_host", _host())

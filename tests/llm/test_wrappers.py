@@ -52,3 +52,25 @@ def test_long_and_broken_pages():
     assert W.extract("<article>" + "<p>x</p>" * 20000 + "</article>", None) == "\n\n".join(["x"] * 20000)
     assert W.extract("<article><script>never closed <p>x", None) == ""
     assert W.extract("<article>a < b <!-- open", None) == "a < b"
+
+
+def _texts(spark, pages):
+    rows = [(k, f"https://{host}/{k}", page) for k, (host, page) in enumerate(pages)]
+    out = W.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    return {r.page_id: r.text for r in out.collect()}
+
+
+def test_only_texts_of_all_pages_are_template(spark):
+    page = "<div><b>Our daily page</b></div><div><h1>{}</h1><p>First of {}</p>{}</div><div>Made with care</div>"
+    extra = {1: "<h2>Only here</h2>", 2: "<table><tr><td>Lone cell</td></tr></table>", 5: "<h2>Only here</h2>"}
+    odd = [("odd", page.format(f"Title {k}", k, extra.get(k, ""))) for k in range(6)]
+    copies = [("copies", "<nav><p>Menu {}</p></nav>".format(k % 2) + page.format("Title", 0, extra[1])) for k in range(4)]
+    blank = [("blank", f"<div><b>{k}</b> <i>{k + 10}</i></div><p>{k}</p>") for k in range(3)]
+    got = _texts(spark, odd + copies + blank)
+    for k in range(6):
+        own = {1: ["Only here"], 2: ["Lone cell"], 5: ["Only here"]}.get(k, [])
+        assert got[k].split("\n\n") == [f"Title {k}", f"First of {k}", *own]
+    for k in range(6, 10):  # copies tell nothing apart
+        assert got[k].split("\n\n") == ["Our daily page", "Title", "First of 0", "Only here", "Made with care"]
+    for k in range(3):
+        assert got[10 + k] == f"{k} {k + 10}\n\n{k}"
