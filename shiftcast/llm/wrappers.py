@@ -9,12 +9,13 @@ host's wrapper.
 
 Its tokens get roles once: text below menus, headers, footers, asides, forms,
 notices, adverts, comments and the like is boilerplate (by element name and the
-words of class, id and role); in a host whose pages mark the article
-(``article``, ``main`` or a container named like one) the rest of it is content;
-elsewhere slots and repeated groups are content and a text that every page of
-the host has, the same, is template; pages that differ in no text outside such
-parts (copies) cannot tell template from content and keep both.  A page is read
-by aligning it with its host's wrapper and emitting the texts at content tokens.
+words of class, id and role); on a page that marks the article (by the first of
+``article``, ``main`` and containers named like one that holds text outside such
+parts) the rest of what is marked is content; elsewhere slots and repeated groups
+are content and a text that every page of the host has, the same, is template;
+pages that differ in no text outside such parts (copies) cannot tell template from
+content and keep both.  A page is read by aligning it with its host's wrapper and
+emitting the texts at content tokens.
 
 Data flow: pages are folded in parallel; equal expressions of a host are one row
 after a grouped aggregate with map-side combining (a slot is constant if the
@@ -33,7 +34,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from hashlib import blake2b
 
@@ -60,6 +61,8 @@ OUT_WORDS = frozenset("ad ads advert adverts advertisement advertisements adslot
                       "share sharing social breadcrumb breadcrumbs pagination pager toolbar widget widgets search skip "
                       "complementary contentinfo announcement disclaimer teaser trending".split())
 IN_WORDS = frozenset("article main content post entry story".split())
+# Elements that hold no article, whatever their names.
+NOT_CONTAINERS = frozenset("html body h1 h2 h3 h4 h5 h6".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rt rp s samp small span "
                    "strike strong sub sup time tt u var wbr input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -264,8 +267,8 @@ class _Roles:
         self.stack.append((name, out, inside and not out))
 
     def _marks(self, name: str, words: set[str]) -> bool:
-        return (name == self.marked or self.marked == "main" and "main" in words and name != "body"
-                or self.marked == "word" and bool(words & IN_WORDS) and name not in ("body", "html"))
+        return (name == self.marked or name not in NOT_CONTAINERS
+                and (self.marked == "main" and "main" in words or self.marked == "word" and bool(words & IN_WORDS)))
 
     def role(self) -> str:
         if any(x[1] for x in self.stack):
@@ -275,20 +278,23 @@ class _Roles:
         return "free"
 
 
-def how_marked(keys) -> str | None:
-    """How a stream of tag keys marks its article."""
-    keys = list(keys)
-    names = {k.split(".")[0] for k in keys if not set(k.split(".")[1:]) & OUT_WORDS}
-    if "article" in names:
-        return "article"
-    if "main" in names or any("main" in k.split(".")[1:] for k in keys):
-        return "main"
-    return "word" if any(set(k.split(".")[1:]) & IN_WORDS and k[0] != "/" for k in keys) else None
+def how_marked(keys: list[str], blank: Callable[[int], bool]) -> str | None:
+    """How a stream of keys marks its article: by the first marker that holds a text that is neither boilerplate nor blank.
 
+    ``blank`` tells it of the text at a place of ``keys``."""
+    for marker in ("article", "main", "word"):
+        follow = _Roles(marker)
+        for place, key in enumerate(keys):
+            if key != TEXT:
+                follow.feed(key)
+            elif follow.role() == "in" and not blank(place):
+                return marker
+    return None
 
-def roles(keys: list[str], constant: list) -> list[tuple[bool, int | None]]:
+
+def roles(keys: list[str], constant: list, marked: str | None) -> list[tuple[bool, int | None]]:
     """For each token whether a text there is content, and the hash of the template text it must differ from."""
-    follow = _Roles(how_marked(keys))
+    follow = _Roles(marked)
     out: list[tuple[bool, int | None]] = []
     for key, same in zip(keys, constant):
         if key == TEXT:
@@ -303,11 +309,11 @@ def roles(keys: list[str], constant: list) -> list[tuple[bool, int | None]]:
 class Wrapper:
     def __init__(self, nodes: list, varied: bool):
         self.nodes, self.varied = nodes, varied
-        self._plans: dict[str, list[tuple[bool, int | None]]] = {}
+        self._plans: dict[tuple, list[tuple[bool, int | None]]] = {}
 
-    def plan(self, keys: list) -> list[tuple[bool, int | None]]:
+    def plan(self, keys: list, marked: str | None) -> list[tuple[bool, int | None]]:
         """``roles`` for each leaf of a page's expression."""
-        name = json.dumps(keys)
+        name = json.dumps(keys), marked
         if name not in self._plans:
             page = _to_nodes(keys, iter([0] * sum(1 for _ in _flat(keys))))
             number = [0]
@@ -322,7 +328,7 @@ class Wrapper:
                         for (_, place, _), (_, const, loose) in zip(_leaves([p]), _leaves([q])):
                             if place is not None and not loose:
                                 constant[place] = const
-            self._plans[name] = roles(list(_flat(keys)), constant)
+            self._plans[name] = roles(list(_flat(keys)), constant, marked)
         return self._plans[name]
 
 
@@ -363,7 +369,9 @@ def extract(page: str | None, wrapper: Wrapper | None) -> str:
     if not stream:
         return ""
     keys, leaves = fold(stream)
-    plan = wrapper.plan(keys) if wrapper else roles(list(_flat(keys)), [None] * len(leaves))
+    flat = list(_flat(keys))
+    marked = how_marked(flat, lambda leaf: all(not html.unescape(stream[i][1]).strip() for i in leaves[leaf]))
+    plan = wrapper.plan(keys, marked) if wrapper else roles(flat, [None] * len(leaves), marked)
     content = [False] * len(stream)
     for (good, template), places in zip(plan, leaves):
         if good:

@@ -74,3 +74,22 @@ def test_only_texts_of_all_pages_are_template(spark):
         assert got[k].split("\n\n") == ["Our daily page", "Title", "First of 0", "Only here", "Made with care"]
     for k in range(3):
         assert got[10 + k] == f"{k} {k + 10}\n\n{k}"
+
+
+def test_marker_is_a_container_that_holds_text():
+    body = "<h1>Title</h1><p>One</p><p>Two</p>"
+    cards = "<article><h2>Card</h2><p>Teaser</p></article>"
+    pages = [f"<nav class='main-nav'><p>Menu</p></nav><div class=content>{body}</div>",
+             f"<nav class='main-nav'><p>Menu</p></nav>{body}",
+             f"<header id='main-header'><p>Logo</p></header><div class=content>{body}</div>",
+             f"<header id='main-header'><p>Logo</p></header><div>{body}</div>",
+             f"<main>{body}</main><aside>{cards}</aside>",
+             f"<aside>{cards}</aside><div id=content>{body}</div>",
+             f"<div id=content>{body}</div><section class=related>{cards}</section>",
+             f"<main>{body}</main><section class=comments>{cards}</section>",
+             f"<div>{body}</div><aside><main>Not here</main>{cards}</aside>",
+             f"<article><a href=x></a> <a href=y></a>&nbsp;</article><main>{body}</main>",
+             "<div><h1 class='entry-title'>Title</h1><div><p>One</p><p>Two</p></div></div>"]
+    assert [W.extract(p, None) for p in pages] == ["Title\n\nOne\n\nTwo"] * len(pages)
+    marked = f"<div>Around</div><article class=post>{body}</article>"
+    assert W.extract(marked, None) == "Title\n\nOne\n\nTwo"
