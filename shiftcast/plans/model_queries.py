@@ -91,7 +91,7 @@ def q_feature_importance(spark, sf):
 @register("param_search")
 def q_param_search(spark, sf):
     ft = p1_model_table(spark, sf, drop_na=False)
-    return M.param_search(ft, _features(ft), TARGET, n_trials=2, seed=1, early_stopping=BOOST["early_stopping"])
+    return M.param_search(ft, _features(ft), TARGET)
 
 
 @register("segment_mae")

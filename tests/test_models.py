@@ -1,4 +1,5 @@
 import datetime as dt
+import inspect
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -76,6 +77,21 @@ def test_param_search_guards_and_seed(spark):
     assert M.sample_params(3, seed=1) == M.sample_params(3, seed=1)
 
 
+def test_registered_search_has_the_defaults(monkeypatch):
+    from types import SimpleNamespace
+
+    from shiftcast.plans import model_queries as Q
+
+    seen = {}
+    search = inspect.signature(M.param_search)
+    monkeypatch.setattr(Q, "p1_model_table", lambda *a, **k: SimpleNamespace(columns=[]))
+    monkeypatch.setattr(M, "param_search", lambda *a, **k: seen.update(search.bind(*a, **k).arguments))
+    Q.q_param_search(None, None)
+    default = {k: p.default for k, p in search.parameters.items() if p.default is not p.empty}
+    assert {k: seen.get(k, v) for k, v in default.items()} == default
+    assert (default["n_trials"], default["seed"], default["early_stopping"]) == (50, 42, 50)
+
+
 def test_final_models_persist_and_reload(spark, tmp_dir):
     from pyspark.ml import PipelineModel
 
