@@ -20,10 +20,6 @@ from shiftcast.sources.tables import panel_p1, panel_p2
 TS = "timestamp_hour"
 TARGET = "orders_count"
 SEGMENT = ["c_mktsegment"]
-# Hyper-parameters of the asymmetric booster in the registered queries: larger
-# steps and a shorter patience than the defaults.  Rounds are not bounded below
-# the default of 800; the validation tail ends the loop.
-BOOST = dict(learning_rate=0.3, early_stopping=5)
 
 
 def p1_model_table(spark, sf, drop_na: bool = True):
@@ -59,7 +55,7 @@ def q_gbt_forecast(spark, sf):
 @register("asym_boost")
 def q_asym_boost(spark, sf):
     ft = p2_model_table(spark, sf)
-    preds = model_fold_predictions(ft, TARGET, _features(ft), SEGMENT, asymmetric=True, boost=BOOST)
+    preds = model_fold_predictions(ft, TARGET, _features(ft), SEGMENT, asymmetric=True)
     return FC.asymmetric_loss(preds, TARGET, group=["fold"]).join(
         FC.forecast_metrics(preds, TARGET, group=["fold"]), "fold")
 
@@ -73,7 +69,7 @@ def q_segment_routed_forecast(spark, sf):
     train = FC.fold_rows(ft, cut, "train")
     test = FC.fold_rows(ft, cut, "test")
     flagged = cut_lineage(_tail(train))
-    seg = M.fit_segment_models(flagged, feats, TARGET, min_rows=80, asymmetric=True, val_col="is_val", **BOOST)
+    seg = M.fit_segment_models(flagged, feats, TARGET, min_rows=80, asymmetric=True, val_col="is_val")
     glob = M.fit_gbt(flagged, feats, TARGET, val_col="is_val")
     return M.predict_routed(test, seg, glob, feats).select(TS, F.col(TARGET).alias("y"), "pred", "model_used")
 
@@ -99,27 +95,25 @@ def q_segment_mae(spark, sf):
     ft = p1_model_table(spark, sf, drop_na=False)
     feats = _features(ft)
     flagged = cut_lineage(_tail(ft))
-    seg = M.fit_segment_models(flagged, feats, TARGET, min_rows=80, asymmetric=True, val_col="is_val", **BOOST)
+    seg = M.fit_segment_models(flagged, feats, TARGET, min_rows=80, asymmetric=True, val_col="is_val")
     glob = M.fit_gbt(flagged, feats, TARGET, val_col="is_val")
     return M.segment_mae(ft, seg, glob, feats, TARGET)
 
 
 @register("ablation")
 def q_ablation(spark, sf):
-    # seven feature groups: four folds each instead of eight
-    folds = dict(n_splits=4)
     ft = p2_model_table(spark, sf)
     lagged = FT.clock_lags(ft.drop(f"{TARGET}_lag_168h"), TARGET, (168,), SEGMENT)
-    base = FC.baseline_backtest(lagged, TARGET, keys=SEGMENT, lag_col=f"{TARGET}_lag_168h", **folds)
-    b = fold_summary(ft, base, TARGET, SEGMENT, **folds).agg(F.avg("mae").alias("MAE"),
-                                                   F.avg("shift_accuracy").alias("Shift Accuracy"))
+    base = FC.baseline_backtest(lagged, TARGET, keys=SEGMENT, lag_col=f"{TARGET}_lag_168h")
+    b = fold_summary(ft, base, TARGET, SEGMENT).agg(F.avg("mae").alias("MAE"),
+                                                    F.avg("shift_accuracy").alias("Shift Accuracy"))
     rows = [b.select(F.lit("A0: Baseline (Last Week)").alias("Run"), F.lit(0).alias("Features"), "MAE",
                      "Shift Accuracy")]
     for name, cols in AV.ABLATION_GROUPS.items():
         feats = AV.feature_cols(ft.columns, cols)
-        preds = model_fold_predictions(ft, TARGET, feats, SEGMENT, **folds)
-        s = fold_summary(ft, preds, TARGET, SEGMENT, **folds).agg(F.avg("mae").alias("MAE"),
-                                                        F.avg("shift_accuracy").alias("Shift Accuracy"))
+        preds = model_fold_predictions(ft, TARGET, feats, SEGMENT)
+        s = fold_summary(ft, preds, TARGET, SEGMENT).agg(F.avg("mae").alias("MAE"),
+                                                         F.avg("shift_accuracy").alias("Shift Accuracy"))
         rows.append(s.select(F.lit(name).alias("Run"), F.lit(len(feats)).alias("Features"), "MAE", "Shift Accuracy"))
     out = rows[0]
     for r in rows[1:]:

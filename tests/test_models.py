@@ -92,6 +92,18 @@ def test_registered_search_has_the_defaults(monkeypatch):
     assert (default["n_trials"], default["seed"], default["early_stopping"]) == (50, 42, 50)
 
 
+def test_registered_boosters_and_folds_have_the_defaults():
+    from shiftcast.plans import model_queries as Q
+
+    for f in (Q.q_asym_boost, Q.q_segment_routed_forecast, Q.q_segment_mae, Q.q_ablation):
+        code = inspect.getsource(f)
+        assert "asymmetric=True" in code or f is Q.q_ablation
+        assert not any(x in code for x in ("BOOST", "boost=", "rounds", "early_stopping", "learning_rate"))
+    assert "n_splits" not in inspect.getsource(Q.q_ablation) and "**" not in inspect.getsource(Q.q_ablation)
+    boost = inspect.signature(M.fit_asym_boost).parameters
+    assert [boost[k].default for k in ("rounds", "learning_rate", "early_stopping")] == [800, 0.05, 50]
+
+
 def test_final_models_persist_and_reload(spark, tmp_dir):
     from pyspark.ml import PipelineModel
 
