@@ -7,8 +7,10 @@ predecessor kept.  All but the last return the columns of ``documents``.
 2. line_dedup: later occurrences of repeated three-line windows are cut out;
    ``n_chars`` follows the text.  No document goes, emptied ones included.
 3. ngram_jaccard: of each component of near copies the smallest doc_id stays, and
-   one row of a repeated doc_id.  Documents without words or doc_id stay.
-4. decontamination: documents that hold a benchmark item go.
+   one row of those with the same doc_id and text; different texts of one doc_id are
+   documents of their own.  Documents without words or doc_id stay.
+4. decontamination: documents that hold a benchmark item go, those without doc_id
+   too; another text of the same doc_id stays.
 5. packing: the pieces of what is left, in sequences of at most 2048 tokens.
 
 Null texts pass every stage (packing: a single end token); extra columns are
@@ -42,17 +44,31 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    known = docs.where("doc_id is not null")
+    ids = known.select("doc_id")
+    if ids.distinct().count() == ids.count():
+        return keep_ids(docs, _copies(docs), "doc_id", "left_anti").select(*docs.columns)
+    # a key of its own for each doc_id and text, in the order of doc_id
+    by = ["doc_id", "text_1", "text_2"]
+    rows = known.select("doc_id", F.xxhash64("text").alias("text_1"), F.xxhash64(F.lit(1), "text").alias("text_2"),
+                        F.struct(*docs.columns).alias("row")).dropDuplicates(by)
+    keyed = store(rows.orderBy(*by).select(F.monotonically_increasing_id().alias("key"), "row"), "keyed")
+    copies = _copies(keyed.select(F.col("key").alias("doc_id"), "row.text")).withColumnRenamed("doc_id", "key")
+    return keep_ids(keyed, copies, "key", "left_anti").select("row.*").unionByName(docs.where("doc_id is null"))
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """doc_id of every document that is a near copy of one with a smaller doc_id in its component."""
     found = store(jaccard.similarity_components(docs), "components")
-    copies = store(found.where("doc_id <> component_id").select("doc_id"), "copies")
-    out = keep_ids(docs, copies, "doc_id", "left_anti").select(*docs.columns)
-    if docs.select(F.count("doc_id")).first()[0] > found.count():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out
+    return store(found.where("doc_id <> component_id").select("doc_id"), "copies")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return keep_ids(docs, store(found.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    # by doc_id and text: a doc_id may be null or have several texts
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string"))
+    rows = docs.select(key.alias("doc_id"), "text", F.struct(*docs.columns).alias("row"))
+    found = decontaminate.leaks(rows.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return keep_ids(rows, store(found.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,26 @@ def test_run_equals_its_stages(spark, corpus):
     assert [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard", "decontamination", "packing"]
     ids = {r.doc_id for r in rows.collect()}
     assert 700 in ids and 600 not in ids and not ids & corpus[2]
+
+
+def test_odd_ids_lose_no_text_and_keep_no_leak(spark, tmp_dir):
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    item, base = say(14) + ". " + say(5) + ".", say(120)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_dir}/benchmark.parquet")
+    one, two, bare = say(60), say(60), say(40)
+    near = base.split()
+    near[7] = "changed"
+    rows = [(1, one), (1, two), (1, one), (2, two), (3, base), (3, " ".join(near)), (4, None), (4, say(30)), (None, bare), (None, bare),
+            (5, one[:200] + " " + item), (5, say(50)), (None, say(30) + " " + item + " " + say(20))]
+    docs = spark.createDataFrame([(i, t, "kept") for i, t in rows], "doc_id long, text string, row string").repartition(3)
+    kept = P.drop_near_copies(spark, docs, tmp_dir)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    left = [x for k, x in enumerate(rows) if k not in (2, 3, 4, 5)]
+    three = [x for x in got if x[0] == 3]
+    assert len(three) == 1 and three[0] in rows
+    assert [x for x in got if x[0] != 3] == sorted(left, key=str)
+    out = P.drop_leaks(spark, docs, tmp_dir)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted((x for k, x in enumerate(rows) if k not in (10, 12)), key=str)
