@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftcast.session import ensure_checkpoint_dir
@@ -61,6 +61,31 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     return df.join(ids, key, how)
 
 
+#: Rows that one part of a distributed running sum aims at.
+PART_ROWS = 100_000
+
+
+def running_sum(df: DataFrame, group: list[str], order: list, value, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows before it in its ``group`` by ``order``.
+
+    Rows are range-partitioned by group and order, so a large group takes many
+    parts; each part is summed on its own and begins where the parts before it end
+    (one row for each part and group).  ``df`` should be stored, its group columns
+    without nulls and the order total, or rows that tie alike.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART_ROWS))
+    # the part is written with the row, so it no longer depends on how rows are read
+    parts = store(df.withColumn("_value", value).repartitionByRange(n, *group, *order).withColumn("_part", F.spark_partition_id()), "parts")
+    before = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("_part", *group).agg(F.sum("_value").alias("_all"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = totals.select("_part", *group, F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_start"))
+    rows = parts.withColumn("_before", F.coalesce(F.sum("_value").over(before), F.lit(0)))
+    return (rows.join(start, ["_part", *group]).withColumn(name, F.col("_start") + F.col("_before"))
+            .select(*df.columns, name))
+
+
 # ---------------------------------------------------------------- text as bytes
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

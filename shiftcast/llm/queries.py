@@ -140,6 +140,38 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@_query
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources by weight takes of every document."""
+    from shiftcast.llm.mixing import plan_mix
+
+    return plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+ORACLE["op13_mixing"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, md5(concat('42/', coalesce(CAST(doc_id AS VARCHAR), 'null'), '/', coalesce(text, ''))) AS key,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents),
+s AS (
+  SELECT source, sum(size) AS words, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
+r(i, rest, open) AS (
+  SELECT 0, (SELECT sum(words) FROM s), (SELECT sum(weight) FROM s)
+  UNION ALL
+  SELECT i + 1, (SELECT sum(words) FROM s) - coalesce((SELECT sum(3 * words) FROM s WHERE 3 * words * r.open < r.rest * weight), 0),
+         (SELECT sum(weight) FROM s WHERE 3 * words * r.open >= r.rest * weight) FROM r WHERE i < 50),
+f AS (SELECT rest, open FROM r WHERE i = 50),
+t AS (
+  SELECT s.source, words, CASE WHEN 3 * words * open < rest * weight THEN CAST(3 * words AS DOUBLE)
+                               ELSE CAST(rest * weight AS DOUBLE) / open END AS target,
+         CASE WHEN 3 * words * open < rest * weight THEN 3 * words ELSE (rest * weight) // open END AS budget FROM s, f),
+o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key ROWS UNBOUNDED PRECEDING) - size AS before FROM d)
+SELECT doc_id, size, CAST(words AS BIGINT) AS source_size, target,
+       CAST(CASE WHEN words = 0 THEN 0 ELSE (budget // words) * size
+                 + greatest(0, least(size, budget - (budget // words) * words - before)) END AS BIGINT) AS taken, o.source
+FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+"""
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
