@@ -140,6 +140,75 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@_query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First negatives of every fiftieth vector and each of its first positives."""
+    from shiftcast.llm.negatives import mine
+
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+         CAST(list_sum([z[1] * z[2] FOR z IN list_zip(a.q, b.q)]) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND len(a.q) = len(b.q) AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT * FROM (SELECT anchor_id, other AS positive_id, score AS positive_score,
+                        row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS k FROM s WHERE same) WHERE k <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+              AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score) WHERE rank <= 3
+"""
+
+
+@_query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best phrases of two to four words of each language."""
+    from shiftcast.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_collocations"] = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents),
+place AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM piece),
+f AS (
+  SELECT lang, m, w[i : i + m - 1] AS p, count(*) AS f
+  FROM place, (VALUES (1), (2), (3), (4)) AS s(m) WHERE i + m - 1 <= len(w) GROUP BY 1, 2, 3),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND f >= 30),
+cut AS (
+  SELECT c.lang, c.p, c.m, c.f AS a, k, l.f AS l, r.f AS r, (2000000 * CAST(c.f AS HUGEINT)) // (l.f + r.f) AS score
+  FROM c, (VALUES (1), (2), (3)) AS s(k)
+  JOIN f AS l ON l.lang = c.lang AND l.m = k AND l.p = c.p[1 : k]
+  JOIN f AS r ON r.lang = c.lang AND r.m = c.m - k AND r.p = c.p[k + 1 : c.m] WHERE k < c.m),
+worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS x FROM cut) WHERE x = 1),
+sub AS (
+  SELECT DISTINCT lang, p[i : i + z - 1] AS p, f FROM (
+    SELECT lang, p, m, f, unnest(range(1, m + 1)) AS i FROM c), (VALUES (2), (3)) AS s(z) WHERE z < m AND i + z - 1 <= m),
+most AS (SELECT lang, p, max(f) AS f FROM sub GROUP BY 1, 2),
+kept AS (SELECT w.* FROM worst w LEFT JOIN most ON most.lang = w.lang AND most.p = w.p WHERE most.f IS NULL OR 100 * most.f < 80 * w.a),
+best AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept)
+SELECT best.lang, rank, phrase, a, l, r, n, score FROM best JOIN n ON n.lang = best.lang WHERE rank <= 2000
+"""
+
+
 @_query
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources by weight takes of every document."""
@@ -151,7 +220,8 @@ def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op13_mixing"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, md5(concat('42/', coalesce(CAST(doc_id AS VARCHAR), 'null'), '/', coalesce(text, ''))) AS key,
-         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents),
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size FROM documents),
 s AS (
   SELECT source, sum(size) AS words, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
 r(i, rest, open) AS (
