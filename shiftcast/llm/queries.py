@@ -182,29 +182,37 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op12_collocations"] = r"""
 WITH piece AS (
-  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
-place AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM piece),
-f AS (
-  SELECT lang, m, w[i : i + m - 1] AS p, count(*) AS f
-  FROM place, (VALUES (1), (2), (3), (4)) AS s(m) WHERE i + m - 1 <= len(w) GROUP BY 1, 2, 3),
+numbered AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+word AS (SELECT lang, id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM numbered),
+four AS (
+  SELECT lang, w AS a, lead(w, 1) OVER x AS b, lead(w, 2) OVER x AS c, lead(w, 3) OVER x AS d
+  FROM word WINDOW x AS (PARTITION BY id ORDER BY i)),
+f AS MATERIALIZED (
+  SELECT lang, 1 AS m, a AS p, count(*) AS f FROM four GROUP BY lang, p
+  UNION ALL SELECT lang, 2, a || ' ' || b AS p, count(*) FROM four WHERE b IS NOT NULL GROUP BY lang, p
+  UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c AS p, count(*) FROM four WHERE c IS NOT NULL GROUP BY lang, p
+  UNION ALL SELECT lang, 4, a || ' ' || b || ' ' || c || ' ' || d AS p, count(*) FROM four WHERE d IS NOT NULL GROUP BY lang, p),
 n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
-c AS (SELECT * FROM f WHERE m > 1 AND f >= 30),
+c AS MATERIALIZED (SELECT lang, m, p, f, string_split(p, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+k AS (
+  SELECT lang, p, m, f, k, array_to_string(w[1 : k], ' ') AS lp, array_to_string(w[k + 1 : m], ' ') AS rp
+  FROM c CROSS JOIN (VALUES (1), (2), (3)) AS s(k) WHERE k < m),
 cut AS (
-  SELECT c.lang, c.p, c.m, c.f AS a, k, l.f AS l, r.f AS r, (2000000 * CAST(c.f AS HUGEINT)) // (l.f + r.f) AS score
-  FROM c, (VALUES (1), (2), (3)) AS s(k)
-  JOIN f AS l ON l.lang = c.lang AND l.m = k AND l.p = c.p[1 : k]
-  JOIN f AS r ON r.lang = c.lang AND r.m = c.m - k AND r.p = c.p[k + 1 : c.m] WHERE k < c.m),
+  SELECT k.lang, k.p, k.f AS a, k.k, l.f AS l, r.f AS r, (2000000 * CAST(k.f AS HUGEINT)) // (l.f + r.f) AS score
+  FROM k JOIN (SELECT lang || '/' || p AS key, f FROM f) AS l ON l.key = k.lang || '/' || k.lp
+         JOIN (SELECT lang || '/' || p AS key, f FROM f) AS r ON r.key = k.lang || '/' || k.rp),
 worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS x FROM cut) WHERE x = 1),
 sub AS (
-  SELECT DISTINCT lang, p[i : i + z - 1] AS p, f FROM (
-    SELECT lang, p, m, f, unnest(range(1, m + 1)) AS i FROM c), (VALUES (2), (3)) AS s(z) WHERE z < m AND i + z - 1 <= m),
+  SELECT lang, array_to_string(w[i : i + z - 1], ' ') AS p, f FROM (
+    SELECT lang, w, f, z, unnest(range(1, m - z + 2)) AS i FROM c CROSS JOIN (VALUES (2), (3)) AS s(z) WHERE z < m)),
 most AS (SELECT lang, p, max(f) AS f FROM sub GROUP BY 1, 2),
 kept AS (SELECT w.* FROM worst w LEFT JOIN most ON most.lang = w.lang AND most.p = w.p WHERE most.f IS NULL OR 100 * most.f < 80 * w.a),
 best AS (
-  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score,
-         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept)
+  SELECT lang, p AS phrase, a, l, r, CAST(score AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM kept)
 SELECT best.lang, rank, phrase, a, l, r, n, score FROM best JOIN n ON n.lang = best.lang WHERE rank <= 2000
 """
 
