@@ -11,7 +11,8 @@ Its tokens get roles once: text below menus, headers, footers, asides, forms,
 notices, adverts, comments and the like is boilerplate (by element name and the
 words of class, id and role); on a page that marks the article (by the first of
 ``article``, ``main`` and containers named like one that holds text outside such
-parts) the rest of what is marked is content; elsewhere slots and repeated groups
+parts; where all of an ``article`` or ``main`` lies in parts that are only named like such,
+these names don't count) the rest of what is marked is content; elsewhere slots and repeated groups
 are content and a text that every page of the host has, the same, is template;
 pages that differ in no text outside such parts (copies) cannot tell template from
 content and keep both.  A page is read by aligning it with its host's wrapper and
@@ -20,8 +21,9 @@ emitting the texts at content tokens.
 Data flow: pages are folded in parallel; equal expressions of a host are one row
 after a grouped aggregate with map-side combining (a slot is constant if the
 smallest and largest hash agree; so are the pages of a host copies), so a host with a third of all pages costs what
-its distinct expressions cost.  These are aligned in ``SALT`` groups a host
-and the groups' wrappers then once more.  Pages meet wrappers by a join on the
+its distinct expressions cost.  These are aligned ``GROUP`` at a time, longest first,
+and the groups' wrappers again in the same way until a host has one, so no task holds
+more than that many.  Pages meet wrappers by a join on the
 host (broadcast below a checked size).  No page is sampled.
 
 Defined results: null or empty html and pages without content give an empty
@@ -34,6 +36,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from hashlib import blake2b
@@ -43,9 +46,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftcast.llm.common import ship_package, store
+from shiftcast.llm.common import running_sum, ship_package, store
 
-SALT = 16
+#: Expressions of a host that one task aligns.
+GROUP = 16
 #: Longest repeated unit, in tokens.
 UNIT = 16
 #: Wrappers that may be broadcast together, in characters.
@@ -68,50 +72,88 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "title", "xmp", "noembed")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"
-                    r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# possessive: a tag that never closes is given up after one look at the rest of the page
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_MARK = re.compile("[>\"']")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _WORD = re.compile(r"[a-z]+")
 TEXT = "#"
 
 
+def _tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """Places of >, " and ' in the page, and for each where a tag ends that meets it outside of quotes (-1: nowhere).
+
+    One pass from the back, so the tags of a page together cost its length, whatever is left open."""
+    marks = [m.start() for m in _MARK.finditer(page)]
+    ends = [-1] * (len(marks) + 1)
+    later = {'"': -1, "'": -1}
+    for i in range(len(marks) - 1, -1, -1):
+        c = page[marks[i]]
+        if c == ">":
+            ends[i] = marks[i]
+        else:
+            ends[i] = ends[later[c] + 1] if later[c] >= 0 else -1
+            later[c] = i
+    return marks, ends
+
+
+def _kind(attributes: str) -> list[str]:
+    """Words of class, id and role that tell what a part is."""
+    return sorted({w for x in _NAMES.findall(attributes) for w in _WORD.findall("".join(x).lower()) if w in OUT_WORDS or w in IN_WORDS})
+
+
 def tokens(page: str) -> list[tuple[str, str]]:
     """(key, text): key is "#" for text, "name" or "name.word..." for a start tag, "/name" for an end tag."""
     out: list[tuple[str, str]] = []
+    pieces: list[str] = []
     at, n = 0, len(page)
+    ends: tuple[list[int], list[int]] | None = None  # once a tag is left open
 
-    def text(s: str) -> None:
-        if out and out[-1][0] == TEXT:
-            out[-1] = (TEXT, out[-1][1] + s)
-        elif s and not s.isspace():
-            out.append((TEXT, s))
-        elif s and out and out[-1][0].lstrip("/").split(".")[0] in INLINE:
-            out.append((TEXT, s))  # a blank between inline elements parts words
+    def flush() -> None:
+        text = "".join(pieces)
+        pieces.clear()
+        # a blank between inline elements parts words
+        if text and (not text.isspace() or (out and out[-1][0].lstrip("/").split(".")[0] in INLINE)):
+            out.append((TEXT, text))
 
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
+        lt = page.find("<", at)
+        if lt < 0:
+            pieces.append(page[at:])
             break
-        text(page[at:m.start()])
-        at = m.end()
-        if not m[2]:
+        pieces.append(page[at:lt])
+        m = _TAG.match(page, lt) if ends is None else None
+        if m:
+            close, name, attributes, at = m[1], m[2].lower(), m[3], m.end()
+        elif page.startswith(("<!", "<?"), lt):
+            stop = "-->" if page.startswith("<!--", lt) else "]]>" if page.startswith("<![CDATA[", lt) else ">"
+            end = page.find(stop, lt + {"-->": 4, "]]>": 9, ">": 2}[stop])
+            at = end + len(stop) if end >= 0 else n
             continue
-        name = m[2].lower()
-        if m[1]:
+        else:
+            m = _OPEN.match(page, lt)
+            end = -1
+            if m:
+                ends = ends or _tag_ends(page)
+                end = ends[1][bisect_left(ends[0], m.end())]
+            if end < 0:  # a lone bracket
+                pieces.append("<")
+                at = lt + 1
+                continue
+            close, name, attributes, at = m[1], m[2].lower(), page[m.end():end], end + 1
+        flush()
+        if close:
             out.append(("/" + name, ""))
             continue
-        key = name
-        if m[3] and "=" in m[3]:
-            words = {w for x in _NAMES.findall(m[3]) for w in _WORD.findall("".join(x).lower()) if w in OUT_WORDS or w in IN_WORDS}
-            if words:
-                key = ".".join([name, *sorted(words)])
-        out.append((key, ""))
-        if name in _RAW_END and not m[3].endswith("/"):
-            end = _RAW_END[name].search(page, at)
-            at = end.end() if end else n  # what stands in it is not markup
+        words = _kind(attributes) if "=" in attributes else []
+        out.append((".".join([name, *words]), ""))
+        if name in _RAW_END and not attributes.endswith("/"):
+            stop = _RAW_END[name].search(page, at)
+            at = stop.end() if stop else n  # what stands in it is not markup
             out.append(("/" + name, ""))
+    flush()
     return out
 
 
@@ -144,8 +186,8 @@ def fold(stream: list[tuple[str, str]]) -> tuple[list[tuple], list]:
                     del keys[n - size:], leaves[n - size:]
                     again = True
                     break
-                # the unit follows itself, and holds a text and begins with a tag
-                if n >= 2 * size and keys[n - size] != TEXT and keys[n - size:] == keys[n - 2 * size:n - size] \
+                # the unit follows itself, holds a text and begins with a start tag
+                if n >= 2 * size and keys[n - size] != TEXT and keys[n - size][0] != "/" and keys[n - size:] == keys[n - 2 * size:n - size] \
                         and size > 1 and TEXT in _flat(keys[n - size:]):
                     first = [leaf for x in leaves[n - 2 * size:n - size] for leaf in x]
                     for a, b in zip(first, [leaf for x in leaves[n - size:] for leaf in x]):
@@ -243,28 +285,56 @@ def _leaves(nodes: list, repeated: bool = False) -> Iterator[tuple[str, object,
 
 
 class _Roles:
-    """Follows open elements over a stream of tag keys and says what a text there is."""
+    """Follows open elements over a stream of tag keys and says what a text there is.
+
+    ``marked``: how the article is marked, "article", "main", "word" or not at all (None);
+    with a "~" the names of parts inside the marked one are not heeded, only their elements."""
 
     def __init__(self, marked: str | None):
         self.stack: list[tuple[str, bool, bool]] = []
-        self.marked = marked  # how the article is marked: "article", "main", "word" or not at all
+        self.loose = 0  # open paragraphs and inline elements that are followed
+        self.heedless = bool(marked) and marked.endswith("~")
+        self.marked = marked.rstrip("~") if marked else None
+
+    def _drop(self, i: int) -> None:
+        self.loose -= sum(x[0] == "p" or x[0] in INLINE for x in self.stack[i:])
+        del self.stack[i:]
 
     def feed(self, key: str) -> None:
-        name = key.split(".")[0]
         if key[0] == "/":
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == name[1:]:
-                    del self.stack[i:]
-                    break
+            if self.stack:
+                for i in range(len(self.stack) - 1, -1, -1):
+                    if self.stack[i][0] == key[1:]:
+                        self._drop(i)
+                        break
             return
-        if name in VOID or name == "p" or name in INLINE:
+        name, *words = key.split(".")
+        if name in VOID:
             return
-        words = set(key.split(".")[1:])
-        inside = self._marks(name, words)
-        out = name in OUT_TAGS or bool(words & OUT_WORDS)
+        loose = name == "p" or name in INLINE
+        if loose and not words and not self.loose:
+            return
+        if self.loose and name not in INLINE:  # a block closes an open paragraph
+            i = len(self.stack)
+            while i and (self.stack[i - 1][0] == "p" or self.stack[i - 1][0] in INLINE):
+                i -= 1
+            first = next((k for k in range(i, len(self.stack)) if self.stack[k][0] == "p"), None)
+            if first is not None:
+                self._drop(first)
+        kinds = set(words)
+        # an article that is called a post is one, whatever else it is called
+        named = bool(kinds & OUT_WORDS) and not (name in ("article", "main") and kinds & IN_WORDS)
+        if self.heedless and any(x[2] for x in self.stack):
+            named = False
+        if loose:
+            if named or self.loose:
+                self.stack.append((name, named, False))
+                self.loose += 1
+            return
+        out = name in OUT_TAGS or named
         if name == "header":
             out = out or not any(x[2] for x in self.stack)
-        self.stack.append((name, out, inside and not out))
+        self.stack.append((name, out, self._marks(name, kinds) and not out))
 
     def _marks(self, name: str, words: set[str]) -> bool:
         return (name == self.marked or name not in NOT_CONTAINERS
@@ -282,7 +352,7 @@ def how_marked(keys: list[str], blank: Callable[[int], bool]) -> str | None:
     """How a stream of keys marks its article: by the first marker that holds a text that is neither boilerplate nor blank.
 
     ``blank`` tells it of the text at a place of ``keys``."""
-    for marker in ("article", "main", "word"):
+    for marker in ("article", "main", "article~", "main~", "word"):
         follow = _Roles(marker)
         for place, key in enumerate(keys):
             if key != TEXT:
@@ -437,11 +507,16 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
              .select("host", "s", F.struct("slot", F.when((F.col("lo") == F.col("hi")) & (F.col("n") == F.col("all")), F.col("lo")).alias("c")).alias("x"))
              .groupBy("host", "s").agg(F.array_sort(F.collect_list("x")).alias("x")))
     shapes = folded.groupBy(*key).agg(F.min("shape").alias("shape"), F.min("body").alias("lo"), F.max("body").alias("hi"))
-    one = shapes.join(slots, ["host", "s"]).select("host", F.pmod("s", F.lit(SALT)).alias("salt"), "shape", F.col("x.c").alias("consts"), "lo", "hi")
+    one = shapes.join(slots, ["host", "s"]).select("host", "shape", F.col("x.c").alias("consts"), "lo", "hi")
     kind = "host string, wrapper string, lo long, hi long"
-    some = one.groupBy("host", "salt").applyInArrow(lambda t: _infer_group(t), kind)
-    some = some.select("host", F.col("wrapper").alias("shape"), F.lit(None).cast("array<long>").alias("consts"), "lo", "hi")
-    whole = some.groupBy("host").applyInArrow(lambda t: _infer_group(t), kind)
+    while True:  # each round leaves a wrapper for every GROUP expressions of a host, until there is one
+        one = store(one.withColumn("length", F.length("shape")).withColumn("code", F.xxhash64("shape", "consts")), "expressions")
+        placed = running_sum(one, ["host"], [F.col("length").desc(), "code", "shape"], F.lit(1), "place")
+        groups = placed.groupBy("host", F.expr(f"place div {GROUP}").alias("g"))
+        whole = store(groups.applyInArrow(lambda t: _infer_group(t), kind), "wrappers")
+        if whole.count() == whole.select("host").distinct().count():
+            break
+        one = whole.select("host", F.col("wrapper").alias("shape"), F.lit(None).cast("array<long>").alias("consts"), "lo", "hi")
     return whole.select("host", "wrapper", (F.col("lo") != F.col("hi")).alias("varied"))
 
 

@@ -93,3 +93,51 @@ def test_marker_is_a_container_that_holds_text():
     assert [W.extract(p, None) for p in pages] == ["Title\n\nOne\n\nTwo"] * len(pages)
     marked = f"<div>Around</div><article class=post>{body}</article>"
     assert W.extract(marked, None) == "Title\n\nOne\n\nTwo"
+
+
+def test_named_parts_inside_an_article():
+    page = ("<article class='{}'><p>One</p><p class='advert'>Buy</p><p>Two <span class='ad'>Now <span>only</span> here</span>words</p>"
+            "<p class='notice'>Closed <b>today</b><p>Three<div class='comment-list'><p>No</p></div></article>")
+    for name in ("", "post search", "entry related"):
+        assert W.extract(page.format(name), None) == "One\n\nTwo words\n\nThree"
+    assert W.extract("<main><div class='story-related-topic'><p>Body</p></div></main><div>Copyright</div>", None) == "Body"
+    assert W.extract("<article class='comment'><p>Me too</p></article><div id='content'><p>Body</p></div>", None) == "Body"
+    assert W.extract("<article><p class=ad>Buy<div>Body</div></article>", None) == "Body"
+
+
+def test_time_is_linear_in_broken_pages():
+    import time
+
+    began = time.process_time()
+    for unit in ("<a ", "<", "<a x=\"", "<a 'b>", "<a \"'>", "<!--", "<script", "<p class=\"x"):
+        W.tokens(unit * (1_000_000 // len(unit)) + "<p>end</p>")
+    assert time.process_time() - began < 8
+    assert W.extract("<article>Body</article>" + "<a " * 300_000, None) == "Body"
+
+
+def test_tags_end_outside_quotes():
+    assert W.tokens("<p title='a > b' class=\"nav\">x</p>") == [("p.nav", ""), ("#", "x"), ("/p", "")]
+    assert W.tokens("a < b <i>c</i> <b>") == [("#", "a < b "), ("i", ""), ("#", "c"), ("/i", ""), ("#", " "), ("b", "")]
+    # a tag left open: from there on ends are looked up, with the same result
+    assert W.tokens("<p>x</p> <q 'open <b title=\"1 > 0\">y</b>")[:4] == [("p", ""), ("#", "x"), ("/p", ""), ("#", " <q 'open ")]
+
+
+def test_wrapper_covers_every_page_of_its_site():
+    """The inferred expression, read as a regular expression over tokens, matches each page it was inferred from."""
+    import re
+
+    def pattern(nodes):
+        out = ""
+        for key, inner, _, optional in nodes:
+            one = f"(?:{pattern(inner)})+" if inner is not None else f"(?:<{re.escape(key)}>)"
+            out += f"(?:{one})?" if optional else one
+        return out
+
+    rng = random.Random(3)
+    for kind in range(3):
+        streams = [W.tokens(_site(rng, kind, k)[0]) for k in range(12)]
+        folded = [W.fold(s) for s in streams]
+        wrapper = W.infer([W._to_nodes(keys, iter([0] * len(leaves))) for keys, leaves in folded])
+        language = re.compile(pattern(wrapper))
+        for s in streams:
+            assert language.fullmatch("".join(f"<{key}>" for key, _ in s))
