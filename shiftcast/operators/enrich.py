@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftcast.functions.timecols import col
-from shiftcast.session import join_dimension  # noqa: F401 - re-exported for plans
+from shiftcast.operators import series as SR
+from shiftcast.session import cut_lineage, join_dimension  # noqa: F401 - re-exported for plans
 
 # Port keywords that mark a cruise vessel by name.
 CRUISE_KEYWORDS = (
@@ -36,8 +37,10 @@ def severity_flag(code, threshold: int = 61) -> Column:
 
 
 def ffill_bfill(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), order: str = "timestamp_hour") -> DataFrame:
-    """Forward fill then backward fill within each key, in ``order``."""
-    base = (Window.partitionBy(*keys) if keys else Window).orderBy(order)
+    """Forward fill then backward fill within each key, in ``order``; a series without keys is filled chunk by chunk."""
+    if not keys:
+        return SR.fill(df, cols, order)
+    base = Window.partitionBy(*keys).orderBy(order)
     back = base.rowsBetween(Window.unboundedPreceding, 0)
     fwd = base.rowsBetween(0, Window.unboundedFollowing)
     return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(back),
@@ -46,7 +49,10 @@ def ffill_bfill(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), or
 
 def lag_bfill(df: DataFrame, c: str, out: str, keys: Sequence[str] = (), order: str = "date") -> DataFrame:
     """Previous row's value; leading gaps take the next available lagged value."""
-    base = (Window.partitionBy(*keys) if keys else Window).orderBy(order)
+    if not keys:
+        lagged = SR.windowed(df, lambda w: {"_lag": F.lag(c, 1).over(w)}, order, 1)
+        return SR.fill(lagged, ["_lag"], order, forward=False).withColumn(out, F.col("_lag")).drop("_lag")
+    base = Window.partitionBy(*keys).orderBy(order)
     df = df.withColumn("_lag", F.lag(c, 1).over(base))
     fwd = base.rowsBetween(0, Window.unboundedFollowing)
     return df.withColumn(out, F.first("_lag", ignorenulls=True).over(fwd)).drop("_lag")
@@ -165,6 +171,12 @@ def one_row_per(df: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.groupBy(*on).agg(F.min(F.struct(*rest)).alias("_r")).select(*on, "_r.*")
 
 
+def stored_signal(signal: DataFrame, keys: Sequence[str] = (), time: str = "date") -> DataFrame:
+    """The signal with one row per join key, written once: merges read it with ``unique=True`` and neither
+    rebuild it nor bring it to one row again."""
+    return cut_lineage(one_row_per(signal, signal_keys(signal, keys, time)))
+
+
 def signal_keys(signal: DataFrame, keys: Sequence[str], time: str) -> list[str]:
     """Join columns of a signal: its time column and those of ``keys`` it has (none: it holds for all keys)."""
     return [*[k for k in keys if k in signal.columns], time]
@@ -172,20 +184,20 @@ def signal_keys(signal: DataFrame, keys: Sequence[str], time: str) -> list[str]:
 
 def enrich_spine(spine: DataFrame, tables: Sequence[DataFrame], n_days: int | None = None,
                  zero_int: Sequence[str] = (), zero_keep: Sequence[str] = ("event_impact_score",),
-                 fill_forward: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
+                 fill_forward: Sequence[str] = (), keys: Sequence[str] = (), unique: bool = False) -> DataFrame:
     """Date spine + left joins of daily tables, then the null policy:
     ``*_flag`` and ``zero_int`` columns → 0 as int, ``zero_keep`` → 0 uncast,
     ``fill_forward`` columns forward/backward filled then 0.
 
     With ``keys`` (say, a venue) a table that has them joins on (keys, date);
     one that lacks them holds for every key.  Tables are brought to one row per
-    join key.  ``n_days`` bounds the rows of each table: within it they are
+    join key, unless the caller says they have that (``unique``).  ``n_days`` bounds the rows of each table: within it they are
     broadcast, without it the planner and AQE choose.
     """
     out = spine
     for t in tables:
         on = signal_keys(t, keys, "date")
-        out = join_dimension(out, one_row_per(t, on), on, "left", bound_rows=n_days)
+        out = join_dimension(out, t if unique else one_row_per(t, on), on, "left", bound_rows=n_days)
     if fill_forward:
         out = ffill_bfill(out, [c for c in fill_forward if c in out.columns], order="date", keys=keys)
     fills = {}
@@ -204,28 +216,29 @@ def enrich_spine(spine: DataFrame, tables: Sequence[DataFrame], n_days: int | No
 
 
 def merge_daily_replace(df: DataFrame, daily: DataFrame, ts: str = "timestamp_hour",
-                        n_days: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+                        n_days: int | None = None, keys: Sequence[str] = (), unique: bool = False) -> DataFrame:
     """Left-join a daily table on the row's date, and on those of ``keys`` that
     it has; its columns *replace* equal-named columns of ``df`` (no suffixes).
 
-    The table is brought to one row per join key.  ``n_days`` bounds its rows:
+    The table is brought to one row per join key, unless the caller says it has that (``unique``).  ``n_days`` bounds its rows:
     within it the table is broadcast, without it the planner and AQE choose.
     """
     right = daily.withColumnRenamed("date", "_date")
     on = signal_keys(right, keys, "_date")
     overlap = [c for c in right.columns if c not in on and c in df.columns]
     left = df.drop(*overlap).withColumn("_date", F.to_date(ts))
-    return join_dimension(left, one_row_per(right, on), on, "left", bound_rows=n_days).drop("_date").select(
+    return join_dimension(left, right if unique else one_row_per(right, on), on, "left", bound_rows=n_days).drop("_date").select(
         *[c for c in left.columns if c != "_date"], *[c for c in right.columns if c not in on])
 
 
 def merge_hourly(df: DataFrame, footfall: DataFrame | None = None, weather: DataFrame | None = None,
-                 ts: str = "timestamp_hour", bound_rows: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+                 ts: str = "timestamp_hour", bound_rows: int | None = None, keys: Sequence[str] = (), unique: bool = False) -> DataFrame:
     """Hourly joins: footfall columns (replacing equal names) are zero-filled;
     weather replaces overlapping columns and keeps NULLs.
 
     A signal that has some of ``keys`` joins on them and the hour, another one
-    on the hour alone; each is brought to one row per join key.  ``bound_rows``
+    on the hour alone; each is brought to one row per join key, unless the caller
+    says they have that (``unique``).  ``bound_rows``
     is the caller's proven bound on the signal tables (one row per hour or day
     of a known range); within it they are broadcast, beyond it the planner and
     AQE choose.
@@ -237,7 +250,7 @@ def merge_hourly(df: DataFrame, footfall: DataFrame | None = None, weather: Data
         on = signal_keys(signal, keys, ts)
         new = [c for c in signal.columns if c not in on]
         left = out.drop(*[c for c in new if c in out.columns])
-        out = join_dimension(left, one_row_per(signal, on), on, "left", bound_rows=bound_rows).select(*left.columns, *new)
+        out = join_dimension(left, signal if unique else one_row_per(signal, on), on, "left", bound_rows=bound_rows).select(*left.columns, *new)
         if fill:
             out = out.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in new})
     return out

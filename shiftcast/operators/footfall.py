@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftcast.functions.timecols import weekday
+from shiftcast.operators import series as SR
+from shiftcast.operators.asof import asof_quantiles
 from shiftcast.operators.diagnostics import quantiles
 
 
@@ -60,10 +62,14 @@ def ratio_impute(df: DataFrame, primary: str, nearby: str, keys: Sequence[str] =
 def row_lags_filled(df: DataFrame, c: str, lags: Sequence[int] = (1, 24, 168), keys: Sequence[str] = (),
                     ts: str = "timestamp_hour", prefix: str = "suffolk_footfall_lag_") -> DataFrame:
     """Row-based lags with NULL → 0, rounded to whole numbers."""
-    w = (Window.partitionBy(*keys) if keys else Window).orderBy(ts)
     v = F.coalesce(F.col(c), F.lit(0.0))
-    return df.withColumns({f"{prefix}{n}h": F.bround(F.coalesce(F.lag(v, n).over(w), F.lit(0.0)), 0).cast("long")
-                           for n in lags})
+
+    def columns(w):
+        return {f"{prefix}{n}h": F.bround(F.coalesce(F.lag(v, n).over(w), F.lit(0.0)), 0).cast("long") for n in lags}
+
+    if not keys:
+        return SR.windowed(df, columns, ts, max(lags))
+    return df.withColumns(columns(Window.partitionBy(*keys).orderBy(ts)))
 
 
 def rolling_mean_min(df: DataFrame, c: str, out: str = "suffolk_footfall_roll_24h", rows: int = 24,
@@ -75,14 +81,20 @@ def rolling_mean_min(df: DataFrame, c: str, out: str = "suffolk_footfall_roll_24
     integer arithmetic, so a mean that lands on a rounding tie rounds the same
     way whatever order the rows are added in.
     """
-    w = (Window.partitionBy(*keys) if keys else Window).orderBy(ts).rowsBetween(-rows, -1)
     v = F.coalesce(F.col(c), F.lit(0.0))
-    if value_digits is None:
-        mean = F.avg(v).over(w)
-    else:
-        scale = 10 ** value_digits
-        mean = F.sum(F.round(v * scale).cast("long")).over(w) / (F.count(v).over(w) * scale)
-    return df.withColumn(out, F.when(F.count(v).over(w) >= min_periods, F.bround(mean, digits)))
+
+    def columns(order):
+        w = order.rowsBetween(-rows, -1)
+        if value_digits is None:
+            mean = F.avg(v).over(w)
+        else:
+            scale = 10 ** value_digits
+            mean = F.sum(F.round(v * scale).cast("long")).over(w) / (F.count(v).over(w) * scale)
+        return {out: F.when(F.count(v).over(w) >= min_periods, F.bround(mean, digits))}
+
+    if not keys:
+        return SR.windowed(df, columns, ts, rows)
+    return df.withColumns(columns(Window.partitionBy(*keys).orderBy(ts)))
 
 
 def busy_flag(df: DataFrame, c: str, out: str = "suffolk_is_busy_flag", q: float = 0.70,
@@ -90,17 +102,14 @@ def busy_flag(df: DataFrame, c: str, out: str = "suffolk_is_busy_flag", q: float
     """1 when the value exceeds the ``q`` percentile of its hour-of-week (weekday × 24 + hour).
 
     ``asof=True`` is the leakage-safe variant: the percentile of strictly
-    earlier rows of the same hour-of-week (a growing-frame window whose
-    partitions hold one row per week), 0 when there is no earlier row.
+    earlier rows of the same hour-of-week, 0 when there is no earlier row.
     """
     keys = list(keys)
     how = (weekday(ts) * 24 + F.hour(ts)).alias("_how")
     staged = df.withColumn("_how", how)
     if asof:
-        w = (Window.partitionBy(*keys, "_how").orderBy(ts)
-             .rowsBetween(Window.unboundedPreceding, -1))
-        p = F.percentile(F.col(c).cast("double"), F.lit(q)).over(w)
-        return staged.withColumn(out, F.coalesce((F.col(c) > p).cast("int"), F.lit(0))).drop("_how")
+        found = asof_quantiles(staged, [*keys, "_how"], ts, c, (q,), "_p")
+        return found.withColumn(out, F.coalesce((F.col(c) > F.col("_p")[0]).cast("int"), F.lit(0))).drop("_how", "_p")
     p = staged.groupBy(*keys, "_how").agg(F.percentile(F.col(c).cast("double"), F.lit(q)).alias("_p"))
     # ≤ 168 rows per key: hour-of-week groups are bounded by construction
     j = staged.join(F.broadcast(p) if not keys else p, [*keys, "_how"], "left")

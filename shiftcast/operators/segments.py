@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftcast.functions.timecols import col, hour_index, weekday
+from shiftcast.operators.asof import asof_quantiles
 
 # Segment definitions (name → inclusive hour ranges), in the
 # order they are tested (first match wins), and the value for other hours.
@@ -134,10 +135,9 @@ def shift_kpis(forecast: DataFrame, history: DataFrame, orders: str, tickets: st
     """Per (keys, date, shift): Σ orders, Σ tickets, first peak hour and a label
     against percentiles of *strictly earlier* days' actual totals.
 
-    The as-of percentile is a growing-frame window over one row per day, so no
-    pair of days is ever materialised; its buffer is a value → count map, so
-    each evaluation costs O(distinct totals), which integer totals keep small.
-    History uses shift hours up to 23 h.
+    The as-of percentiles come block by block (:mod:`shiftcast.operators.asof`), so
+    a day costs the same whatever the length of its history.  History uses
+    shift hours up to 23 h.
     """
     keys = list(keys)
     kpi = F.col("shift")
@@ -154,11 +154,7 @@ def shift_kpis(forecast: DataFrame, history: DataFrame, orders: str, tickets: st
     h = h.withColumn("shift", segment("hour", "kpi_history")).filter(kpi.isNotNull())
     hd = h.groupBy(*keys, "date", "shift").agg(F.sum(actual).cast("double").alias("_hist_total"))
     days = fc.join(hd, [*keys, "date", "shift"], "full")
-    w = (Window.partitionBy(*keys, "shift").orderBy("date")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    q = F.percentile(F.col("_hist_total"), F.array(*[F.lit(x) for x in LABEL_PERCENTILES])).over(w)
-    n_prev = F.count("_hist_total").over(w)
-    days = days.withColumns({"_q": q, "_n": n_prev})
+    days = asof_quantiles(days, [*keys, "shift"], "date", "_hist_total", LABEL_PERCENTILES, "_q", "_n")
     enough = F.col("_n") > min_days
     thr = {n: F.when(enough, F.col("_q")[i]).otherwise(F.lit(d))
            for i, (n, d) in enumerate(zip(("q_quiet", "q_normal", "q_busy"), KPI_DEFAULT_THRESHOLDS))}

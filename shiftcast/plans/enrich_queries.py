@@ -114,7 +114,7 @@ def enrichment_table(spark, sf):
     tables = [ST.airport_daily(spark, sf), ST.cruise_daily(spark, sf), ST.events_daily(spark, sf)]
     return E.enrich_spine(cal, tables, zero_int=("ships_in_port_count", "cruise_passenger_estimate",
                                                  "days_from_payday"),
-                          fill_forward=("airport_arrivals", "airport_arrivals_lag1"))
+                          fill_forward=("airport_arrivals", "airport_arrivals_lag1"), unique=True)  # each is grouped by its date
 
 
 ENRICH_SQL = f"""

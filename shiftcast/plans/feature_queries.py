@@ -114,16 +114,17 @@ def p3_feature_table(spark, sf, drop_na: bool = False):
     """F7 on the keyed bench panel (supplier × ship day).  The daily series are
     sparse, so the warm-up drop would remove almost every row: it is off here
     and exercised on the hourly panel by ``warmup_drop``."""
+    from shiftcast.operators.enrich import MAX_DAYS, stored_signal
     from shiftcast.plans.enrich_queries import enrichment_table
-    from shiftcast.operators.enrich import MAX_DAYS
     from shiftcast.plans.feature_table import build_feature_table
     from shiftcast.sources import standins as ST
     from shiftcast.sources.tables import panel_p3
 
-    return build_feature_table(panel_p3(spark, sf), keys=["l_suppkey"], enrichment=enrichment_table(spark, sf),
-                               failte=ST.failte_daily(spark, sf), footfall=ST.footfall_hourly(spark, sf),
-                               weather=ST.weather_by_ts(spark, sf), drop_na=drop_na,
-                               signal_rows=MAX_DAYS, daily_rows=MAX_DAYS)  # stand-ins hold one row per ship day or calendar day
+    # signals are written first, as the refresh job does; one row per ship day or calendar day
+    return build_feature_table(panel_p3(spark, sf), keys=["l_suppkey"], enrichment=stored_signal(enrichment_table(spark, sf)),
+                               failte=stored_signal(ST.failte_daily(spark, sf)), footfall=stored_signal(ST.footfall_hourly(spark, sf), time=TS),
+                               weather=stored_signal(ST.weather_by_ts(spark, sf), time=TS), drop_na=drop_na,
+                               signal_rows=MAX_DAYS, daily_rows=MAX_DAYS, unique_signals=True)
 
 
 def _feature_table_sql() -> str:
@@ -245,3 +246,65 @@ def q_interactions(spark, sf):
     df = p3_feature_table(spark, sf)
     return df.select("l_suppkey", TS, "weekend_x_music", F.round("rain_x_weekend", 6).alias("rain_x_weekend"),
                      "event_intensity", (F.round("tourism_pressure", 6) + F.lit(0.0)).alias("tourism_pressure"))
+
+
+def hourly_feature_table(spark, sf):
+    """F7 on the hourly panel of each event type: all open hours occur, with hourly weather and footfall stand-ins."""
+    from shiftcast.plans.feature_table import build_feature_table
+    from shiftcast.sources import standins as ST
+
+    h = ST.events_hourly(spark, sf)
+    wx = h.select(TS, "temp_c", (F.col("footfall_clicks") / 2.0).alias("rain_mm"))
+    ff = h.select(TS, (F.col("footfall_views") * 300).alias("suffolk_nassau_footfall"))
+    return build_feature_table(panel_p1(spark, sf, keyed=True), keys=K, footfall=ff, weather=wx, drop_na=False, unique_signals=True)
+
+
+def _hourly_feature_sql() -> str:
+    from shiftcast.plans import sqlstandins as SQ
+    from shiftcast.plans.calendar_queries import CAL_COLUMNS_SQL
+
+    targets = ("orders_count", "food_tickets_count")
+
+    def lag(t: str, h: int) -> str:
+        return (f"max({t}) OVER (PARTITION BY event_type ORDER BY timestamp_hour "
+                f"RANGE BETWEEN INTERVAL {h} HOURS PRECEDING AND INTERVAL {h} HOURS PRECEDING)")
+
+    windows = ",\n  ".join(
+        [f"lag({t}, {n}) OVER w AS {t}_lag_{n}" for t in targets for n in (1, 2, 3)]
+        + [f"{lag(t, h)} AS {t}_lag_{h}h" for t in targets for h in (24, 48, 168, 336)]
+        + [f"round(list_avg(list_filter([{', '.join(lag(t, 168 * k) for k in (1, 2, 3, 4))}], lambda x: x IS NOT NULL)), 6) AS {t}_same_slot_4w_avg" for t in targets]
+        + [_roll_sql(t, True) for t in targets])
+    cyclic = ", ".join(f"round({fn}(2 * pi() * {part} / {period}), 6) + 0.0 AS {part}_{fn}"
+                       for part, period in (("hour", 24), ("weekday", 7), ("month", 12)) for fn in ("sin", "cos"))
+    return with_panels(f"""
+SELECT *, {cyclic},
+  CAST(weekday IN (5, 6) AS INTEGER) AS is_weekend, CAST(weekday IN (4, 5) AS INTEGER) AS is_friday_saturday,
+  CAST(hour < 21 AS INTEGER) AS is_food_service, CAST(hour < 15 AS INTEGER) AS is_breakfast_window,
+  CAST(hour BETWEEN 12 AND 14 AS INTEGER) AS is_lunch_window, CAST(hour BETWEEN 17 AND 20 AS INTEGER) AS is_dinner_window,
+  CAST(hour >= 21 AS INTEGER) AS is_after_food_close, CAST(greatest(hour - 21, 0) AS INTEGER) AS hours_since_food_close,
+  CAST(hour >= 22 AS INTEGER) AS is_live_music_window,
+  CAST(weekday IN (5, 6) AS INTEGER) * CAST(hour >= 22 AS INTEGER) AS weekend_x_music,
+  round(rain_mm * CAST(weekday IN (5, 6) AS INTEGER), 6) + 0.0 AS rain_x_weekend, bank_holiday_flag AS event_intensity
+FROM b""", ctes=f"""
+h AS ({SQ.EVENTS_HOURLY.strip()}),
+spine AS (SELECT DISTINCT CAST(timestamp_hour AS DATE) AS date FROM p),
+{CAL_COLUMNS_SQL},
+b AS (
+SELECT p.*, c.bank_holiday_flag, coalesce(CAST(h.footfall_views * 300 AS DOUBLE), 0.0) AS suffolk_nassau_footfall,
+  round(coalesce(h.temp_c, 0.0), 6) + 0.0 AS temp_c, round(coalesce(h.footfall_clicks / 2.0, 0.0), 6) + 0.0 AS rain_mm,
+  CAST(hour(p.timestamp_hour) AS INTEGER) AS hour, CAST(isodow(p.timestamp_hour) - 1 AS INTEGER) AS weekday,
+  CAST(month(p.timestamp_hour) AS INTEGER) AS month, CAST(quarter(p.timestamp_hour) AS INTEGER) AS quarter,
+  CAST(weekofyear(p.timestamp_hour) AS INTEGER) AS week_of_year
+FROM (SELECT *, {windows} FROM p WINDOW w AS (PARTITION BY event_type ORDER BY timestamp_hour)) p
+LEFT JOIN h ON h.timestamp_hour = p.timestamp_hour LEFT JOIN calcols c ON c.date = CAST(p.timestamp_hour AS DATE))""", p=P1K)
+
+
+def _register_hourly():
+    @register("feature_table_hourly", sql=_hourly_feature_sql())
+    def q_feature_table_hourly(spark, sf):
+        df = hourly_feature_table(spark, sf)
+        dbl = [c for c, t in df.dtypes if t == "double" and c != "sales_total"]
+        return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in dbl})
+
+
+_register_hourly()

@@ -46,11 +46,12 @@ def build_feature_table(panel: DataFrame, keys: Sequence[str] = (), ts: str = "t
                         enrichment: DataFrame | None = None, failte: DataFrame | None = None,
                         footfall: DataFrame | None = None, weather: DataFrame | None = None,
                         drop_na: bool = True, music_flag: str | None = "live_music_flag",
-                        signal_rows: int | None = None, daily_rows: int | None = None) -> DataFrame:
+                        signal_rows: int | None = None, daily_rows: int | None = None, unique_signals: bool = False) -> DataFrame:
     """``signal_rows``: proven row bound of the footfall / weather tables
     (one row per hour or day of their range); ``daily_rows`` that of the daily
     tables; they enable broadcasting.  Signals that carry some of ``keys`` join
-    on them, others hold for every key."""
+    on them, others hold for every key.  ``unique_signals``: they have one row per join key
+    (:func:`enrich.stored_signal` sees to it)."""
     keys = list(keys)
     # 1. all windows first, on the narrow panel: every lag / rolling column of
     #    every target in one sorted pass that buffers only (keys, ts, targets)
@@ -60,11 +61,11 @@ def build_feature_table(panel: DataFrame, keys: Sequence[str] = (), ts: str = "t
             df = FT.add_rolling_features(FT.add_lag_features(df, t, keys, ts), t, keys, ts)
     # 2. then the signal joins: broadcasts of date / hour dimensions, no shuffle
     if enrichment is not None:
-        df = E.merge_daily_replace(df, enrichment, ts, daily_rows, keys)
+        df = E.merge_daily_replace(df, enrichment, ts, daily_rows, keys, unique_signals)
     if failte is not None:
-        df = E.merge_daily_replace(df, failte, ts, daily_rows, keys)
+        df = E.merge_daily_replace(df, failte, ts, daily_rows, keys, unique_signals)
         df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("int") for c in FAILTE_COLS if c in df.columns})
-    df = E.merge_hourly(df, footfall, weather, ts, bound_rows=signal_rows, keys=keys)
+    df = E.merge_hourly(df, footfall, weather, ts, bound_rows=signal_rows, keys=keys, unique=unique_signals)
     df = C.add_cyclic(C.add_time_parts(df, ts))
     # single source for the holiday flag: the rule set, evaluated once per date
     hol = C.calendar_dimension(panel, ts, holidays_only=True).withColumnRenamed("date", "_hdate")

@@ -48,7 +48,7 @@ def q_val_split(spark, sf):
     p = panel_p1(spark, sf, keyed=True)
     cut = FC.fold_cutoffs(p, K, **FOLDS)
     train = FC.fold_rows(p, cut, "train", K).select(*K, "fold", TS)
-    return FC.val_split(train, group=[*K, "fold"])
+    return FC.val_split_cut(train, group=[*K, "fold"])
 
 
 _BASE_SQL = f"""
