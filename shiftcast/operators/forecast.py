@@ -117,8 +117,8 @@ def baseline_backtest(panel: DataFrame, value: str, keys: Sequence[str] = (), ts
 
 def forecast_metrics(preds: DataFrame, y: str, pred: str = "pred", group: Sequence[str] = ("fold",),
                      eps: float = 1.0) -> DataFrame:
-    """MAE, RMSE and MAPE (only where y > eps) with predictions clipped at 0."""
-    p = F.greatest(F.col(pred).cast("double"), F.lit(0.0))
+    """MAE, RMSE and MAPE (only where y > eps) with predictions clipped at 0; rows without a prediction only count."""
+    p = F.when(F.col(pred).isNotNull(), F.greatest(F.col(pred).cast("double"), F.lit(0.0)))
     yy = F.col(y).cast("double")
     err = p - yy
     return preds.groupBy(*group).agg(

@@ -1,343 +1,205 @@
-"""Boosted-tree forecasting (survey 2.H, model part) on Spark MLlib.
-
-* ``fit_gbt``: MLlib ``GBTRegressor`` with the reference's hyper-parameters
-  mapped onto MLlib names (no L1/L2 terms exist; validation stop uses MLlib's
-  tolerance rule on a flagged validation tail).
-* ``fit_asym_boost``: asymmetric squared loss (under-prediction weighs 2×) as
-  a Newton boosting loop of single-tree MLlib fits: label = residual, weight =
-  hessian, so each leaf is the Newton step −Σg/Σh.  Rows and columns are sampled
-  per tree, and a validation tail stops the loop.
-* segment routing, importance tables, seeded search, segment MAE, ablation.
-
-Trees train distributed over rows; loops over folds / segments / candidates
-run on the driver and submit Spark jobs (a small thread pool runs them side
-by side).  Long boosting loops cut lineage with a reliable checkpoint.
+"""Boosted-tree forecasting (survey 2.H, model part).
+
+All fits go through :mod:`shiftcast.operators.boosting`: folds, segments and trials are
+models of one table and grow in the same job.  ``tune_segments`` searches the arguments of
+every segment's booster by :mod:`shiftcast.operators.tpe`, a batch of trials of all segments
+and folds at a time, and refits the winners on all rows; a forest of one global model and
+the segments' routes rows to their model.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftcast.operators import forecast as FC
+from shiftcast.operators import boosting as B
 from shiftcast.operators import segments as S
+from shiftcast.operators import tpe
 from shiftcast.session import cut_lineage
 
-# The reference's booster settings.
-GBT_PARAMS = dict(n_estimators=800, learning_rate=0.05, max_depth=6, min_child_weight=5, subsample=0.8,
-                  colsample_bytree=0.8, seed=42)
-# Fixed value: rounds without a better validation loss after which boosting stops.
-EARLY_STOPPING = 50
-# Search space of the per-segment tuner (name → (low, high, log scale)).
-SEARCH_SPACE = {"max_depth": (3, 8, False), "learning_rate": (0.01, 0.3, True), "n_estimators": (100, 800, False),
-                "min_child_weight": (1, 10, False), "subsample": (0.5, 1.0, False),
-                "colsample_bytree": (0.5, 1.0, False)}
-
-
-def _clean(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Features as doubles with NULL → 0 (the reference fills 0 before fitting)."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
-
-
-def _gbt(params: dict, label: str, val_col: str | None) -> GBTRegressor:
-    p = {**GBT_PARAMS, **params}
-    g = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction",
-                     maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]),
-                     maxDepth=int(p["max_depth"]), minInstancesPerNode=int(p["min_child_weight"]),
-                     subsamplingRate=float(p["subsample"]), featureSubsetStrategy=str(p["colsample_bytree"]),
-                     seed=int(p["seed"]), maxBins=64)
-    if val_col:
-        g.setValidationIndicatorCol(val_col)
-    return g
-
-
-def fit_gbt(train: DataFrame, features: Sequence[str], label: str, params: dict | None = None,
-            val_col: str | None = None) -> PipelineModel:
-    data = _clean(train.filter(F.col(label).isNotNull()), features)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"),
-                            _gbt(params or {}, label, val_col)])
-    return pipe.fit(data.withColumn(label, F.col(label).cast("double")))
-
-
-def predict(model, df: DataFrame, features: Sequence[str], out: str = "pred") -> DataFrame:
-    """Predictions clipped at 0, original columns kept."""
-    if isinstance(model, AsymBoostModel):
-        return model.transform(df, features, out)
-    scored = model.transform(_clean(df, features).drop("features", "prediction"))
-    return scored.withColumn(out, F.greatest(F.col("prediction"), F.lit(0.0))).drop("features", "prediction")
-
-
-@dataclass
-class AsymBoostModel:
-    """Base value plus an MLlib ensemble of the boosted trees, scored in one pass."""
-
-    ensemble: GBTRegressionModel | None = None
-    base: float = 0.5
-    rounds: int = 0
-
-    def transform(self, df: DataFrame, features: Sequence[str], out: str = "pred") -> DataFrame:
-        if self.ensemble is None:
-            return df.withColumn(out, F.greatest(F.lit(self.base), F.lit(0.0)))
-        x = VectorAssembler(inputCols=list(features), outputCol="features").transform(_clean(df, features))
-        x = self.ensemble.setFeaturesCol("features").setPredictionCol("_raw").transform(x)
-        return x.withColumn(out, F.greatest(F.col("_raw") + self.base, F.lit(0.0))).drop("_raw", "features")
-
-    def save(self, path: str) -> None:
-        spark = SparkSession.active()
-        spark.createDataFrame([(self.base, self.rounds)], "base double, rounds int").coalesce(1) \
-            .write.mode("overwrite").json(f"{path}/base")
-        if self.ensemble is not None:
-            self.ensemble.write().overwrite().save(f"{path}/trees")
-
-    @staticmethod
-    def load(path: str) -> AsymBoostModel:
-        row = SparkSession.active().read.schema("base double, rounds int").json(f"{path}/base").first()
-        trees = GBTRegressionModel.load(f"{path}/trees") if row["rounds"] else None
-        return AsymBoostModel(trees, row["base"], row["rounds"])
-
-
-def _ensemble(trees: list, weight: float) -> GBTRegressionModel:
-    """MLlib's boosted ensemble of already fitted trees, each with the same weight."""
-    sc = SparkSession.active().sparkContext
-    jvm, gw = sc._jvm, sc._gateway
-    arr = gw.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
-    w = gw.new_array(jvm.double, len(trees))
-    for i, t in enumerate(trees):
-        arr[i], w[i] = t._java_obj, weight
-    return GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel("asym_boost", arr, w))
-
-
-def fit_asym_boost(train: DataFrame, features: Sequence[str], label: str, rounds: int = 800,
-                   learning_rate: float = 0.05, max_depth: int = 6, min_child_weight: float = 5, subsample: float = 0.8,
-                   colsample: float = 0.8, under_weight: float = 2.0, base: float = 0.5, val_col: str | None = None,
-                   early_stopping: int = EARLY_STOPPING, checkpoint_every: int = 10, seed: int = 42) -> AsymBoostModel:
-    """Newton boosting of the asymmetric squared loss.
-
-    Loss 2·r² when under-predicting (r = y − ŷ > 0), r² otherwise: gradient
-    −4r / −2r, hessian 4 / 2.  A weighted regression tree on label r with
-    weight h puts −Σg/Σh in every leaf.  ``min_child_weight`` is the least sum
-    of hessians in a leaf (as a share of the sum over all rows), ``subsample``
-    and ``colsample`` are the shares of rows of a tree and of columns of a split.
-    With ``val_col`` the rows flagged there are not fitted; the loop ends after
-    ``early_stopping`` rounds without a smaller loss on them and the trees up to
-    the best round stay.
-    """
-    h_under, h_over = 2.0 * under_weight, 2.0
-    x = VectorAssembler(inputCols=list(features), outputCol="features").transform(
-        _clean(train.filter(F.col(label).isNotNull()), features))
-    val = F.coalesce(F.col(val_col).cast("boolean"), F.lit(False)) if val_col else F.lit(False)
-    x = x.select("features", F.col(label).cast("double").alias("_y"), val.alias("_val"), F.lit(base).alias("_f"))
-    r = F.col("_y") - F.col("_f")
-    loss = F.when(r > 0, under_weight * r * r).otherwise(r * r)
-    hessian = F.when(r > 0, h_under).otherwise(h_over)
-
-    def state(df: DataFrame):  # also fills the cache
-        return df.agg(F.sum(F.when(~F.col("_val"), hessian)).alias("h"),
-                      F.avg(F.when(F.col("_val"), loss)).alias("loss")).first()
-
-    trees, best, best_loss = [], 0, float("inf")
-    x = x.cache()
-    s = state(x)
-    if not s["h"]:
-        x.unpersist()
-        return AsymBoostModel(None, base, 0)
-    best_loss = s["loss"] if s["loss"] is not None else best_loss
-    for i in range(rounds):
-        step = x.filter(~F.col("_val")).withColumns({"_r": r, "_h": hessian})
-        forest = RandomForestRegressor(featuresCol="features", labelCol="_r", weightCol="_h", numTrees=1, bootstrap=False,
-                                       subsamplingRate=subsample, featureSubsetStrategy=str(float(colsample)), maxDepth=max_depth,
-                                       minWeightFractionPerNode=min(0.49, min_child_weight / (s["h"] * subsample)),
-                                       maxBins=64, seed=seed + i).fit(step)
-        tree = forest.trees[0]
-        trees.append(tree)
-        tree.setFeaturesCol("features").setPredictionCol("_p")
-        nxt = tree.transform(x).withColumn("_f", F.col("_f") + learning_rate * F.col("_p")).drop("_p")
-        if (i + 1) % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)  # reliable checkpoint in the shared folder
-        nxt = nxt.cache()
-        s = state(nxt)
-        x.unpersist()  # only now: the next round is materialised
-        x = nxt
-        if s["loss"] is None:
-            best = i + 1
-        elif s["loss"] < best_loss:
-            best, best_loss = i + 1, s["loss"]
-        elif i + 1 - best >= early_stopping:
-            break
-    x.unpersist()
-    return AsymBoostModel(_ensemble(trees[:best], learning_rate) if best else None, base, best)
-
-
-def feature_importance(model: PipelineModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
-    """(feature, importance, importance_pct) from the fitted trees, largest first."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    total = sum(imp) or 1.0
-    rows = [(f, float(v), float(v) / total * 100) for f, v in zip(features, imp) if v > 0]
-    return spark.createDataFrame(rows, "feature string, importance double, importance_pct double")
-
-
-def fit_segment_models(df: DataFrame, features: Sequence[str], label: str, ts: str = "timestamp_hour",
-                       variant: str = "model", min_rows: int = 80, params: dict | None = None,
-                       asymmetric: bool = False, val_col: str | None = None, **boost) -> dict:
-    """One model per segment with at least ``min_rows`` labelled rows.
-
-    ``boost`` goes to :func:`fit_asym_boost`; a mapping segment → arguments in
-    ``params`` gives each segment its own (the tuner's winners).
-    """
+GLOBAL = "global"
+# Search space of the per-segment tuner.
+SEARCH_SPACE = {"max_depth": tpe.Range(3, 8, whole=True), "learning_rate": tpe.Range(0.01, 0.3, log=True),
+                "n_estimators": tpe.Range(100, 800, whole=True), "min_child_weight": tpe.Range(1, 10, whole=True),
+                "subsample": tpe.Range(0.5, 1.0), "colsample_bytree": tpe.Range(0.5, 1.0),
+                "reg_alpha": tpe.Range(0.0, 3.0), "reg_lambda": tpe.Range(0.0, 3.0)}
+# Least rows of a search, of a fold's training part and of its test part.
+LEAST_ROWS, LEAST_TRAIN, LEAST_TEST = 80, 30, 10
+
+
+def row_id(keys: Sequence[str] = (), ts: str = "timestamp_hour") -> Column:
+    """Id of a panel row; decides which trees sample it."""
+    return F.xxhash64(*keys, F.col(ts).cast("string"))
+
+
+def _role(val_col: str | None) -> Column:
+    return F.coalesce(F.col(val_col).cast("int"), F.lit(0)) if val_col else F.lit(0)
+
+
+def fit_gbt(train: DataFrame, features: Sequence[str], label: str, params: Mapping | None = None, val_col: str | None = None,
+            keys: Sequence[str] = (), ts: str = "timestamp_hour") -> B.Forest:
+    """One booster of the squared error on all rows; ``params`` replaces arguments of :class:`boosting.Params`."""
+    rows = train.withColumn("_of", F.lit(GLOBAL))
+    return B.fit_models(rows, features, label, "_of", replace(B.Params(), **(params or {})), _role(val_col), row_id(keys, ts))
+
+
+def fit_asym_boost(train: DataFrame, features: Sequence[str], label: str, val_col: str | None = None, keys: Sequence[str] = (),
+                   ts: str = "timestamp_hour", **params) -> B.Forest:
+    """One booster of the asymmetric squared error: under-predictions weigh twice."""
+    rows = train.withColumn("_of", F.lit(GLOBAL))
+    return B.fit_models(rows, features, label, "_of", replace(B.ASYMMETRIC, **params), _role(val_col), row_id(keys, ts))
+
+
+def predict(forest: B.Forest, df: DataFrame, out: str = "pred", model: str = GLOBAL) -> DataFrame:
+    """``df`` with the prediction of one model, clipped at 0."""
+    return forest.predict(df, F.lit(model), out)
+
+
+def segment_counts(df: DataFrame, label: str, ts: str = "timestamp_hour", variant: str = "model") -> dict[str, int]:
     seg = S.segment(F.hour(ts), variant)
-    counts = {r["_s"]: r["n"] for r in df.filter(F.col(label).isNotNull())
-              .groupBy(seg.alias("_s")).agg(F.count(F.lit(1)).alias("n")).collect() if r["_s"] is not None}
-    out = {}
-
-    def fit_one(name):
-        part = df.filter(seg == name)
-        own = (params or {}).get(name, params or {})
-        if asymmetric:
-            return name, fit_asym_boost(part, features, label, val_col=val_col, **{**boost, **own})
-        return name, fit_gbt(part, features, label, own, val_col)
-
-    todo = [n for n, c in counts.items() if c >= min_rows]
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        for name, m in pool.map(fit_one, todo):
-            out[name] = m
-    return out
-
-
-def tune_segments(df: DataFrame, features: Sequence[str], label: str, n_trials: int = 50, ts: str = "timestamp_hour",
-                  variant: str = "model", min_rows: int = 80, seed: int = 42, early_stopping: int = EARLY_STOPPING) -> dict:
-    """Per segment: search, then refit on all its rows with the winner. name → (model, arguments, MAE of the search)."""
+    rows = df.filter(F.col(label).isNotNull()).groupBy(seg.alias("_s")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r["_s"]: r["n"] for r in rows if r["_s"] is not None}
+
+
+def fit_segment_models(df: DataFrame, features: Sequence[str], label: str, ts: str = "timestamp_hour", variant: str = "model",
+                       min_rows: int = LEAST_ROWS, params: Mapping[str, Mapping] | None = None, val_col: str | None = None,
+                       keys: Sequence[str] = ()) -> B.Forest:
+    """The global booster and one asymmetric booster for each segment with at least ``min_rows`` labelled rows, in one job.
+
+    ``params`` replaces arguments by model name (a segment's or ``global``).
+    """
+    names = sorted(s for s, n in segment_counts(df, label, ts, variant).items() if n >= min_rows)
     seg = S.segment(F.hour(ts), variant)
-    lab = df.filter(F.col(label).isNotNull())
-    out = {}
-    for r in lab.groupBy(seg.alias("_s")).agg(F.count(F.lit(1)).alias("n")).collect():
-        if r["_s"] is None or r["n"] < min_rows:
-            continue
-        part = lab.filter(seg == r["_s"])
-        best = param_search(part, features, label, n_trials, ts, seed, early_stopping).orderBy("mae", "trial").first()
-        if best["mae"] == float("inf"):
-            continue
-        args = boost_arguments({k: best[k] for k in SEARCH_SPACE})
-        flagged = FC.val_split_by_time(part, ts, share=0.10, minimum=20)
-        out[r["_s"]] = (fit_asym_boost(flagged, features, label, val_col="is_val", early_stopping=early_stopping, seed=seed, **args),
-                        args, best["mae"])
-    return out
-
-
-def boost_arguments(p: dict) -> dict:
-    """A candidate of the search as arguments of :func:`fit_asym_boost`."""
-    return dict(rounds=int(p["n_estimators"]), learning_rate=float(p["learning_rate"]), max_depth=int(p["max_depth"]),
-                min_child_weight=float(p["min_child_weight"]), subsample=float(p["subsample"]),
-                colsample=float(p["colsample_bytree"]))
-
-
-def predict_routed(df: DataFrame, segment_models: dict, global_model, features: Sequence[str],
-                   ts: str = "timestamp_hour", variant: str = "model", out: str = "pred") -> DataFrame:
-    """Each row scored by its segment's model, rows of other hours by the global model."""
+    of = F.array_compact(F.array(F.lit(GLOBAL), F.when(seg.isin(names), seg)))
+    own = {GLOBAL: replace(B.Params(), **(params or {}).get(GLOBAL, {}))}
+    own |= {s: replace(B.ASYMMETRIC, **(params or {}).get(s, {})) for s in names}
+    return B.fit_models(df.withColumn("_of", F.explode(of)), features, label, "_of", own, _role(val_col), row_id(keys, ts))
+
+
+def route(forest: B.Forest, ts: str = "timestamp_hour", variant: str = "model") -> Column:
+    """Name of the model that scores a row: its segment's, or the global one."""
     seg = S.segment(F.hour(ts), variant)
-    parts = []
-    for name, m in segment_models.items():
-        parts.append(predict(m, df.filter(seg == name), features, out).withColumn("model_used", F.lit(name)))
-    handled = list(segment_models)
-    rest = df.filter(seg.isNull() | ~seg.isin(*handled)) if handled else df
-    parts.append(predict(global_model, rest, features, out).withColumn("model_used", F.lit("global")))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
-
-
-def segment_mae(df: DataFrame, segment_models: dict, global_model, features: Sequence[str], label: str,
-                ts: str = "timestamp_hour", variant: str = "model") -> DataFrame:
+    return F.when(seg.isin([m for m in forest.models() if m != GLOBAL]), seg).otherwise(F.lit(GLOBAL))
+
+
+def predict_routed(df: DataFrame, forest: B.Forest, ts: str = "timestamp_hour", variant: str = "model", out: str = "pred") -> DataFrame:
+    """Each row scored by its segment's model, rows of other hours by the global model; all in one pass."""
+    return forest.predict(df.withColumn("model_used", route(forest, ts, variant)), F.col("model_used"), out)
+
+
+def segment_mae(df: DataFrame, forest: B.Forest, label: str, ts: str = "timestamp_hour", variant: str = "model") -> DataFrame:
     """In-sample MAE per segment: global model (before) vs segment model (after)."""
-    seg = S.segment(F.hour(ts), variant)
     lab = df.filter(F.col(label).isNotNull())
-    before = predict(global_model, lab, features, "_g")
-    rows = None
-    for name, m in segment_models.items():
-        part = before.filter(seg == name)
-        after = predict(m, part, features, "_s")
-        one = after.agg(F.lit(name).alias("segment"), F.count(F.lit(1)).alias("n"),
-                        F.avg(F.abs(F.col("_g") - F.col(label))).alias("mae_before"),
-                        F.avg(F.abs(F.col("_s") - F.col(label))).alias("mae_after"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
-
-
-def sample_params(n_trials: int, seed: int = 42) -> list[dict]:
-    """Seeded random candidates over ``SEARCH_SPACE`` (log-uniform where marked)."""
-    import math
-
-    rng = random.Random(seed)
-    out = []
-    for _ in range(n_trials):
-        p = {}
-        for k, (lo, hi, log) in SEARCH_SPACE.items():
-            if isinstance(lo, int) and isinstance(hi, int):
-                p[k] = rng.randint(lo, hi)
-            elif log:
-                p[k] = math.exp(rng.uniform(math.log(lo), math.log(hi)))
-            else:
-                p[k] = rng.uniform(lo, hi)
-        out.append(p)
-    return out
-
-
-def expanding_folds(df: DataFrame, ts: str = "timestamp_hour", n_folds: int = 3) -> tuple[DataFrame, list]:
-    """Row-count folds at n/4 steps: train = first (f+1)/4 of the rows, test the next quarter.
-
-    The quarter boundaries are time quantiles from ``percentile_approx``
-    (no global sort, no single-task row numbering)."""
-    epoch = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
-    qs = [(i + 1) / 4 for i in range(n_folds + 1)]
-    row = df.agg(F.percentile_approx(epoch, qs, 100000).alias("q"), F.count(F.lit(1)).alias("n")).first()
-    return df.withColumn("_epoch", epoch), [(row["q"][i], row["q"][i + 1]) for i in range(n_folds)] + [row["n"]]
-
-
-def param_search(df: DataFrame, features: Sequence[str], label: str, n_trials: int = 50,
-                 ts: str = "timestamp_hour", seed: int = 42, early_stopping: int = EARLY_STOPPING,
-                 workers: int = 4) -> DataFrame:
-    """Score seeded candidates by mean MAE over 3 expanding folds with the
-    asymmetric booster; guards: < 80 rows → inf, train < 30 or test < 10 → fold skipped.
-
-    Every sampled argument reaches the fit.  The last tenth of a fold's training
-    rows stops the boosting; ``mean_rounds`` is what it came to."""
+    both = predict_routed(predict(forest, lab, "_before"), forest, ts, variant, "_after")
+    return (both.filter(F.col("model_used") != GLOBAL).groupBy(F.col("model_used").alias("segment"))
+            .agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("_before") - F.col(label))).alias("mae_before"),
+                 F.avg(F.abs(F.col("_after") - F.col(label))).alias("mae_after")))
+
+
+def feature_importance(forest: B.Forest, model: str = GLOBAL) -> DataFrame:
+    """(feature, importance, importance_pct): mean gain of a feature's splits, largest first."""
+    return forest.importance(model)
+
+
+# ---------------------------------------------------------------- search
+
+def time_quarters(df: DataFrame, group: Sequence[str], ts: str = "timestamp_hour", out: str = "quarter") -> DataFrame:
+    """Each row's quarter (0 to 3) of its group's rows in time order; rows of one time share one.
+
+    Rows are counted by time with map-side combining, and only these counts (bounded by the
+    calendar) are summed in order."""
+    group = list(group)
+    per = df.groupBy(*group, ts).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_n").over(whole)
+    passed = sum(((before >= F.floor(total * k / 4)).cast("int") for k in (1, 2, 3)), F.lit(0))
+    return df.join(per.select(*group, ts, passed.alias(out)), [*group, ts])
+
+
+def expanding_folds(df: DataFrame, group: Sequence[str], ts: str = "timestamp_hour") -> DataFrame:
+    """Rows of three folds: the first (fold + 1) quarters train (role 0), the next one tests (role 2)."""
+    q = F.col("_quarter")
+    parts = [F.struct(F.lit(f).alias("fold"), F.when(q <= f, 0).when(q == f + 1, 2).alias("role")) for f in range(3)]
+    rows = time_quarters(df, group, ts, "_quarter").withColumn("_part", F.explode(F.array(*parts)))
+    return rows.withColumn("fold", F.col("_part.fold")).withColumn("role", F.col("_part.role")).filter(F.col("role").isNotNull()).drop("_part", "_quarter")
+
+
+def boost_params(p: Mapping, seed: int = 42) -> B.Params:
+    """A trial of the search as a booster's arguments."""
+    return replace(B.ASYMMETRIC, seed=seed, max_depth=int(p["max_depth"]), learning_rate=float(p["learning_rate"]),
+                   n_estimators=int(p["n_estimators"]), min_child_weight=float(p["min_child_weight"]), subsample=float(p["subsample"]),
+                   colsample_bytree=float(p["colsample_bytree"]), reg_alpha=float(p["reg_alpha"]), reg_lambda=float(p["reg_lambda"]))
+
+
+def search(df: DataFrame, features: Sequence[str], label: str, segment: Column, n_trials: int = 50, ts: str = "timestamp_hour",
+           seed: int = 42, batch: int = 8, keys: Sequence[str] = ()) -> dict[str, list[tuple[dict, float, int]]]:
+    """Trials (arguments, mean MAE over the folds, number of folds) of every segment, in the order they were made.
+
+    Every batch fits the trials of all segments on all their folds in one job; proposals of a batch
+    know the batches before.  Segments of fewer than ``LEAST_ROWS`` rows score infinity, folds
+    with too few rows are left out.
+    """
     spark = df.sparkSession
-    lab = df.filter(F.col(label).isNotNull())
-    data, bounds = expanding_folds(lab, ts)
-    n = bounds.pop()
-    cands = sample_params(n_trials, seed)
-    data = data.cache()
-
-    def score(idx_p):
-        idx, p = idx_p
-        if n < 80:
-            return idx, float("inf"), 0, 0.0
-        maes, used = [], []
-        for lo_end, hi_end in bounds:
-            tr = data.filter(F.col("_epoch") <= lo_end)
-            te = data.filter((F.col("_epoch") > lo_end) & (F.col("_epoch") <= hi_end))
-            n_tr, n_te = tr.count(), te.count()
-            if n_tr < 30 or n_te < 10:
-                continue
-            m = fit_asym_boost(FC.val_split_by_time(tr, ts, share=0.10, minimum=10), features, label, val_col="is_val",
-                               early_stopping=early_stopping, seed=seed, **boost_arguments(p))
-            used.append(m.rounds)
-            mae = predict(m, te, features).agg(F.avg(F.abs(F.col("pred") - F.col(label)))).first()[0]
-            maes.append(mae)
-        return (idx, (sum(maes) / len(maes)) if maes else float("inf"), len(maes),
-                sum(used) / len(used) if used else 0.0)
-
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        scored = list(pool.map(score, list(enumerate(cands))))
-    data.unpersist()
-    rows = [(i, *[float(cands[i][k]) for k in SEARCH_SPACE], float(s), int(k), float(u)) for i, s, k, u in scored]
-    schema = "trial int, " + ", ".join(f"{k} double" for k in SEARCH_SPACE) + ", mae double, n_folds int, mean_rounds double"
-    return spark.createDataFrame(rows, schema)
+    data = df.filter(F.col(label).isNotNull()).withColumn("segment", segment).filter(F.col("segment").isNotNull())
+    folds = cut_lineage(expanding_folds(data, ["segment"], ts))
+    sizes = folds.groupBy("segment", "fold").agg(F.count_if(F.col("role") == 0).alias("train"), F.count_if(F.col("role") == 2).alias("test")).collect()
+    whole = {r["segment"]: r["n"] for r in data.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usable = {s: sorted(r["fold"] for r in sizes if r["segment"] == s and r["train"] >= LEAST_TRAIN and r["test"] >= LEAST_TEST) if n >= LEAST_ROWS else []
+              for s, n in whole.items()}
+    edges = B.quantile_edges(data, features)
+    rngs = {s: random.Random(f"{seed}/{s}") for s in sorted(whole)}
+    trials: dict[str, list] = {s: [] for s in rngs}
+    while any(len(t) < n_trials for t in trials.values()):
+        made: dict[tuple[str, int], dict] = {}
+        for s, rng in rngs.items():
+            done = [(p, mae) for p, mae, _ in trials[s]]
+            size = min(batch if len(done) >= tpe.STARTUP else tpe.STARTUP, n_trials - len(done))
+            made |= {(s, len(done) + i): tpe.propose(done, SEARCH_SPACE, rng) for i in range(size)}
+        runs = [(s, f, k) for s, k in made for f in usable[s]]
+        scored: dict[tuple[str, int], list[float]] = {}
+        if runs:
+            todo = F.broadcast(spark.createDataFrame(runs, "segment string, fold int, trial int"))
+            rows = folds.join(todo, ["segment", "fold"]).withColumn("model", F.concat_ws("/", "segment", "trial", "fold"))
+            params = {f"{s}/{k}/{f}": boost_params(made[s, k], seed) for s, f, k in runs}
+            preds = B.fit_predict(rows, features, label, ["segment", "trial", "fold", label], "model", params, F.col("role"), row_id(keys, ts), edges=edges)
+            maes = preds.groupBy("segment", "trial", "fold").agg(F.avg(F.abs(F.col("pred") - F.col(label))).alias("mae")).collect()
+            for r in sorted(maes, key=lambda r: r["fold"]):
+                scored.setdefault((r["segment"], r["trial"]), []).append(r["mae"])
+        for (s, k), p in made.items():
+            got = scored.get((s, k), [])
+            trials[s].append((p, sum(got) / len(got) if got else float("inf"), len(got)))
+    return trials
+
+
+def param_search(df: DataFrame, features: Sequence[str], label: str, n_trials: int = 50, ts: str = "timestamp_hour", seed: int = 42,
+                 batch: int = 8, keys: Sequence[str] = ()) -> DataFrame:
+    """Trials of one search over all rows: (trial, the arguments, mae, n_folds)."""
+    found = search(df, features, label, F.lit("all"), n_trials, ts, seed, batch, keys).get("all", [])
+    rows = [(i, *[float(p[k]) for k in SEARCH_SPACE], float(mae), n) for i, (p, mae, n) in enumerate(found)]
+    return df.sparkSession.createDataFrame(rows, "trial int, " + ", ".join(f"{k} double" for k in SEARCH_SPACE) + ", mae double, n_folds int")
+
+
+def tune_segments(df: DataFrame, features: Sequence[str], label: str, n_trials: int = 50, ts: str = "timestamp_hour", variant: str = "model",
+                  seed: int = 42, batch: int = 8, keys: Sequence[str] = (), val_col: str | None = None) -> tuple[B.Forest, dict[str, dict]]:
+    """Search every segment's arguments, then fit the winners and the global model on all rows.
+
+    Returns the forest and the winning arguments by segment.  Winners are fitted without a validation
+    tail, for the number of rounds that won; ``val_col`` only stops the global model.
+    """
+    found = search(df, features, label, S.segment(F.hour(ts), variant), n_trials, ts, seed, batch, keys)
+    best = {}
+    for s, trials in found.items():
+        p, mae, _ = min(trials, key=lambda t: t[1])
+        if mae < float("inf"):
+            best[s] = p
+    seg = S.segment(F.hour(ts), variant)
+    of = F.array_compact(F.array(F.lit(GLOBAL), F.when(seg.isin(sorted(best)), seg)))
+    rows = df.filter(F.col(label).isNotNull()).withColumn("_of", F.explode(of))
+    role = F.when(F.col("_of") == GLOBAL, _role(val_col)).otherwise(0)
+    own = {GLOBAL: B.Params()} | {s: boost_params(p, seed) for s, p in best.items()}
+    return B.fit_models(rows, features, label, "_of", own, role, row_id(keys, ts)), best

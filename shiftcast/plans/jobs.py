@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shiftcast.session import cut_lineage
 from shiftcast.sources.ingest import write_parquet
 
 log = logging.getLogger(__name__)
@@ -90,11 +91,11 @@ def sample_sources(spark: SparkSession, sf_dir: str) -> dict[str, Loader]:
 
 def refresh(spark: SparkSession, sources: dict[str, Loader], out_dir: str, keys: Sequence[str] = (),
             targets: Sequence[str] = ("orders_count", "food_tickets_count"), retrain: bool = False,
-            drop_na: bool = False, params: dict | None = None, boost: dict | None = None) -> dict[str, StageResult]:
+            drop_na: bool = False, trials: int = 50) -> dict[str, StageResult]:
     """panel, enrichment, footfall, failte, weather → features (→ models) as Parquet tables.
 
     A source that is not given, or has failed and was never written, is left out of
-    the features.  ``params`` and ``boost`` go to the global and the segment models.
+    the features.  ``trials`` is how many arguments are tried for each segment's model.
     """
     from shiftcast.plans.feature_table import build_feature_table
 
@@ -115,38 +116,37 @@ def refresh(spark: SparkSession, sources: dict[str, Loader], out_dir: str, keys:
         ft = spark.read.parquet(out["features"].path)
         feats = AV.feature_cols(ft.columns, AV.SAFE_FOR_NEXT_DAY)
         for target in targets:
-            for name, path in train_final_models(ft, target, feats, f"{root}/models", keys, params, boost).items():
+            for name, path in train_final_models(ft, target, feats, f"{root}/models", keys, trials).items():
                 out[name] = StageResult(path, "written")
     return out
 
 
 def train_final_models(df: DataFrame, target: str, features: list[str], path: str, keys: Sequence[str] = (),
-                       params: dict | None = None, boost: dict | None = None) -> dict[str, str]:
-    """Fit on all labelled rows (last 10 % as the validation tail) and save side by
-    side the baseline slot table, the global trees and one booster per segment."""
+                       trials: int = 50) -> dict[str, str]:
+    """Search each segment's booster, fit the winners and the global booster (last 10 % as its validation
+    tail) on all labelled rows and save them with the baseline's slot table.  0 ``trials``: default arguments."""
     from shiftcast.operators import forecast as FC
     from shiftcast.operators import models as M
 
     lab = df.filter(F.col(target).isNotNull())
     slots = FC.slot_history(lab, target, keys)
     slots = slots.groupBy(*keys, "hour", "weekday").agg(F.max_by("slot_mean", F.col("timestamp_hour")).alias("slot_mean"))
-    out = {f"baseline_{target}": f"{path}/baseline_{target}"}
+    out = {f"baseline_{target}": f"{path}/baseline_{target}", f"boosters_{target}": f"{path}/boosters_{target}"}
     write_parquet(slots, out[f"baseline_{target}"])
-    train = FC.val_split_by_time(lab.dropna(subset=list(features)), share=0.10, minimum=200)
-    model = M.fit_gbt(train, features, target, params, val_col="is_val")
-    out[f"gbt_{target}"] = f"{path}/gbt_{target}"
-    model.write().overwrite().save(out[f"gbt_{target}"])
-    for name, m in M.fit_segment_models(train, features, target, asymmetric=True, val_col="is_val", **(boost or {})).items():
-        out[f"segment_{name}_{target}"] = f"{path}/segment_{name}_{target}"
-        m.save(out[f"segment_{name}_{target}"])
+    train = cut_lineage(FC.val_split_by_time(lab.dropna(subset=list(features)), share=0.10, minimum=200))
+    if trials:
+        forest, best = M.tune_segments(train, features, target, trials, keys=keys, val_col="is_val")
+        out[f"best_params_{target}"] = f"{path}/best_params_{target}"
+        rows = [(s, k, float(v)) for s, p in sorted(best.items()) for k, v in p.items()]
+        write_parquet(df.sparkSession.createDataFrame(rows, "segment string, name string, value double"), out[f"best_params_{target}"])
+    else:
+        forest = M.fit_segment_models(train, features, target, keys=keys, val_col="is_val")
+    forest.save(out[f"boosters_{target}"])
     return out
 
 
-def load_models(path: str, target: str, names: Sequence[str]) -> tuple[dict, object]:
-    """The segment boosters named and the global model that :func:`train_final_models` saved."""
-    from pyspark.ml import PipelineModel
+def load_models(spark: SparkSession, path: str, target: str):
+    """The forest that :func:`train_final_models` saved, for :func:`models.predict_routed`."""
+    from shiftcast.operators.boosting import Forest
 
-    from shiftcast.operators.models import AsymBoostModel
-
-    return ({n: AsymBoostModel.load(f"{path}/segment_{n}_{target}") for n in names},
-            PipelineModel.load(f"{path}/gbt_{target}"))
+    return Forest.load(spark, f"{path}/boosters_{target}")

@@ -33,6 +33,7 @@ def _load() -> None:
     from shiftcast.plans import (  # noqa: F401
         panel_queries, calendar_queries, enrich_queries, feature_queries,
         segment_queries, forecast_queries, diagnostic_queries, serving_queries, model_queries,
+        horizon_queries,
     )
 
 

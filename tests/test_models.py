@@ -1,11 +1,12 @@
 import datetime as dt
 import inspect
+import math
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from shiftcast.operators import models as M
-from shiftcast.plans.jobs import read_or_empty, train_final_models
+from shiftcast.plans.jobs import load_models, read_or_empty, train_final_models
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -20,61 +21,63 @@ def _seasonal(spark, n=24 * 42, seed=0):
     return spark.createDataFrame(rows, "timestamp_hour timestamp_ntz, y double, hour int, weekday int")
 
 
+FEATS = ["hour", "weekday"]
+
+
 def test_gbt_beats_mean_and_asymmetric_loss_lowers_underprediction(spark):
     df = _seasonal(spark)
-    train, test = df.filter(F.col("timestamp_hour") < T0 + dt.timedelta(days=35)), \
-        df.filter(F.col("timestamp_hour") >= T0 + dt.timedelta(days=35))
-    feats = ["hour", "weekday"]
-    gbt = M.fit_gbt(train, feats, "y", {"n_estimators": 20, "max_depth": 4})
-    pred = M.predict(gbt, test, feats)
+    cut = T0 + dt.timedelta(days=35)
+    train, test = df.filter(F.col("timestamp_hour") < cut), df.filter(F.col("timestamp_hour") >= cut)
+    pred = M.predict(M.fit_gbt(train, FEATS, "y", {"n_estimators": 60, "max_depth": 4, "learning_rate": 0.2}), test)
     mae = pred.agg(F.avg(F.abs(F.col("pred") - F.col("y")))).first()[0]
     mean_mae = test.agg(F.avg(F.abs(F.col("y") - F.lit(train.agg(F.avg("y")).first()[0])))).first()[0]
-    assert mae < 0.5 * mean_mae
-    sym = M.fit_asym_boost(train, feats, "y", rounds=15, learning_rate=0.3, max_depth=4, under_weight=1.0,
-                           checkpoint_every=5)
-    asym = M.fit_asym_boost(train, feats, "y", rounds=15, learning_rate=0.3, max_depth=4, under_weight=2.0,
-                            checkpoint_every=5)
-    assert sym.rounds == asym.rounds == 15
-    under = lambda m: M.predict(m, test, feats).agg(F.avg((F.col("pred") < F.col("y")).cast("double"))).first()[0]
-    assert under(asym) < under(sym)
-
-
-def test_segment_routing_and_importance(spark):
-    df = _seasonal(spark, n=24 * 21)  # 84 rows for a 4-hour segment (≥ 80)
-    feats = ["hour", "weekday"]
-    seg = M.fit_segment_models(df, feats, "y", min_rows=80, params={"n_estimators": 5, "max_depth": 3})
-    assert set(seg) == {"lunch", "evening", "late_bar", "off_peak"}
-    glob = M.fit_gbt(df, feats, "y", {"n_estimators": 5, "max_depth": 3})
-    routed = M.predict_routed(df, seg, glob, feats)
+    assert mae < 0.3 * mean_mae
+    args = dict(n_estimators=40, learning_rate=0.3, max_depth=4)
+    under = lambda m: M.predict(m, test).agg(F.avg((F.col("pred") < F.col("y")).cast("double"))).first()[0]
+    assert under(M.fit_asym_boost(train, FEATS, "y", **args)) < under(M.fit_asym_boost(train, FEATS, "y", under_weight=1.0, **args))
+
+
+def test_segments_are_routed_in_one_forest(spark, tmp_dir):
+    df = _seasonal(spark, n=24 * 21)  # 84 rows for a 4-hour segment (>= 80)
+    few = {"n_estimators": 8, "max_depth": 3, "learning_rate": 0.3}
+    forest = M.fit_segment_models(df, FEATS, "y", params={m: few for m in ("global", "lunch", "evening", "late_bar", "off_peak")})
+    assert forest.models() == ["evening", "global", "late_bar", "lunch", "off_peak"]
+    routed = M.predict_routed(df, forest)
     assert routed.count() == df.count()
-    used = {r.model_used for r in routed.select("model_used").distinct().collect()}
-    assert "global" in used and "lunch" in used
-    fi = M.feature_importance(glob, feats, spark)
+    used = {(r.hour, r.model_used) for r in routed.select("hour", "model_used").distinct().collect()}
+    assert (12, "lunch") in used and (5, "global") in used
+    # a segment's rows are scored by the model fitted on them alone
+    own = M.fit_asym_boost(df.filter("hour between 12 and 15"), FEATS, "y", **few)
+    one = {r.timestamp_hour: r.pred for r in M.predict(own, df.filter("hour between 12 and 15")).collect()}
+    two = {r.timestamp_hour: r.pred for r in routed.filter("model_used = 'lunch'").collect()}
+    assert one.keys() == two.keys() and max(abs(one[k] - two[k]) for k in one) < 2.0
+    mae = {r.segment: r for r in M.segment_mae(df, forest, "y").collect()}
+    assert mae["lunch"].n == 84 and set(mae) == {"evening", "late_bar", "lunch", "off_peak"}
+    want = M.predict(forest, df.filter("hour between 12 and 15")).agg(F.avg(F.abs(F.col("pred") - F.col("y")))).first()[0]
+    assert abs(mae["lunch"].mae_before - want) < 1e-9
+    fi = M.feature_importance(forest)
     assert abs(fi.agg(F.sum("importance_pct")).first()[0] - 100.0) < 1e-9
 
 
-def test_asym_boost_stops_saves_and_samples(spark, tmp_dir):
-    df = _seasonal(spark, n=24 * 14).withColumn("is_val", F.col("timestamp_hour") >= F.lit(T0 + dt.timedelta(days=12)))
-    feats = ["hour", "weekday"]
-    m = M.fit_asym_boost(df, feats, "y", learning_rate=0.5, val_col="is_val", early_stopping=2, checkpoint_every=3)
-    assert 0 < m.rounds < 60 and m.ensemble.getNumTrees == m.rounds
-    m.save(f"{tmp_dir}/m")
-    again = M.AsymBoostModel.load(f"{tmp_dir}/m")
-    key = lambda d: sorted((r.timestamp_hour, r.pred) for r in d.collect())
-    assert key(M.predict(m, df, feats)) == key(M.predict(again, df, feats))
-    few = dict(rounds=3, learning_rate=0.5)
-    whole = M.fit_asym_boost(df, feats, "y", subsample=1.0, colsample=1.0, **few)
-    half = M.fit_asym_boost(df, feats, "y", subsample=0.5, colsample=1.0, **few)
-    one = M.fit_asym_boost(df, feats, "y", subsample=1.0, colsample=0.5, **few)
-    assert key(M.predict(whole, df, feats)) != key(M.predict(half, df, feats))
-    assert key(M.predict(whole, df, feats)) != key(M.predict(one, df, feats))
-
-
-def test_param_search_guards_and_seed(spark):
+def test_expanding_folds_are_quarters_of_the_rows(spark):
+    df = _seasonal(spark, n=103).withColumn("segment", F.lit("all"))
+    rows = M.expanding_folds(df, ["segment"]).collect()
+    order = sorted({r.timestamp_hour for r in rows})
+    for f in range(3):
+        end, stop = 103 * (f + 1) // 4, 103 * (f + 2) // 4
+        assert sorted(r.timestamp_hour for r in rows if r.fold == f and r.role == 0) == order[:end]
+        assert sorted(r.timestamp_hour for r in rows if r.fold == f and r.role == 2) == [T0 + dt.timedelta(hours=h) for h in range(end, stop)]
+
+
+def test_search_guards_and_seed(spark, monkeypatch):
     small = _seasonal(spark, n=50)
-    res = M.param_search(small, ["hour"], "y", n_trials=2, early_stopping=2)
-    assert res.filter("mae = double('inf')").count() == 2
-    assert M.sample_params(3, seed=1) == M.sample_params(3, seed=1)
+    assert [r.mae for r in M.param_search(small, ["hour"], "y", n_trials=2).collect()] == [math.inf] * 2
+    monkeypatch.setitem(M.SEARCH_SPACE, "n_estimators", M.tpe.Range(3, 8, whole=True))
+    df = _seasonal(spark, n=24 * 12)
+    one = M.param_search(df, FEATS, "y", n_trials=12, batch=2).collect()
+    two = M.param_search(df.repartition(3), FEATS, "y", n_trials=12, batch=2).collect()
+    assert [r[:-2] for r in one] == [r[:-2] for r in two] and np.allclose([r.mae for r in one], [r.mae for r in two])
+    assert [r.trial for r in one] == list(range(12)) and all(r.n_folds == 3 and r.mae < 30 for r in one)
 
 
 def test_registered_search_has_the_defaults(monkeypatch):
@@ -89,28 +92,33 @@ def test_registered_search_has_the_defaults(monkeypatch):
     Q.q_param_search(None, None)
     default = {k: p.default for k, p in search.parameters.items() if p.default is not p.empty}
     assert {k: seen.get(k, v) for k, v in default.items()} == default
-    assert (default["n_trials"], default["seed"], default["early_stopping"]) == (50, 42, 50)
+    assert (default["n_trials"], default["seed"]) == (50, 42)
 
 
 def test_registered_boosters_and_folds_have_the_defaults():
+    from shiftcast.operators import boosting as B
     from shiftcast.plans import model_queries as Q
 
     for f in (Q.q_asym_boost, Q.q_segment_routed_forecast, Q.q_segment_mae, Q.q_ablation):
-        code = inspect.getsource(f)
-        assert "asymmetric=True" in code or f is Q.q_ablation
-        assert not any(x in code for x in ("BOOST", "boost=", "rounds", "early_stopping", "learning_rate"))
+        assert not any(x in inspect.getsource(f) for x in ("params=", "rounds", "early_stopping", "learning_rate", "n_estimators"))
     assert "n_splits" not in inspect.getsource(Q.q_ablation) and "**" not in inspect.getsource(Q.q_ablation)
-    boost = inspect.signature(M.fit_asym_boost).parameters
-    assert [boost[k].default for k in ("rounds", "learning_rate", "early_stopping")] == [800, 0.05, 50]
-
-
-def test_final_models_persist_and_reload(spark, tmp_dir):
-    from pyspark.ml import PipelineModel
-
-    df = _seasonal(spark, n=24 * 20)
-    paths = train_final_models(df, "y", ["hour", "weekday"], tmp_dir, params={"n_estimators": 3, "max_depth": 2})
-    m = PipelineModel.load(paths["gbt_y"])
-    assert M.predict(m, df, ["hour", "weekday"]).count() == df.count()
+    assert (B.ASYMMETRIC.n_estimators, B.ASYMMETRIC.learning_rate, B.ASYMMETRIC.early_stopping) == (800, 0.05, 50)
+
+
+def test_tuned_models_persist_reload_and_route(spark, tmp_dir, monkeypatch):
+    monkeypatch.setitem(M.SEARCH_SPACE, "n_estimators", M.tpe.Range(3, 6, whole=True))
+    df = _seasonal(spark, n=24 * 32)
+    paths = train_final_models(df, "y", FEATS, tmp_dir, trials=3)
+    forest = load_models(spark, tmp_dir, "y")
+    assert forest.models() == ["evening", "global", "late_bar", "lunch", "off_peak"]
+    best = spark.read.parquet(paths["best_params_y"])
+    assert best.count() == 4 * len(M.SEARCH_SPACE)
+    rates = {r.segment: r.value for r in best.where("name = 'learning_rate'").collect()}
+    assert all(forest.rates[s] == v for s, v in rates.items())
+    rounds = {r.segment: int(r.value) for r in best.where("name = 'n_estimators'").collect()}
+    grown = {r.model: r.n for r in forest.nodes.groupBy("model").agg(F.max("tree").alias("n")).collect()}
+    assert all(grown[s] + 1 == n for s, n in rounds.items())
+    assert M.predict_routed(df, forest).where("pred is not null").count() == df.count()
     assert spark.read.parquet(paths["baseline_y"]).count() == 24 * 7
 
 
