@@ -2,7 +2,6 @@ import itertools
 import random
 
 import numpy as np
-import pyarrow as pa
 
 from shiftcast.llm import toxicity as X
 
@@ -63,5 +62,28 @@ def test_without_labels(spark):
     assert X.score(docs.where("false"), model).count() == 0
 
 
-def test_fit_needs_both_classes():
-    assert not X.fit(pa.array(["a", "b"]), np.array([1, 1])).fitted
+def test_one_class_only(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 3), (2, "b c", "s", 4)], "doc_id long, text string, score string, spans int")
+    model = X.train(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int"))
+    out = X.score(docs, model)
+    assert not model.fitted and [r.score for r in out.collect()] == [0.0, 0.0] and out.columns == ["doc_id", "text", "score", "spans"]
+
+
+def test_few_labels_give_weak_scores(spark):
+    rows = _corpus(60, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i < 30], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in X.score(docs, X.train(docs, labels)).collect()}
+    assert all(0 < s < 1 for s in got.values())
+    held = [(got[i], y) for i, _, y in rows if i >= 30]
+    assert np.mean([s for s, y in held if y]) > np.mean([s for s, y in held if not y])
+    two = X.train(docs, labels.where("doc_id in (0, 1)"))
+    assert two.fitted and all(0 < r.score < 1 for r in X.score(docs, two).collect())
+
+
+def test_field_marks_the_weighed_words():
+    score = np.array([0, 0, 3.0, 0, 0, 0, 2.0, 0, 0, 0.5, 0, 0])
+    weights, moves = X.fit_field(score, score >= 2, [(0, 5), (5, 12)])
+    model = X.Model(weights=weights, moves=moves)
+    p = X.marginals(model, score, np.repeat([0, 1], [5, 7]))
+    assert ((p >= .5) == (score >= 2)).all()
