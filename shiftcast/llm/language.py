@@ -115,10 +115,8 @@ def _page_text(page: str | None) -> tuple[str, str | None]:
     """Article text and declared language of a page."""
     from shiftcast.llm import wrappers as W
 
-    stream = W.tokens(page or "")
-    content = W.roles([k for k, _ in stream], [False] * len(stream))
     m = _LANG.search(page or "")
-    return W.blocks(stream, content), (m[1] or m[2]).lower() if m else None
+    return W.extract(page, None), (m[1] or m[2]).lower() if m else None
 
 
 def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
