@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shiftcast.operators import features as FT
 from shiftcast.operators import horizon as H
 from shiftcast.operators import models as M
+from shiftcast.plans import incremental as I
 from shiftcast.plans.feature_queries import _r6, _roll_sql
 from shiftcast.plans.forecast_queries import _HOURS
 from shiftcast.plans.model_queries import TARGET, _features, _tail, p1_model_table
@@ -92,6 +93,20 @@ def q_next_day_features(spark, sf):
                       *_r6(["orders_count_same_slot_4w_avg", *[f"orders_count_{n}" for n in FT.ROLLING]]))
 
 
+@register("incremental_days", sql=with_panels("""
+SELECT DISTINCT date FROM (
+  SELECT date, greatest(max(new) OVER (PARTITION BY event_type ORDER BY timestamp_hour ROWS BETWEEN 20 PRECEDING AND CURRENT ROW),
+                        max(new) OVER (PARTITION BY event_type ORDER BY timestamp_hour RANGE BETWEEN INTERVAL 36 HOURS PRECEDING AND CURRENT ROW)) AS hit
+  FROM (SELECT event_type, timestamp_hour, CAST(timestamp_hour AS DATE) AS date,
+               CAST(event_type = 'click' AND day(timestamp_hour) % 9 = 0 AS INTEGER) AS new FROM p))
+WHERE hit = 1""", p=P1K))
+def q_incremental_days(spark, sf):
+    """Days to rebuild after changes of one key on every ninth day of a month, for features that reach back 20 rows or 36 hours."""
+    p = panel_p1(spark, sf, keyed=True)
+    changed = p.where((F.col("event_type") == "click") & (F.dayofmonth(TS) % 9 == 0)).select("event_type", F.to_date(TS).alias("date"))
+    return I.reached_days(p, changed, K, TS, 20, 36)
+
+
 def _forest(ft):
     return M.fit_segment_models(cut_lineage(_tail(ft)), _features(ft), TARGET, val_col="is_val")
 
