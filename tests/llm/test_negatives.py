@@ -60,14 +60,14 @@ def test_equals_all_pairs(spark, monkeypatch, block, values, seed):
 
 def test_large_numbers(spark):
     rng = np.random.default_rng(3)
-    for scale in (1e5, 1e7, 1e9, 1e30):
+    for scale in (1e6, 1e30):  # 64-bit sums, and beyond
         rows = [(i, [float(v) for v in rng.normal(size=4) * scale], int(rng.integers(0, 2))) for i in range(40)]
         got = N.mine(_table(spark, rows), F.col("vec_id") % 5 == 0)
         assert sorted(tuple(r) for r in got.collect()) == _plain(rows, 5)
 
 
 def test_no_anchor(spark):
-    for rows in ([], [(1, [0.5], 1)], [(10, None, 1)]):
+    for rows in ([], [(1, [0.5], 1), (10, None, 1)]):
         assert N.mine(_table(spark, rows), F.col("vec_id") % 10 == 0).count() == 0
     assert N.mine(_table(spark, [(10, [0.5], 1), (20, [0.5], 2)]), F.col("vec_id") % 10 == 0).count() == 0
 
