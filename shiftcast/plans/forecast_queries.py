@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from shiftcast.operators import features as FT
 from shiftcast.operators import forecast as FC
 from shiftcast.plans.segment_queries import _case
-from shiftcast.plans.sqlpanels import P1, P1K, with_panels
+from shiftcast.plans.sqlpanels import P1, P1K, P2, with_panels
 from shiftcast.registry import register
-from shiftcast.sources.tables import panel_p1
+from shiftcast.sources.tables import panel_p1, panel_p2
 
 K = ["event_type"]
 TS = "timestamp_hour"
@@ -178,3 +178,48 @@ slots AS (SELECT event_type, h, wd, avg(orders_count) AS sm FROM
 def q_next_day_baseline(spark, sf):
     nd = FC.next_day_baseline(panel_p1(spark, sf, keyed=True), "orders_count", K)
     return nd.select(*K, TS, F.round("baseline_pred", 6).alias("baseline_pred"), "shift")
+
+
+# The default folds (8 splits, 4 test weeks, 12 training weeks) on the six years of daily orders by market segment.
+SEGMENT = ["c_mktsegment"]
+
+
+def _years_sql(sql: str) -> str:
+    for old, new in (("event_type", "c_mktsegment"), ("min(timestamp_hour) + INTERVAL 7 DAY", "min(timestamp_hour) + INTERVAL 84 DAY"),
+                     ("max(timestamp_hour) - INTERVAL 7 DAY", "max(timestamp_hour) - INTERVAL 28 DAY"),
+                     ("cutoff + INTERVAL 7 DAY", "cutoff + INTERVAL 28 DAY"), ("/ 3)", "/ 7)"), ("range(0, 4)", "range(0, 8)")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+def _years_backtest(spark, sf):
+    p = FT.clock_lags(panel_p2(spark, sf), "orders_count", (168,), SEGMENT)
+    return FC.baseline_backtest(p, "orders_count", SEGMENT, lag_col="orders_count_lag_168h")
+
+
+@register("walk_forward_folds_years", sql=with_panels("""
+SELECT c.c_mktsegment, c.fold, p.timestamp_hour, 'train' AS role FROM p JOIN cut c ON c.c_mktsegment = p.c_mktsegment AND p.timestamp_hour <= c.cutoff
+UNION ALL
+SELECT c.c_mktsegment, c.fold, p.timestamp_hour, 'test' FROM p JOIN cut c
+  ON c.c_mktsegment = p.c_mktsegment AND p.timestamp_hour > c.cutoff AND p.timestamp_hour <= c.cutoff + INTERVAL 28 DAY""",
+                                                      ctes=_years_sql(_cut_sql(True)), p=P2))
+def q_walk_forward_folds_years(spark, sf):
+    return FC.walk_forward_folds(panel_p2(spark, sf), SEGMENT)
+
+
+@register("baseline_forecast_years", sql=with_panels("""
+SELECT c_mktsegment, fold, timestamp_hour, y, round(pred, 6) AS pred FROM bp""", ctes=_years_sql(_BASE_SQL), p=P2))
+def q_baseline_forecast_years(spark, sf):
+    b = _years_backtest(spark, sf)
+    return b.select(*SEGMENT, "fold", TS, F.col("orders_count").alias("y"), F.round("pred", 6).alias("pred"))
+
+
+@register("cv_summary_years", sql=with_panels("""
+SELECT c_mktsegment, count(*) AS n_folds,
+  round(avg(mae), 6) AS mae_mean, round(stddev_samp(mae), 6) AS mae_std,
+  round(avg(rmse), 6) AS rmse_mean, round(stddev_samp(rmse), 6) AS rmse_std,
+  round(avg(mape), 6) AS mape_mean, round(stddev_samp(mape), 6) AS mape_std
+FROM m GROUP BY c_mktsegment""", ctes=_years_sql(_BASE_SQL + ",\n" + _METRICS_SQL.strip()), p=P2))
+def q_cv_summary_years(spark, sf):
+    s = FC.cv_summary(FC.forecast_metrics(_years_backtest(spark, sf), "orders_count", group=[*SEGMENT, "fold"]), group=SEGMENT)
+    return s.select(*SEGMENT, "n_folds", *[F.round(c, 6).alias(c) for c in s.columns if c.endswith(("_mean", "_std"))])
