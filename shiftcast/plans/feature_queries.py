@@ -114,16 +114,16 @@ def p3_feature_table(spark, sf, drop_na: bool = False):
     """F7 on the keyed bench panel (supplier × ship day).  The daily series are
     sparse, so the warm-up drop would remove almost every row: it is off here
     and exercised on the hourly panel by ``warmup_drop``."""
-    from shiftcast.operators.enrich import MAX_DAYS, stored_signal
+    from shiftcast.operators.enrich import MAX_DAYS
     from shiftcast.plans.enrich_queries import enrichment_table
     from shiftcast.plans.feature_table import build_feature_table
     from shiftcast.sources import standins as ST
     from shiftcast.sources.tables import panel_p3
 
-    # signals are written first, as the refresh job does; one row per ship day or calendar day
-    return build_feature_table(panel_p3(spark, sf), keys=["l_suppkey"], enrichment=stored_signal(enrichment_table(spark, sf)),
-                               failte=stored_signal(ST.failte_daily(spark, sf)), footfall=stored_signal(ST.footfall_hourly(spark, sf), time=TS),
-                               weather=stored_signal(ST.weather_by_ts(spark, sf), time=TS), drop_na=drop_na,
+    # each signal is grouped by its ship day or calendar day, so it has one row for each
+    return build_feature_table(panel_p3(spark, sf), keys=["l_suppkey"], enrichment=enrichment_table(spark, sf),
+                               failte=ST.failte_daily(spark, sf), footfall=ST.footfall_hourly(spark, sf),
+                               weather=ST.weather_by_ts(spark, sf), drop_na=drop_na,
                                signal_rows=MAX_DAYS, daily_rows=MAX_DAYS, unique_signals=True)
 
 
