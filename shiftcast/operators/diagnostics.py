@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from shiftcast.functions.timecols import weekday
 from shiftcast.operators import segments as S
+from shiftcast.session import join_dimension
 
 # Weekday names, Monday first.
 DAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -56,25 +57,28 @@ def target_corr(df: DataFrame, cols: Sequence[str], target: str, group: Sequence
 ACCURACY = 10_000
 
 
-def _join_group(df: DataFrame, small: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Rows with their group's row of ``small`` (a null group value meets a null)."""
+def _join_group(df: DataFrame, small: DataFrame, group: Sequence[str], bound_groups: int | None = None) -> DataFrame:
+    """Rows with their group's row of ``small`` (a null group value meets a null).
+
+    Few groups (``bound_groups``) are broadcast: dealt out by group, a group's rows would all be sorted by one task."""
     if not group:  # one row of statistics
         return df.withColumn("_all", F.lit(0)).join(F.broadcast(small.withColumn("_all", F.lit(0))), "_all").drop("_all")
     right = small.select(*[F.col(c).alias(f"_g{i}") if c in group else F.col(c) for i, c in enumerate(small.columns)])
     at = {c: f"_g{i}" for i, c in enumerate(small.columns) if c in group}
     on = [df[c].eqNullSafe(right[at[c]]) for c in group]
-    return df.join(right, on, "inner").drop(*at.values())
+    return join_dimension(df, right, on, "inner", bound_groups).drop(*at.values())
 
 
 def bracketed_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: Sequence[str],
-                        names: Sequence[str]) -> DataFrame:
+                        names: Sequence[str], bound_groups: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles without sorting a group in one task.
 
     A mergeable sketch (``percentile_approx``) gives for every quantile two
     values that surely enclose its rank.  Rows below the lower one are only
     counted (map-side); the few between are counted per value and sorted.  A
     group of up to 3 × ``ACCURACY`` rows is sorted whole, as rounding of ranks
-    may matter there.
+    may matter there.  ``bound_groups`` is the caller's proven bound on the number
+    of groups; within it their statistics are broadcast.
     """
     group = list(group)
     rows = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
@@ -88,7 +92,7 @@ def bracketed_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: S
     sides = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.when(few, F.col("_min")).otherwise(F.col("_b")[2 * i]).alias("lo"),
                                          F.when(few, F.col("_max")).otherwise(F.col("_b")[2 * i + 1]).alias("hi"))
                                 for i in range(len(qs))]))
-    near = (_join_group(rows, stats, group).select(*group, "_v", "_n", sides.alias("_s")).filter(F.col("_v") <= F.col("_s.hi"))
+    near = (_join_group(rows, stats, group, bound_groups).select(*group, "_v", "_n", sides.alias("_s")).filter(F.col("_v") <= F.col("_s.hi"))
             .groupBy(*group, F.col("_s.i").alias("_i"), F.when(F.col("_v") >= F.col("_s.lo"), F.col("_v")).alias("_x"))
             .agg(F.count(F.lit(1)).alias("_k"), F.first("_n").alias("_n")))
     w = Window.partitionBy(*group, "_i").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
@@ -106,11 +110,12 @@ def bracketed_quantiles(df: DataFrame, value: str, qs: Sequence[float], group: S
 
 
 def quantiles(df: DataFrame, value: str, qs: Sequence[float], group: Sequence[str] = (),
-              method: str = "bracket", names: Sequence[str] | None = None) -> DataFrame:
+              method: str = "bracket", names: Sequence[str] | None = None, bound_groups: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles per group (the numpy / pandas default).
 
     ``bracket`` (default) is exact at any size, ``exact`` buffers a group's
-    distinct values, ``approx`` is the sketch alone.
+    distinct values, ``approx`` is the sketch alone.  ``bound_groups``: proven
+    bound on the number of groups, see :func:`bracketed_quantiles`.
     """
     group = list(group)
     names = list(names or [f"q{int(round(q * 100))}" for q in qs])
@@ -121,15 +126,18 @@ def quantiles(df: DataFrame, value: str, qs: Sequence[float], group: Sequence[st
     if method == "exact":
         return df.groupBy(*group).agg(F.percentile(v, F.array(*[F.lit(q) for q in qs])).alias("_q")).select(
             *group, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    return bracketed_quantiles(df, value, qs, group, names)
+    return bracketed_quantiles(df, value, qs, group, names, bound_groups)
+
 
+def box_stats(df: DataFrame, value: str, group: Sequence[str], method: str = "bracket",
+              bound_groups: int | None = None) -> DataFrame:
+    """Quartiles, 1.5·IQR whiskers (furthest points inside the fences) and outlier count.
 
-def box_stats(df: DataFrame, value: str, group: Sequence[str], method: str = "bracket") -> DataFrame:
-    """Quartiles, 1.5·IQR whiskers (furthest points inside the fences) and outlier count."""
+    ``bound_groups``: proven bound on the number of groups, see :func:`bracketed_quantiles`."""
     group = list(group)
     rows = df.select(*group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    q = quantiles(rows, "_v", (0.25, 0.5, 0.75), group, method, names=["q1", "median", "q3"])
-    j = _join_group(rows, q, group)
+    q = quantiles(rows, "_v", (0.25, 0.5, 0.75), group, method, names=["q1", "median", "q3"], bound_groups=bound_groups)
+    j = _join_group(rows, q, group, bound_groups)
     x = F.col("_v")
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
@@ -140,6 +148,10 @@ def box_stats(df: DataFrame, value: str, group: Sequence[str], method: str = "br
         F.count_if((x < lo_f) | (x > hi_f)).alias("n_outliers"))
 
 
+#: Classes of :func:`anomaly_class`.
+ANOMALY_CLASSES = 3
+
+
 def anomaly_class(df: DataFrame, out: str = "anomaly_type") -> DataFrame:
     """Normal Day / Aviva Event / St. Patrick's Week; the later rule wins."""
     cls = F.lit("Normal Day")
@@ -157,7 +169,9 @@ def residual_profile(oos: DataFrame, panel: DataFrame, keys: Sequence[str] = (),
     names = F.element_at(F.array(*[F.lit(d) for d in DAY_NAMES]), weekday(ts) + 1)
     p = panel.select(*keys, ts, names.alias("day_of_week"), S.segment(F.hour(ts), "eda").alias("shift"))
     j = oos.select(*keys, ts, "residual").join(p, [*keys, ts], "inner")
-    return box_stats(j, "residual", [*keys, "day_of_week", "shift"], method)
+    # without keys: a group for each weekday (or null) and shift
+    bound = None if keys else (len(DAY_NAMES) + 1) * 24
+    return box_stats(j, "residual", [*keys, "day_of_week", "shift"], method, bound)
 
 
 def acf(df: DataFrame, value: str, keys: Sequence[str] = (), ts: str = "timestamp_hour", nlags: int = 168) -> DataFrame:

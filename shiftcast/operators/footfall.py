@@ -49,7 +49,8 @@ def ratio_impute(df: DataFrame, primary: str, nearby: str, keys: Sequence[str] =
     by = keys or ["_all"]
     all_rows = df if keys else df.withColumn("_all", F.lit(0))
     stats = all_rows.groupBy(*by).agg(F.count_if(live).alias("_n_live")).join(
-        quantiles(all_rows.select(*by, ratio.alias("_r")), "_r", (0.5,), by, names=["_scale"]), by, "left")
+        quantiles(all_rows.select(*by, ratio.alias("_r")), "_r", (0.5,), by, names=["_scale"],
+                  bound_groups=None if keys else 1), by, "left")
     j = all_rows.join(stats if keys else F.broadcast(stats), by, "left")  # unkeyed: one row
     j = j if keys else j.drop("_all")
     filled = F.when(F.col("_n_live") > min_live,

@@ -80,7 +80,7 @@ def q_box_stats(spark, sf):
     # the panel and the two flags that make the classes; the rest of the feature table isn't needed
     flags = enrichment_table(spark, sf).select("date", "st_patricks_week_flag", "aviva_event_flag")
     ft = D.anomaly_class(merge_daily_replace(panel_p3(spark, sf), flags, n_days=MAX_DAYS))
-    return _box_out(D.box_stats(ft, "orders_count", ["anomaly_type"]), ["anomaly_type"])
+    return _box_out(D.box_stats(ft, "orders_count", ["anomaly_type"], bound_groups=D.ANOMALY_CLASSES), ["anomaly_type"])
 
 
 FOLDS = dict(n_splits=4, test_weeks=1, min_train_weeks=1)

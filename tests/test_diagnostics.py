@@ -91,3 +91,16 @@ def test_corr_matrix_pairwise_complete(spark):
     m = {(r.col_a, r.col_b): r.corr for r in D.corr_matrix(df, ["a", "b", "c"]).collect()}
     assert np.isclose(m[("a", "c")], pd.Series([2.0, 3, 4]).corr(pd.Series([1.0, 2, 4])))
     assert np.isclose(m[("a", "a")], 1.0)
+
+
+def test_box_stats_of_few_groups_deal_no_rows_by_group(spark):
+    df = spark.createDataFrame([("g", float(v)) for v in range(40)] + [("h", 500.0), (None, 1.0), (None, 3.0)], "g string, v double").repartition(3)
+    few = D.box_stats(df, "v", ["g"], bound_groups=3)
+    # rows meet their group's statistics where they are: nothing but aggregates is sent to a group's task
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan
+        assert sorted(map(str, few.collect())) == sorted(map(str, D.box_stats(df, "v", ["g"]).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
