@@ -36,12 +36,11 @@ def safe_corr(x, y) -> Column:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of every column pair (pairwise-complete rows), one aggregate."""
-    pairs = [(a, b) for a in cols for b in cols]
-    aggs = [safe_corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)]
-    wide = df.groupBy(*group).agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_c{i}").alias("corr"))
-                     for i, (a, b) in enumerate(pairs)])
+    """Pearson correlation of every column pair (pairwise-complete rows), one aggregate; both orders of a pair share it."""
+    at = range(len(cols))
+    wide = df.groupBy(*group).agg(*[safe_corr(cols[i], cols[j]).alias(f"_c{i}_{j}") for i in at for j in at if i <= j])
+    rows = F.array(*[F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
+                              F.col(f"_c{min(i, j)}_{max(i, j)}").alias("corr")) for i in at for j in at])
     return wide.select(*group, F.inline(rows))
 
 

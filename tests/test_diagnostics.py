@@ -104,3 +104,12 @@ def test_box_stats_of_few_groups_deal_no_rows_by_group(spark):
         assert sorted(map(str, few.collect())) == sorted(map(str, D.box_stats(df, "v", ["g"]).collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_corr_matrix_computes_a_pair_once(spark):
+    df = spark.createDataFrame([(1.0, 2.0, None), (2.0, 4.5, 1.0), (3.0, 7.0, 2.0), (4.0, 8.0, 4.0)], "a double, b double, c double")
+    m = D.corr_matrix(df, ["a", "b", "c"])
+    got = {(r.col_a, r.col_b): r["corr"] for r in m.collect()}
+    assert len(got) == 9 and all(got[x, y] == got[y, x] for x, y in got)
+    assert np.isclose(got["b", "c"], np.corrcoef([4.5, 7.0, 8.0], [1.0, 2.0, 4.0])[0, 1])
+    assert m._jdf.queryExecution().optimizedPlan().toString().count("covar_samp(") == 6
