@@ -142,15 +142,81 @@ def rolling_stats(df: DataFrame, value: str, spec: dict[str, tuple[int, str]] |
     return df.withColumns(cols).drop(*tmp)
 
 
-def add_lag_features(df: DataFrame, target: str, keys: Sequence[str] = (), ts: str = "timestamp_hour") -> DataFrame:
-    df = row_lags(df, target, (1, 2, 3), keys, ts)
-    df = clock_lags(df, target, (24, 48, 168, 336), keys, ts)
-    return same_slot_mean(df, target, 4, keys, ts)
+def trailing_sums(df: DataFrame, values: Sequence[str], spec: dict[str, tuple[int, str]] | None = None,
+                  keys: Sequence[str] = (), ts: str = "timestamp_hour") -> DataFrame:
+    """:func:`rolling_stats` (mean, std, max) of several integer columns at a cost per row that hardly grows with the widths.
+
+    One pass keeps running sums up to the row before and the count, mean,
+    variance and maximum of a short block of rows; a second one looks them up,
+    as one struct for all columns, where each window and its blocks start.
+    Sums run over the two 32-bit halves of a value, so they are exact and never
+    overflow; block variances are combined around the window's mean.
+    """
+    spec = spec or ROLLING
+    base = ordered_window(keys, ts)
+    before = base.rowsBetween(Window.unboundedPreceding, -1)
+    # std and max over w rows come from w / b adjoining blocks of b rows
+    blocks = {w: min((b for b in range(w, 0, -1) if w % b == 0), key=lambda b: b + w // b)
+              for w, how in spec.values() if how != "mean"}
+    run = {}
+    for i, v in enumerate(values):
+        x = F.col(_q(v))
+        long = x.cast("bigint")
+        run |= {f"n{i}": F.count(x).over(before), f"hi{i}": F.sum(F.shiftright(long, 32)).over(before),
+                f"lo{i}": F.sum(long.bitwiseAND(F.lit(0xFFFFFFFF))).over(before)}
+        for b in sorted(set(blocks.values())):
+            near = base.rowsBetween(-b, -1)
+            run |= {f"bn{i}_{b}": F.count(x).over(near), f"avg{i}_{b}": F.avg(x).over(near),
+                    f"var{i}_{b}": F.var_pop(x).over(near), f"max{i}_{b}": F.max(x).over(near)}
+    starts = {w for w, _ in spec.values()} | {k for w, b in blocks.items() for k in range(b, w, b)}
+    staged = df.withColumns({f"_run_{c}": e for c, e in run.items()})
+    staged = staged.withColumn("_t0", F.struct(*[F.col(f"_run_{c}").alias(c) for c in run]))
+    staged = staged.withColumns({f"_t{k}": F.lag("_t0", k).over(base) for k in sorted(starts)})
+
+    def trail(c: str, w: int) -> Column:
+        return F.coalesce(F.col("_t0")[c], F.lit(0)) - F.coalesce(F.col(f"_t{w}")[c], F.lit(0))
+
+    cols = {}
+    for i, v in enumerate(values):
+        for name, (w, how) in spec.items():
+            n = trail(f"n{i}", w)
+            mean = (trail(f"hi{i}", w).cast("double") * float(2 ** 32) + trail(f"lo{i}", w)) / n
+            parts = [(F.col(f"_t{k}"), f"{i}_{blocks[w]}") for k in range(0, w, blocks[w])] if w in blocks else []
+            if how == "mean":
+                out = mean
+            elif how == "std":
+                m2 = sum((F.coalesce(t[f"bn{c}"] * (t[f"var{c}"] + (t[f"avg{c}"] - mean) * (t[f"avg{c}"] - mean)), F.lit(0.0))
+                          for t, c in parts), F.lit(0.0))
+                out = F.when(n > 1, F.sqrt(m2 / (n - 1)))
+            else:
+                out = F.greatest(*[t[f"max{c}"] for t, c in parts]) if len(parts) > 1 else parts[0][0][f"max{parts[0][1]}"]
+            cols[f"{v}_{name}"] = F.when(n >= max(1, w // 4), out)
+    return staged.withColumns(cols).select(*[_q(c) for c in df.columns if c not in cols], *[_q(c) for c in cols])
+
+
+def add_lag_features(df: DataFrame, target: str | Sequence[str], keys: Sequence[str] = (),
+                     ts: str = "timestamp_hour") -> DataFrame:
+    targets = [target] if isinstance(target, str) else list(target)
+    for t in targets:
+        df = row_lags(df, t, (1, 2, 3), keys, ts)
+        df = clock_lags(df, t, (24, 48, 168, 336), keys, ts)
+    for t in targets:
+        df = same_slot_mean(df, t, 4, keys, ts)
+    return df
 
 
-def add_rolling_features(df: DataFrame, target: str, keys: Sequence[str] = (),
+def add_rolling_features(df: DataFrame, target: str | Sequence[str], keys: Sequence[str] = (),
                          ts: str = "timestamp_hour") -> DataFrame:
-    return rolling_stats(df, target, ROLLING, keys, ts)
+    """The ``ROLLING`` columns: integer targets together by :func:`trailing_sums`, others by sliding frames."""
+    targets = [target] if isinstance(target, str) else list(target)
+    types = dict(df.dtypes)
+    whole = [t for t in targets if types.get(t) in INTEGRAL]
+    if whole:
+        df = trailing_sums(df, whole, ROLLING, keys, ts)
+    for t in targets:
+        if t not in whole:
+            df = rolling_stats(df, t, ROLLING, keys, ts)
+    return df
 
 
 def add_interactions(df: DataFrame) -> DataFrame:

@@ -17,6 +17,11 @@ def _r6(cols):
     return [F.round(c, 6).alias(c) for c in cols]
 
 
+def _round6(c):
+    """``round(c, 6) + 0.0``; whole numbers, most of the signals, skip the costly decimal rounding."""
+    return F.when(F.rint(c) == F.col(c), F.col(c)).otherwise(F.round(c, 6)) + F.lit(0.0)
+
+
 @register("row_lags", sql=with_panels("""
 SELECT event_type, timestamp_hour, orders_count,
   lag(orders_count, 1) OVER w AS orders_count_lag_1,
@@ -233,7 +238,7 @@ def _register_feature_table():
     def q_feature_table(spark, sf):
         df = p3_feature_table(spark, sf)
         dbl = [c for c, t in df.dtypes if t == "double" and c != "sales_total"]
-        return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in dbl})
+        return df.withColumns({c: _round6(c) for c in dbl})
 
 
 _register_feature_table()
@@ -304,7 +309,7 @@ def _register_hourly():
     def q_feature_table_hourly(spark, sf):
         df = hourly_feature_table(spark, sf)
         dbl = [c for c, t in df.dtypes if t == "double" and c != "sales_total"]
-        return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in dbl})
+        return df.withColumns({c: _round6(c) for c in dbl})
 
 
 _register_hourly()

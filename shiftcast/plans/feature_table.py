@@ -55,10 +55,9 @@ def build_feature_table(panel: DataFrame, keys: Sequence[str] = (), ts: str = "t
     keys = list(keys)
     # 1. all windows first, on the narrow panel: every lag / rolling column of
     #    every target in one sorted pass that buffers only (keys, ts, targets)
-    df = panel
-    for t in targets:
-        if t in df.columns:
-            df = FT.add_rolling_features(FT.add_lag_features(df, t, keys, ts), t, keys, ts)
+    have = [t for t in targets if t in panel.columns]
+    df = FT.add_rolling_features(FT.add_lag_features(panel, have, keys, ts), have, keys, ts)
+    df = df.select(*panel.columns, *[c for t in have for c in df.columns if c not in panel.columns and c.startswith(f"{t}_")])
     # 2. then the signal joins: broadcasts of date / hour dimensions, no shuffle
     if enrichment is not None:
         df = E.merge_daily_replace(df, enrichment, ts, daily_rows, keys, unique_signals)

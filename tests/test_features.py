@@ -100,3 +100,39 @@ def test_feature_lists_by_availability_and_exclusion():
     assert "orders_count_lag_1" in AV.feature_cols(cols, AV.FULL_FEATURES)
     assert AV.feature_columns_by_exclusion(cols, ["orders_count"]) == ["orders_count_lag_1", "orders_count_lag_24h",
                                                                         "temp_c"]
+
+
+def test_rolling_features_of_whole_targets_need_no_wide_frames(spark):
+    """Two integer targets together: the values of the sliding frames, nulls, gaps and large values included,
+    from one sort and without a frame as wide as a window."""
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for k in ("a", "b", None):
+        big = 2 ** 20 if k == "b" else 0
+        rows += [(k, T0 + dt.timedelta(hours=h), None if rnd.random() < 0.2 else rnd.randint(-9, 40) + big, rnd.randint(0, 5))
+                 for h in range(240) if rnd.random() < 0.9]
+    df = spark.createDataFrame(rows, "k string, timestamp_hour timestamp_ntz, y long, z int")
+    old = FT.rolling_stats(FT.rolling_stats(df, "y", keys=["k"]), "z", keys=["k"])
+    new = FT.add_rolling_features(df, ["y", "z"], ["k"])
+    assert old.dtypes == new.dtypes
+    order = lambda d: d.orderBy("k", "timestamp_hour").collect()
+    for a, b in zip(order(old), order(new), strict=True):
+        for c in old.columns:
+            assert (a[c] is None) == (b[c] is None), (c, a, b)
+            if isinstance(a[c], float):
+                assert abs(a[c] - b[c]) <= 1e-9 * max(1.0, abs(a[c])), (c, a, b)
+            else:
+                assert a[c] == b[c], (c, a, b)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
+    assert not any(f"-{w}, -1)" in plan for w in (24, 168))
+
+
+def test_round6_equals_round(spark):
+    vals = [0.0, -0.0, 3.0, -7.0, 0.1234565, -2.5000005, 1e300, 123456789.0000004, float("nan"), float("inf"), None]
+    from shiftcast.plans.feature_queries import _round6
+
+    df = spark.createDataFrame([(v,) for v in vals], "v double").select(_round6("v").alias("a"), (F.round("v", 6) + F.lit(0.0)).alias("b"))
+    assert [(str(r.a), str(r.b)) for r in df.collect() if str(r.a) != str(r.b)] == []
