@@ -123,13 +123,14 @@ def p3_feature_table(spark, sf, drop_na: bool = False):
     from shiftcast.plans.enrich_queries import enrichment_table
     from shiftcast.plans.feature_table import build_feature_table
     from shiftcast.sources import standins as ST
-    from shiftcast.sources.tables import panel_p3
+    from shiftcast.sources.tables import panel_p3, read_table
 
     # each signal is grouped by its ship day or calendar day, so it has one row for each
     return build_feature_table(panel_p3(spark, sf), keys=["l_suppkey"], enrichment=enrichment_table(spark, sf),
                                failte=ST.failte_daily(spark, sf), footfall=ST.footfall_hourly(spark, sf),
                                weather=ST.weather_by_ts(spark, sf), drop_na=drop_na,
-                               signal_rows=MAX_DAYS, daily_rows=MAX_DAYS, unique_signals=True)
+                               signal_rows=MAX_DAYS, daily_rows=MAX_DAYS, unique_signals=True,
+                               panel_rows=read_table(spark, sf, "lineitem").count())  # at most one panel row a line item
 
 
 def _feature_table_sql() -> str:

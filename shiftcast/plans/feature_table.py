@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from shiftcast.operators import calendars as C
 from shiftcast.operators import enrich as E
 from shiftcast.operators import features as FT
+from shiftcast.session import key_partitions
 
 # External signal columns that are coerced to numbers and zero-filled.
 EXTERNAL_COLS = (
@@ -46,17 +47,21 @@ def build_feature_table(panel: DataFrame, keys: Sequence[str] = (), ts: str = "t
                         enrichment: DataFrame | None = None, failte: DataFrame | None = None,
                         footfall: DataFrame | None = None, weather: DataFrame | None = None,
                         drop_na: bool = True, music_flag: str | None = "live_music_flag",
-                        signal_rows: int | None = None, daily_rows: int | None = None, unique_signals: bool = False) -> DataFrame:
+                        signal_rows: int | None = None, daily_rows: int | None = None, unique_signals: bool = False,
+                        panel_rows: int | None = None) -> DataFrame:
     """``signal_rows``: proven row bound of the footfall / weather tables
     (one row per hour or day of their range); ``daily_rows`` that of the daily
     tables; they enable broadcasting.  Signals that carry some of ``keys`` join
     on them, others hold for every key.  ``unique_signals``: they have one row per join key
-    (:func:`enrich.stored_signal` sees to it)."""
+    (:func:`enrich.stored_signal` sees to it).  ``panel_rows``: upper bound of the panel's rows; the narrow
+    panel is then dealt by ``keys`` into parts of about ``session.TASK_ROWS`` rows, which later windows and
+    groupings on the keys reuse, so a task's memory does not grow with the panel."""
     keys = list(keys)
+    rows = panel.repartition(key_partitions(panel.sparkSession, panel_rows), *keys) if keys and panel_rows is not None else panel
     # 1. all windows first, on the narrow panel: every lag / rolling column of
     #    every target in one sorted pass that buffers only (keys, ts, targets)
     have = [t for t in targets if t in panel.columns]
-    df = FT.add_rolling_features(FT.add_lag_features(panel, have, keys, ts), have, keys, ts)
+    df = FT.add_rolling_features(FT.add_lag_features(rows, have, keys, ts), have, keys, ts)
     df = df.select(*panel.columns, *[c for t in have for c in df.columns if c not in panel.columns and c.startswith(f"{t}_")])
     # 2. then the signal joins: broadcasts of date / hour dimensions, no shuffle
     if enrichment is not None:
