@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftcast.llm.common import as_long, mix64, ship_package, span_hashes, store, text_bytes, text_chunks, word_spans
+from shiftcast.llm.common import as_long, bound_batches, mix64, ship_package, span_hashes, store, text_bytes, text_chunks, word_spans
 from shiftcast.llm.toxicity import PARTS
 
 K1, B = 1.2, 0.75
@@ -195,6 +195,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
     """
     spark = docs.sparkSession
     ship_package(spark)
+    bound_batches(spark)
     items = store(items.where("text is not null").select(F.monotonically_increasing_id().alias("row"), "item_id", "text"), "items")
     terms = store(items.select("row", "text").mapInArrow(_term_rows, "row long, term long, tf long, length long"), "terms")
     size = terms.groupBy("row").agg(F.first("length").alias("length")).agg(

@@ -52,8 +52,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftcast.llm.common import (as_long, connected_components, keep_ids, list_array, mix64, ship_package, span_hashes,
-                                  store, text_chunks, word_spans)
+from shiftcast.llm.common import (as_long, bound_batches, connected_components, keep_ids, list_array, mix64, ship_package,
+                                  span_hashes, store, text_chunks, word_spans)
 
 SHINGLE = 5
 #: Rows of a bucket above which it is compared in blocks of at most ``BLOCK`` rows.
@@ -294,6 +294,7 @@ def _block_pairs(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
 def similarity_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every doc_id of ``docs(doc_id, text)``."""
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     classes = store(text_classes(docs), "classes")
     copies = store(classes.where("doc_id <> rep").select("doc_id"), "copies")
     # one row per class, with the text that the class was formed on

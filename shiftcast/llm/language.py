@@ -44,6 +44,8 @@ BUCKETS = 1 << 16
 WEIGHT = 60.0
 KAPPA = 10.0
 ALPHA = 0.5
+#: Bytes of text that are counted or summed in one step.
+STEP_BYTES = 2_000_000
 
 #: Bytes as a trigram sees them: letters in lower case, other ASCII as blanks.
 _FOLD = np.array([b | 0x20 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0x20 for b in range(256)], np.uint32)
@@ -82,7 +84,7 @@ def fit(texts: pa.Array, langs: list[str]) -> Model:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
     counts = np.zeros((len(names), BUCKETS))
     at = np.array([names.index(x) for x in langs])
-    for i, j, raw, offs in text_chunks(texts):
+    for i, j, raw, offs in text_chunks(texts, STEP_BYTES):
         if len(raw) < 3:
             continue
         t = _trigrams(raw)
@@ -154,7 +156,7 @@ def _likelihoods(shared, place: int):
         model: Model = shared.value
         for batch in batches:
             kept = [c for c in batch.schema.names if c != "text"]
-            for i, j, raw, offs in text_chunks(batch.column(place)):
+            for i, j, raw, offs in text_chunks(batch.column(place), STEP_BYTES):
                 sums, n = _sums(model.logp, raw, offs)
                 ll = sums * np.minimum(1.0, WEIGHT / np.maximum(n, 1))[:, None]
                 post = np.exp(ll - ll.max(1, keepdims=True)) * model.prior

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftcast.llm.common import ship_package, store
+from shiftcast.llm.common import bound_batches, ship_package, store
 from shiftcast.llm.tokens import encode_column
 
 CAPACITY = 2048
@@ -209,6 +209,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain:
     little-endian 32-bit integers), doc_tokens, sequence_id, offset.
     """
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     pieces = store(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

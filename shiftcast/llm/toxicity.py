@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftcast.llm.common import as_long, column_lists, keep_ids, list_array, mix64, ship_package, span_hashes, store, text_chunks, word_spans
+from shiftcast.llm.common import as_long, bound_batches, column_lists, keep_ids, list_array, mix64, ship_package, row_chunks, span_hashes, store, text_chunks, word_spans
 
 MAX_TRAIN = 3000
 MAX_TRAIN_CHARS = 40_000
@@ -53,6 +53,8 @@ REACH = 16
 ROUNDS = 80
 #: Tokens of stretches that are computed side by side.
 SIDE = 1 << 18
+#: Bytes of text that are scored in one step; in smaller ones too few stretches lie side by side.
+SCORE_BYTES = 2_000_000
 
 #: Bytes that are not part of a word: ASCII other than letters and digits.
 PARTS = np.array([not chr(b).isalnum() if b < 128 else False for b in range(256)])
@@ -278,7 +280,8 @@ def _weigh(rows: DataFrame) -> list[tuple[int, float, float]]:
     only = store(pairs.where("toxic = 1").join(counts.where("b = 0 and `all` > 1").select("word"), "word", "left_semi").select("doc_id", "word"), "only-toxic")
     spark = rows.sparkSession
     while True:
-        known = spark.createDataFrame([(w,) for w, (_, t) in found.items() if t >= .5], "word long")  # of bounded training rows
+        # of bounded training rows; as an Arrow table it needs no Python workers
+        known = spark.createDataFrame(pa.table({"word": pa.array([w for w, (_, t) in found.items() if t >= .5], pa.int64())}))
         served = pairs.where("toxic = 1").join(F.broadcast(known), "word", "left_semi").select("doc_id").distinct()
         top = (only.join(served, "doc_id", "left_anti").groupBy("word").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "word").limit(1)
                .select("word", _trust(2 * F.col("n") * np.log((n.get(1, 0) + nb) / max(n.get(1, 0), 1)), words).alias("trust")).collect())
@@ -317,6 +320,7 @@ def _feature_rows(model: Model):
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS) -> Model:
     """Fit on at most ``max_rows`` labelled documents of each class."""
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     rows = _labelled(docs, labels, max_rows, max_chars)
     model = Model()
     if rows.select("toxic").distinct().count() < 2:
@@ -348,15 +352,24 @@ def _char_spans(raw: np.ndarray, begin: int, starts: np.ndarray, ends: np.ndarra
     return [{"start": int(x), "end": int(y)} for x, y in zip(a, b)]
 
 
+def _hashes(raw: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``span_hashes``, a few texts at a time."""
+    out = []
+    for i, j in row_chunks(offs):
+        a, b = np.searchsorted(starts, offs[[i, j]])
+        out.append(span_hashes(raw[offs[i]:offs[j]], starts[a:b] - offs[i], ends[a:b] - offs[i]))
+    return np.concatenate(out)
+
+
 def _score_rows(model: Model, threshold: float = 0.5):
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            for i, j, raw, offs in text_chunks(batch.column(names.index("text"))):
+            for i, j, raw, offs in text_chunks(batch.column(names.index("text")), SCORE_BYTES):
                 starts, ends, doc = word_spans(raw, offs, PARTS)
-                p = marginals(model, _scores(model, span_hashes(raw, starts, ends)), doc)
+                p = marginals(model, _scores(model, _hashes(raw, offs, starts, ends)), doc)
                 f = _document_features(p, doc, j - i)
                 if model.fitted:
                     score = 1 / (1 + np.exp(-np.clip(model.logistic[0] + f @ model.logistic[1:], -700, 700)))
@@ -382,6 +395,7 @@ def _score_rows(model: Model, threshold: float = 0.5):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``spans`` (start and end character of each toxic span)."""
     ship_package(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     from pyspark.sql import types as T
 
     docs = docs.drop("score", "spans")

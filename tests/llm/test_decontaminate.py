@@ -1,7 +1,13 @@
 import random
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from shiftcast.llm import decontaminate
+from shiftcast.llm.common import BATCH_BYTES, span_hashes
 from shiftcast.llm.decontaminate import leaks
 
 
@@ -47,3 +53,46 @@ def test_empty_tables(spark):
     assert leaks(d, b.where("false")).count() == 0
     assert leaks(d.where("false"), b).count() == 0
     assert leaks(d, b).count() == 1
+
+
+def test_batches_are_bounded_by_bytes(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+
+    def sizes(*_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(0, 1), pa.array([1]), *(pa.array([float(b.nbytes)]) for _ in range(3)), pa.array([b.num_rows])],
+                                                 ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
+        return run
+
+    monkeypatch.setattr(decontaminate, "_leak_rows", sizes)
+    d = spark.range(0, 3000, 1, 1).selectExpr("id doc_id", "repeat('some words ', 400) text")
+    got = leaks(d, spark.createDataFrame([(1, "alpha beta. gamma")], "item_id long, text string")).collect()
+    assert sum(r.first_word for r in got) == 3000
+    assert max(r.score for r in got) < 1.1 * BATCH_BYTES
+    assert spark.conf.get(key) == str(BATCH_BYTES)
+    spark.conf.set(key, "1000000")  # a bound of the session's own stays
+    got = leaks(d, spark.createDataFrame([(1, "alpha beta. gamma")], "item_id long, text string")).collect()
+    spark.conf.unset(key)
+    assert sum(r.first_word for r in got) == 3000 and max(r.score for r in got) < 1.1e6
+
+
+def test_memory_of_a_step_is_bounded():
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(3000)]
+    items = [(k, k, " ".join(rng.sample(words, 30))) for k in range(200)]
+    rows = pa.Table.from_batches(decontaminate._term_rows(iter([pa.RecordBatch.from_arrays(
+        [pa.array([k for k, _, _ in items]), pa.array([t for _, _, t in items])], ["row", "text"])])))
+    index = decontaminate.Index(items, rows["term"].to_numpy().view(np.uint64), rows["row"].to_numpy(), np.full(rows.num_rows, 1 / 30))
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(2000)]
+    texts[1500] += " " + items[7][2]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], ["doc_id", "text"])
+    run = decontaminate._leak_rows(SimpleNamespace(value=index), 128, 0.6, 0.5, pa.int64())
+    span_hashes(*(np.zeros(n, t) for n, t in ((1, np.uint8), (0, np.int64), (0, np.int64))))  # the powers are there
+    tracemalloc.start()
+    got = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1500, 7)]
+    assert batch.nbytes > 3_500_000 and peak < 60_000_000
