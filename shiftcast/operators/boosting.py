@@ -358,8 +358,9 @@ def root_splits(rows: DataFrame, features: Sequence[str], label: str, edges: lis
     best = _level_splits(now, plan, columns)
     names = F.array(*[F.lit(c) for c in features])
     borders = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in edges])
-    return best.select(F.col("_model").alias(model), names[F.col("feature")].alias("feature"), borders[F.col("feature")][F.col("bin")].alias("threshold"),
-                       "gain", "g", "h", "gl", "hl")
+    # get: by [] generated code takes the null of a model without a split for -1 and fails
+    return best.select(F.col("_model").alias(model), F.get(names, F.col("feature")).alias("feature"),
+                       F.get(F.get(borders, F.col("feature")), F.col("bin")).alias("threshold"), "gain", "g", "h", "gl", "hl")
 
 
 def _moved(rows: DataFrame, splits: list[tuple]) -> DataFrame:

@@ -102,10 +102,10 @@ s AS (SELECT fold, f, feature, x, sum(g) OVER w AS g, sum(h) OVER w AS h, sum(g)
 
 @register("boost_root_split", sql=_root_sql())
 def q_boost_root_split(spark, sf):
-    """First split of each fold's asymmetric booster by the grouped sums, all folds in one pass."""
+    """First split of each fold's asymmetric booster by the grouped sums, all folds in one pass; a fold where no split gains has no row."""
     rows = training_rows(C.add_time_parts(panel_p2(spark, sf), TS), TARGET, {"all": list(_ROOT_EDGES)}, SEGMENT).where("role = 0")
     out = B.root_splits(rows, list(_ROOT_EDGES), TARGET, [[float(x) for x in e] for e in _ROOT_EDGES.values()])
-    return out.select(F.col("model").alias("fold"), "feature", "threshold", F.round("gain", 3).alias("gain"), "g", "h", "gl", "hl")
+    return out.where("feature is not null").select(F.col("model").alias("fold"), "feature", "threshold", F.round("gain", 3).alias("gain"), "g", "h", "gl", "hl")
 
 
 @register("segment_routed_forecast")

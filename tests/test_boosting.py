@@ -148,3 +148,31 @@ def test_leaf_and_gain():
     p = B.Params(reg_alpha=1.0, reg_lambda=2.0)
     assert B.leaf_weight(-7.0, 4.0, p) == 1.0 and B.leaf_weight(0.5, 4.0, p) == 0.0
     assert float(B._term(np.array(-7.0), np.array(4.0), p)) == 6.0
+
+
+def test_root_without_a_gaining_split(spark):
+    rows = [(m, float(a), float(y)) for m, ys in (("flat", [3, 3]), ("steep", [1, 9])) for a, y in enumerate(ys) for _ in range(20)]
+    df = spark.createDataFrame(rows, "model string, a double, y double")
+    got = {r.model: r for r in B.root_splits(df, ["a"], "y", [[0.0]]).collect()}
+    assert got["steep"].feature == "a" and got["steep"].threshold == 0.0 and got["steep"].gain > 0
+    assert (got["flat"].feature, got["flat"].threshold, got["flat"].gain, got["flat"].gl) == (None,) * 4 and got["flat"].h == 160.0
+
+
+@pytest.mark.parametrize("step", [0, 1])
+def test_root_split_query_like_its_sql(spark, tmp_dir, step):
+    """With ``step`` 0 no split gains: every day has one order.  With 1, Sundays of the last folds have more."""
+    import duckdb
+
+    import __spark_entry__
+
+    days = [T0 + dt.timedelta(days=i) for i in range(700)]
+    orders = [(1, d, "1-URGENT", 1.0) for i, d in enumerate(days) for _ in range(1 + step * (i > 400 and d.weekday() == 6) * 40)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_dir}/orders.parquet")
+    spark.createDataFrame([(1, "A")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_dir}/customer.parquet")
+    got = __spark_entry__.queries()["boost_root_split"](spark, tmp_dir).collect()
+    db = duckdb.connect()
+    for t in ("orders", "customer"):
+        db.execute(f"create view {t} as select * from '{tmp_dir}/{t}.parquet/*.parquet'")
+    want = db.execute(__spark_entry__.oracle_sql()["boost_root_split"]).fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert len(want) < 8 and (len(want) > 0) == bool(step)
